@@ -73,7 +73,7 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
 
 
 def select(docs: DataFrame, levels: list[str], weights: list[DataFrame | None], budget_share: float, tokens: str = "tokens", id_col: str = "doc_id", seed: int = 0, epochs: int = 1) -> DataFrame:
-    """The rows chosen, with `epoch` from 0; a document is there once for each epoch that takes it.
+    """The rows chosen, with `epoch` from 0 (in place of a column of that name); a document is there once for each epoch that takes it.
 
     The budget is budget_share of all tokens. Within an epoch a leaf's order is that of md5(seed:epoch:id); ids that repeat, or
     are null, come by their tokens. Documents without tokens come at their place in the order.
@@ -85,15 +85,15 @@ def select(docs: DataFrame, levels: list[str], weights: list[DataFrame | None],
     leaves = keep(leaves, "leaves")
     all_tokens = leaves.agg(F.sum("tokens")).first()[0] or 0
     weights = [w if w is None else w.withColumnsRenamed(dict(zip(levels, names, strict=True))) for w in weights]
-    budget = keep(budgets(leaves.select(*names, "tokens"), names, weights, int(all_tokens * budget_share), epochs).filter("budget > 0").drop("tokens"), "budgets")
+    budget = keep(budgets(leaves.select(*names, "tokens"), names, weights, int(all_tokens * budget_share), epochs).filter("budget > 0").withColumnRenamed("budget", "__budget").drop("tokens"), "budgets")
     rows = _meet(whole, budget, names, "inner")
     order = lambda e: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), e.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     every = F.sequence(F.lit(0), F.lit(epochs - 1))
-    dealt = rows.withColumn("epoch", F.explode(every) if epochs > 1 else F.lit(0)).withColumn("__o", order(F.col("epoch"))).withColumn("__k", F.substring("__o", 1, BUCKET_DIGITS))
-    sums = dealt.groupBy(*names, "epoch", "__k").agg(F.sum("__n").alias("__sum"))
-    begin = Window.partitionBy(*names).orderBy("epoch", "__k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*names, "epoch", "__k", F.coalesce(F.sum("__sum").over(begin), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*names, "epoch", "__k").orderBy("__o", "__n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _meet(dealt, starts, [*names, "epoch", "__k"], "inner")
+    dealt = rows.withColumn("__epoch", F.explode(every) if epochs > 1 else F.lit(0)).withColumn("__o", order(F.col("__epoch"))).withColumn("__k", F.substring("__o", 1, BUCKET_DIGITS))
+    sums = dealt.groupBy(*names, "__epoch", "__k").agg(F.sum("__n").alias("__sum"))
+    begin = Window.partitionBy(*names).orderBy("__epoch", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*names, "__epoch", "__k", F.coalesce(F.sum("__sum").over(begin), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*names, "__epoch", "__k").orderBy("__o", "__n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _meet(dealt, starts, [*names, "__epoch", "__k"], "inner")
     placed = placed.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    return placed.filter("__before < budget").select(*docs.columns, "epoch")
+    return placed.filter("__before < __budget").select(*(c for c in docs.columns if c != "epoch"), F.col("__epoch").alias("epoch"))

@@ -106,8 +106,8 @@ def _mix_sql() -> str:
 {name}_r AS (SELECT *, (parent_budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS rest,
   sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM {name}_n),
 {name}_f AS (SELECT *, first_value(CASE WHEN rest * weight / weights < capacity THEN struct_pack(r := rest, w := weights) END IGNORE NULLS)
-  OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS at FROM {name}_r),
-{name} AS (SELECT {keys}, CASE WHEN at IS NULL THEN capacity ELSE least(capacity, floor(at.r * weight / at.w)::BIGINT) END AS parent_budget FROM {name}_f)"""
+  OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hit FROM {name}_r),
+{name} AS (SELECT {keys}, CASE WHEN hit IS NULL THEN capacity ELSE least(capacity, floor(hit.r * weight / hit.w)::BIGINT) END AS parent_budget FROM {name}_f)"""
 
     return f"""
 WITH d AS (SELECT doc_id, lang, source, CASE WHEN regexp_full_match(source, 'src[0-9]') THEN 'web' ELSE 'curated' END AS domain,

@@ -42,11 +42,11 @@ def statistics(text: bytes) -> list[float]:
     counts = Counter(words)
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     short = sum(c for w, c in counts.items() if len(w) <= 3)
-    share = lambda x, of: float(np.log1p(50.0 * x / of))
-    # The share of distinct words falls with a text's length; its distance from that of Heaps' law doesn't.
+    # Shares of a few words say little: each is drawn towards a common value by pseudo-counts.
+    share = lambda x, of: float(np.log1p(50.0 * x / (of + 120)))  # noqa: E731  of letters
     return [
-        float(np.log1p(n)), float(np.log(letters / n)), float(np.log(max(map(len, counts)))), share(upper, letters), share(digit, letters), share(symbol, letters), share(exclaim, letters), share(pipe, letters),
-        share(punct, letters), float(np.log(len(counts)) - 0.85 * np.log(n)), share(max(counts.values()), n + 20), share(len(lines) - len(set(lines)), len(lines)), float(np.log(n / len(lines))), share(short, n),
+        float(np.log(n + 10)), float(np.log((letters + 150) / (n + 30))), float(np.log(max(map(len, counts)) + 10)), share(upper, letters), share(digit, letters), share(symbol, letters), share(exclaim, letters), share(pipe, letters),
+        share(punct, letters), float(np.log((len(counts) + 20) / (n + 20))), float(np.log1p(50.0 * max(counts.values()) / (n + 30))), float(np.log1p(20.0 * (len(lines) - len(set(lines))) / (len(lines) + 4))), float(np.log((n + 20) / (len(lines) + 2))), float(np.log((short + 12) / (n + 30))),
     ]
 
 

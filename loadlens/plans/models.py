@@ -88,11 +88,11 @@ def peak_classifier(train: DataFrame, features: list[str], label: str = "y_cls",
         rate = float(next(iter(n), 0))
         return lambda df, out: df.withColumn(out, F.lit(rate))
     weighted = train.withColumn("__w", F.when(F.col(label) == 1, n[0] / n[1]).otherwise(1.0))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED, featuresCol="__x", labelCol=label, weightCol="__w", predictionCol="__p", rawPredictionCol="__raw", probabilityCol="__prob", checkpointInterval=-1).fit(_vector(weighted, features))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED, featuresCol="__x", labelCol=label, weightCol="__w", predictionCol="__p", checkpointInterval=-1).fit(_vector(weighted, features))
 
     def predict(df: DataFrame, out: str) -> DataFrame:
         made = model.transform(_vector(df.withColumn("__keep", F.struct(*df.columns)), features))
-        return made.select("__keep.*", vector_to_array("__prob")[1].alias(out))
+        return made.select("__keep.*", vector_to_array("probability")[1].alias(out))
 
     predict.model = model
     return predict

@@ -662,3 +662,61 @@ def prediction_file(spark: S, sf: D) -> DataFrame:
     th = theta_of(repaired(spark, sf))
     rows = featured(spark, sf).filter("day >= date '2024-01-24' and y_avg_lag168 is not null")
     return rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.bround("y_avg_lag168", 4).alias("pred_avg"), F.bround("y_peak_lag168", 4).alias("pred_peak"), (F.col("y_peak_lag168") >= th).cast("int").alias("peak_label"), "site_id")
+
+
+# --- serving, resampling, models ----------------------------------------------------------------------------------------------
+
+
+@register("SELECT site_id, ts, " + ", ".join(f"R({c}) AS {c}" for c in ("y_avg_lag24", "y_peak_lag168", "roll24_avg_mean", "roll168_avg_max", "prod_cum_day", "shutdown_nth", "headcount")) + " FROM @feat WHERE day IN (DATE '2024-01-22', DATE '2024-01-25', DATE '2024-01-29')")
+def replayed_features(spark: S, sf: D) -> DataFrame:
+    """Three days served from 21 days of history each: the same features as in training, though no later row was there."""
+    from loadlens.plans import serving
+
+    df = meter(spark, sf)
+    th = theta_of(repaired(spark, sf))
+    out = serving.replay(df, ["2024-01-22", "2024-01-25", "2024-01-29"], 28, th, listed(spark), base.EDGES, base.FLOOR)
+    return out.select("site_id", "ts", "y_avg_lag24", "y_peak_lag168", "roll24_avg_mean", "roll168_avg_max", "prod_cum_day", F.col("shutdown_nth").cast("double").alias("shutdown_nth"), "headcount")
+
+
+@register()
+def paired_bootstrap(spark: S, sf: D) -> DataFrame:
+    from loadlens.functions import resample
+
+    rows = joins.paired(predictions(spark, sf).select("site_id", "ts", "model", F.col("y_avg").alias("y"), F.col("pred_avg").alias("pred")), "lag168", "mean", ["site_id", "ts"]).withColumn("day", F.to_date("ts"))
+    n = rows.select("day").distinct().count()
+    return resample.paired_mae(rows, resample.day_draws(spark, n, 2000, 42))
+
+
+@register()
+def rate_intervals(spark: S, sf: D) -> DataFrame:
+    from loadlens.functions import resample
+
+    rows = predictions(spark, sf).filter("model = 'lag24'")
+    n = rows.select("day").distinct().count()
+    return resample.cluster_rates(rows, F.hour("ts").between(9, 17), resample.day_draws(spark, n, 2000, 42), err=F.abs(F.col("y_avg") - F.col("pred_avg")))
+
+
+@register()
+def binomial_limits(spark: S, sf: D) -> DataFrame:
+    g = evaluate.peak_table(predictions(spark, sf)).withColumn("pos", F.col("tp") + F.col("fn"))
+    return stats.with_binomial_limits(g.select("model", "tp", "pos"), "tp", "pos")
+
+
+@register()
+def forest_cv(spark: S, sf: D) -> DataFrame:
+    """Out-of-fold errors of naive, forest and regime models on a fold."""
+    from loadlens.plans import models
+    from loadlens.sources.io import materialize
+
+    feat = materialize(featured(spark, sf).filter("day < date '2024-01-24'"), "features")  # each fit reads them again
+    few = ["y_avg_lag24", "y_avg_lag168", "roll24_avg_mean", "roll168_avg_mean", "hour", "dow", "is_shutdown", "prod", "temp"]
+    fits = {"naive": models.seasonal_naive, "forest": models.forest(20, 6), "regime": models.regimes(models.forest(10, 5), (60.0, 90.0))}
+    oof = models.cross_validate(feat, folds(spark).filter("fold = 3"), fits, few, ("y_avg",))
+    return oof.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y_avg") - F.col("pred_avg"))).alias("mae"))
+
+
+@register()
+def peak_rules(spark: S, sf: D) -> DataFrame:
+    from loadlens.plans import models
+
+    return models.peak_rules(featured(spark, sf).filter("not is_warmup and not is_outage"), ["y_peak_lag24", "roll24_peak_max", "hour", "prod", "temp"])

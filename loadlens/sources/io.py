@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,23 @@ def read_json(spark: SparkSession, path: str):
     return json.loads(read_text(spark, path))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='loadlens-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it again, so that lost executors cost no more than their tasks."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def digest(df: DataFrame) -> dict:
     """Rows and an order-free digest of a table."""
     r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("d")).first()

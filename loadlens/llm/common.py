@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadlens.sources.io import materialize as keep  # noqa: F401
+
 #: Rows of one Arrow batch: texts of 100 kB and more are common, so a batch stays far below an executor's memory.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='loadlens-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again, so that lost executors cost no more than their tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -13,7 +13,7 @@ task sees a whole leaf.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -38,7 +38,7 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     return level.withColumn("budget", F.when(F.col("__at").isNull(), F.col("capacity")).otherwise(F.least(F.col("capacity"), share))).drop("__rest", "__weights", "__short", "__at")
 
 
-def budgets(leaves: DataFrame, levels: list[str], weights: list[DataFrame | None], budget: Column | int, epochs: int = 1) -> DataFrame:
+def budgets(leaves: DataFrame, levels: list[str], weights: list[DataFrame | None], budget: int, epochs: int = 1) -> DataFrame:
     """levels, tokens, budget: whole tokens for each leaf of a table of levels and tokens.
 
     weights: for each level a table of the level's columns so far and `weight`, or None for weight 1; nodes that a table
@@ -46,12 +46,11 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[DataFrame | None
     """
     names = [f"l_{i}" for i in range(len(levels))]
     leaf = leaves.select(*(F.col(c).alias(n) for c, n in zip(levels, names, strict=True)), F.col("tokens").cast("long").alias("tokens"))
-    total = F.lit(budget).cast("long") if isinstance(budget, int) else budget.cast("long")
-    above = leaf.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(total.alias("parent_budget"))
+    above = None
     for i in range(len(levels)):
         keys = names[: i + 1]
         node = leaf.groupBy(*keys).agg((F.sum("tokens") * epochs).cast("long").alias("capacity"))
-        node = node.crossJoin(above) if not i else _meet(node, above, names[:i], "inner")
+        node = _meet(node, above, names[:i], "inner") if i else node.withColumn("parent_budget", F.lit(budget).cast("long"))
         if weights[i] is None:
             node = node.withColumn("weight", F.lit(1.0))
         else:

@@ -122,7 +122,7 @@ def links(distinct: DataFrame, bits: int = 2, most: int = CELL_MOST) -> DataFram
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id (the least id reachable over links), n_links (links found at its fingerprint).
+    """id, fingerprint (16 hex digits), component_id (the least id reachable over links).
 
     Texts without words have the zero fingerprint, which links like any other. Repeated rows and equal texts share a
     component; a null id is in a component but never names it, unless all its ids are null. Other columns are ignored.

@@ -119,8 +119,6 @@ def fit(seeds: DataFrame, url_col: str, seed_col: str) -> Ratio:
         both = np.fromiter(pairs, np.int64, len(pairs))
         yield pa.RecordBatch.from_arrays([pa.array(both // CELLS), pa.array(both % CELLS), pa.array(np.ones(len(both), np.int64))], names=["i", "j", "n"])
 
-    from pyspark.sql import Window  # noqa: F401
-
     rows = seeds.select(F.col(url_col), F.col(seed_col).cast("int")).mapInArrow(partial, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     # Followers of a context: its pairs are distinct by now, so one more sum counts them. At most 6 * CELLS rows a class reach the driver.
     kind = F.when(F.col("j") >= 0, -3).otherwise(F.col("j"))

@@ -50,9 +50,9 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """rho of a table of models or days, by average ranks."""
-    from loadlens.operators.windows import average_rank
+    from loadlens.operators.windows import with_average_rank
 
-    return df.withColumn("__k", F.lit(0)).select(average_rank(a, "__k").alias("ra"), average_rank(b, "__k").alias("rb")).agg(F.corr("ra", "rb").alias("rho"))
+    return with_average_rank(with_average_rank(df.select(a, b), a, "__ra"), b, "__rb").agg(F.corr("__ra", "__rb").alias("rho"))
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:

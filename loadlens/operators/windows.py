@@ -62,10 +62,19 @@ def earlier_only(df: DataFrame, value: str, order: str, *keys: str) -> Column:
     return F.percentile(value, F.lit(0.5)).over(series(order, *keys).rowsBetween(Window.unboundedPreceding, -1))
 
 
-def average_rank(value: str, *keys: str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    whole = Window.partitionBy(*keys, value)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(whole) - 1) / 2
+def with_average_rank(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
+    """Adds ranks from 1 within keys, ties sharing their mean; nulls come first and tie.
+
+    Rows are counted by value before anything is ordered, so the running sums are over distinct values and not rows.
+    """
+    at = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("__c").over(below), F.lit(0)) + (F.col("__c") + 1) / 2
+    at = at.select(*(F.col(k).alias(f"__r_{k}") for k in (*keys, value)), rank.alias(name))
+    on = F.lit(True)
+    for k in (*keys, value):
+        on = on & df[k].eqNullSafe(at[f"__r_{k}"])
+    return df.join(at, on).select(*df.columns, name)
 
 
 def quantile_bins(value: str, bins: int, tie: str, *keys: str) -> Column:

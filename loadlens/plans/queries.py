@@ -258,11 +258,11 @@ def running_best(spark: S, sf: D) -> DataFrame:
     return calendar(repaired(spark, sf)).select("site_id", "day", F.min("power_mean").over(w).alias("best_low"), F.max("power_mean").over(w).alias("best_high"))
 
 
-@register("SELECT c_custkey, I(floor(rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0)) AS rank_ FROM customer WHERE c_custkey <= 200")
+@register("SELECT c_custkey, I(floor(rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0)) AS rank_ FROM customer")
 def average_rank(spark: S, sf: D) -> DataFrame:
-    """Average ranks, cut to whole numbers, of a small table."""
-    df = table(spark, sf, "customer").filter("c_custkey <= 200").withColumn("k", F.lit(0))
-    return df.select("c_custkey", windows.average_rank("c_nationkey", "k").cast("int").alias("rank_"))
+    """Average ranks, cut to whole numbers."""
+    df = windows.with_average_rank(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "rank_")
+    return df.select("c_custkey", F.col("rank_").cast("int").alias("rank_"))
 
 
 @register("SELECT I(24) AS hours, I(3) AS lags, I(0) AS violations")
@@ -301,11 +301,13 @@ def profile_contamination(spark: S, sf: D) -> DataFrame:
     return splits.contamination(splits.profile_hash(meter(spark, sf), "ts"), folds(spark))
 
 
-@register("WITH t AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 10 < 8) SELECT I(count(*)) AS n_val, I(sum((h IS NOT NULL)::INT)) AS n_seen FROM (SELECT md5(text) AS h0 FROM documents WHERE doc_id % 10 >= 8) LEFT JOIN t ON h0 = h")
+@register("WITH d AS (SELECT md5(text) AS h, doc_id IN (SELECT doc_id FROM labels) AS train FROM documents), t AS (SELECT DISTINCT h FROM d WHERE train) SELECT I(count(*)) AS n_val, I(sum((t.h IS NOT NULL)::INT)) AS n_seen FROM (SELECT h FROM d WHERE NOT train) v LEFT JOIN t ON v.h = t.h")
 def text_contamination(spark: S, sf: D) -> DataFrame:
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 10 < 8).alias("train"), F.md5("text").alias("h"))
+    """Unlabelled documents, and how many of them have a labelled one's text."""
+    labelled = table(spark, sf, "labels").select("doc_id").distinct().withColumn("train", F.lit(True))
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h")).join(labelled, "doc_id", "left")
     seen = d.filter("train").select("h").distinct().withColumn("seen", F.lit(1))
-    return d.filter("not train").join(seen, "h", "left").agg(F.count("*").alias("n_val"), F.sum(F.coalesce("seen", F.lit(0))).alias("n_seen"))
+    return d.filter("train is null").join(seen, "h", "left").agg(F.count("*").alias("n_val"), F.sum(F.coalesce("seen", F.lit(0))).alias("n_seen"))
 
 
 @register("SELECT role, count(*) AS n FROM (SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'core' WHEN ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-18' THEN 'calibration' WHEN ts >= TIMESTAMP '2024-01-18' AND ts < TIMESTAMP '2024-01-25' THEN 'evaluation' END AS role FROM @meter) GROUP BY 1")
@@ -527,10 +529,10 @@ def largest_peaks(spark: S, sf: D) -> DataFrame:
 # --- scalar functions -----------------------------------------------------------------------------------------------------
 
 
-@register("SELECT l_orderkey, I(l_linenumber) AS l_linenumber, R(floor(x + 0.5)) AS half_up, R(round_even(x, 0)) AS half_even, R(coalesce(l_tax / nullif(l_discount, 0), 0)) AS ratio, R(CASE WHEN l_quantity <= 0 THEN 0 WHEN l_quantity <= 10 THEN l_quantity / 10 WHEN l_quantity <= 50 THEN 1 + (l_quantity - 10) * 0.025 ELSE 2 END) AS bent FROM (SELECT *, l_quantity / 2 - 10 AS x FROM lineitem WHERE l_orderkey < 2000)")
+@register("SELECT l_orderkey, I(l_linenumber) AS l_linenumber, R(floor(x + 0.5)) AS half_up, R(round_even(x, 0)) AS half_even, R(coalesce(l_tax / nullif(l_discount, 0), 0)) AS ratio, R(CASE WHEN l_quantity <= 0 THEN 0 WHEN l_quantity <= 10 THEN l_quantity / 10 WHEN l_quantity <= 50 THEN 1 + (l_quantity - 10) * 0.025 ELSE 2 END) AS bent FROM (SELECT *, l_quantity / 2 - 10 AS x FROM lineitem)")
 def scalar_rounding(spark: S, sf: D) -> DataFrame:
     x = F.col("l_quantity") / 2 - 10
-    li = table(spark, sf, "lineitem").filter("l_orderkey < 2000")
+    li = table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", stats.half_up(x).cast("double").alias("half_up"), F.bround(x, 0).alias("half_even"), F.coalesce(stats.safe_ratio(F.col("l_tax"), F.col("l_discount")), F.lit(0.0)).alias("ratio"), stats.interpolate(F.col("l_quantity"), [(0.0, 0.0), (10.0, 1.0), (50.0, 2.0)]).alias("bent"))
 
 

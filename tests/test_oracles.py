@@ -7,7 +7,7 @@ from loadlens.plans import queries  # noqa: F401
 from loadlens.plans.base import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
 @pytest.fixture(scope="module")

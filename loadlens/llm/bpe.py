@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
@@ -40,42 +41,58 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     size = 1 << (n - 2).bit_length() if n > 2 else 1
-    none = len(ranks) << 40
+    #: Keys order by rank, then by place; a leaf without a pair has `none`. Small shifts keep most keys in one machine word.
+    shift, find = size.bit_length(), ranks.get
+    none = len(ranks) << shift
     tree = [none] * (2 * size)
-    find = ranks.get
-    #: Token i spans piece[i:end[i]]; start_before[i] is the token before it. Keys order by rank, then by place.
+    #: Token i spans piece[i:end[i]]; before[i] is the token before it.
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     for i in range(n - 1):
         if (r := find(piece[i : i + 2])) is not None:
-            tree[size + i] = r << 40 | i
+            tree[size + i] = r << shift | i
     for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-    mask = (1 << 40) - 1
+        x, y = tree[2 * i], tree[2 * i + 1]
+        tree[i] = x if x < y else y
+    mask = (1 << shift) - 1
     while (top := tree[1]) < none:
         i = top & mask
         gone = end[i]
         stop = end[i] = end[gone]
+        b = a = size + i
+        c = size + gone
+        r = None
         if stop < n:
             before[stop] = i
-        changed = [(i, piece[i : end[stop]] if stop < n else None), (gone, None)]
+            r = find(piece[i : end[stop]])
+        tree[b] = none if r is None else r << shift | i
+        if c < 2 * size:
+            tree[c] = none
+        else:  # the last token has no leaf, as it begins no pair
+            c = b
         if i:
-            changed.append((before[i], piece[before[i] : stop]))
-        for at, pair in changed:
-            r = find(pair) if pair is not None else None
-            key = none if r is None else r << 40 | at
-            at += size
-            if at >= 2 * size or tree[at] == key:
-                continue
-            tree[at] = key
-            while at > 1:
-                other = tree[at ^ 1]
-                at >>= 1
-                if other < key:
-                    key = other
-                if tree[at] == key:
-                    break
-                tree[at] = key
+            left = before[i]
+            a = size + left
+            r = find(piece[left:stop])
+            tree[a] = none if r is None else r << shift | left
+        # The three changed leaves go up together; where their paths meet, one is left.
+        while a != c:
+            a, b, c = a >> 1, b >> 1, c >> 1
+            x, y = tree[2 * b], tree[2 * b + 1]
+            tree[b] = x if x < y else y
+            if a != b:
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x < y else y
+            if c != b:
+                x, y = tree[2 * c], tree[2 * c + 1]
+                tree[c] = x if x < y else y
+        while a > 1:
+            a >>= 1
+            x, y = tree[2 * a], tree[2 * a + 1]
+            if y < x:
+                x = y
+            if tree[a] == x:
+                break
+            tree[a] = x
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -108,7 +125,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pieces = _Memo(lambda piece: np.array(merge(piece.encode(), self.ranks), "<u4").tobytes())
+        self.pieces = _Memo(lambda piece: pack("<%dI" % len(ids := merge(piece.encode(), self.ranks)), *ids))
         self.words = _Memo(lambda word: self._pieces(f" {word}"))
         self.feed = self._pieces("\n")
 

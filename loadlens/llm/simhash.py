@@ -167,53 +167,97 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Candidates: SimHash links of near_groups(), and equal fingerprints of min-wise samples, since two texts of similarity
     0.8 differ in 8 to 15 bits of one fingerprint, which no grid separates from chance at scale. In a band's group each
     text is held against its least id and against its least by a random order, never all against all; each candidate is
-    verified on whole shingle sets.
+    verified on whole shingle sets. Groups that still hold several components go on to _settled().
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def rows(batches):
         for b in batches:
-            key, fp, bands = [], [], []
+            key, fp, size, bands = [], [], [], []
             for t in as_bytes(b.column(1)):
                 words = words_of(t)
                 h = shingle_hashes(words, shingle)
                 key.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 fp.append(fingerprint(h))
+                size.append(len(np.unique(h)))
                 bands.append(sample_fingerprints(h) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=[id_col, "key", "fp", "bands"])
+            made = [pa.array(key), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=[id_col, "key", "fp", "m", "bands"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    made = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(rows, f"`{id_col}` {kind}, key string, fp long, bands array<long>")
+    made = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(rows, f"`{id_col}` {kind}, key string, fp long, m long, bands array<long>")
     made = keep(made, "samples")
-    copies = made.groupBy("key").agg(F.min(id_col).alias("id"), F.min_by("fp", id_col).alias("fp"), F.min_by("bands", id_col).alias("bands"))
+    copies = made.groupBy("key").agg(F.min(id_col).alias("id"), *(F.min_by(c, id_col).alias(c) for c in ("fp", "m", "bands")))
     copies = keep(copies.filter("id is not null"), "copies")
-    banded = copies.select("id", F.posexplode("bands").alias("band", "at"))
-    order = F.struct(F.xxhash64("id", F.col("band") % 3).alias("o"), F.col("id").alias("i"))
-    heads = banded.groupBy("band", "at").agg(F.count("*").alias("n"), F.min("id").alias("h1"), F.min(order).alias("h2")).filter("n > 1").select("band", "at", "h1", F.col("h2.i").alias("h2"))
-    met = banded.join(heads, ["band", "at"]).select(F.col("id").alias("b"), F.explode(F.array("h1", "h2")).alias("a"))
+    banded = copies.select("id", "m", F.posexplode("bands").alias("band", "at"))
+    text = F.struct("id", "m")
+    order = F.struct(F.xxhash64("id", F.col("band") % 3).alias("o"), text.alias("of"))
+    heads = banded.groupBy("band", "at").agg(F.count("*").alias("n"), F.min(text).alias("h1"), F.min(order).alias("h2")).filter("n > 1").select("band", "at", F.array("h1", "h2.of").alias("heads"))
+    members = keep(banded.join(heads, ["band", "at"]), "members")
+    met = members.select("id", "m", F.explode("heads").alias("h")).filter(_sizes_allow(F.col("m"), F.col("h.m"), similarity)).select(F.col("id").alias("b"), F.col("h.id").alias("a"))
     by_fp = copies.groupBy("fp").agg(F.min("id").alias("id"))
     near = links(by_fp.select("fp")).select("a", "b")
     of_fp = by_fp.select("fp", "id")
     near = near.join(of_fp.withColumnRenamed("fp", "a").withColumnRenamed("id", "x"), "a").join(of_fp.withColumnRenamed("fp", "b").withColumnRenamed("id", "y"), "b").select(F.col("y").alias("b"), F.col("x").alias("a"))
     same_fp = copies.join(of_fp.withColumnRenamed("id", "a"), "fp").select(F.col("id").alias("b"), "a")
-    pairs = keep(met.union(near).union(same_fp).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = keep(_ordered(met.union(near).union(same_fp)), "pairs")
 
     def sets(batches):
         for b in batches:
             h = [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], names=["id", "h"])
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = members.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(wanted, "id", "left_semi")
     held = keep(texts.mapInArrow(sets, f"id {kind}, h array<long>").dropDuplicates(["id"]), "shingles")
-    both = pairs.join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b").join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
-    common = F.size(F.array_intersect("ha", "hb"))
-    alike = both.select("a", "b", common.alias("c"), (F.size("ha") + F.size("hb")).alias("s")).filter(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
-    roots = components(keep(alike, "alike"))
+    roots = _settled(members.drop("heads"), held, pairs, similarity)
     of_copy = copies.select("key", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
     return made.select(id_col, "key").join(of_copy, "key", "left").select(id_col, "component_id")
 
 
+def _sizes_allow(m: Column, n: Column, similarity: float) -> Column:
+    """Whether sets of m and n members can have that similarity."""
+    return F.least(m, n) >= similarity * F.greatest(m, n)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, h) have that Jaccard similarity."""
+    both = pairs.join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b").join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.select("a", "b", common.alias("c"), (F.size("ha") + F.size("hb")).alias("s")).filter(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
+
+
+def _settled(members: DataFrame, held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """v, root: components over the verified pairs, and over those that further rounds find in groups (band, at) of several components.
+
+    A group of at most CELL_MOST texts gives all its pairs across components; they are tested once. A larger one gives
+    each text four new heads in each round, two by random text and two by random component, until a round finds no link. Each
+    round but the last joins components, so they end.
+    """
+    edges, tested, turn = keep(_verified(pairs, held, similarity), "alike"), pairs, 0
+    while True:
+        roots = components(edges)
+        placed = members.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = placed.groupBy("band", "at").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "at", "n")
+        mixed = keep(placed.join(mixed, ["band", "at"]), "mixed")
+        few, many = mixed.filter(F.col("n") <= CELL_MOST), mixed.filter(F.col("n") > CELL_MOST)
+        text = F.struct("id", "m", "root")
+        picks = [F.min(F.struct(F.xxhash64(c, "band", F.lit(4 * turn + i)).alias("o"), F.xxhash64("id", F.lit(turn)).alias("p"), text.alias("of")))["of"] for i, c in enumerate(("id", "id", "root", "root"))]
+        heads = many.groupBy("band", "at").agg(F.array(*picks).alias("heads"))
+        small = few.alias("x").join(few.select("band", "at", text.alias("h")), ["band", "at"]).filter("id < h.id").select("id", "m", "root", "h")
+        large = many.join(heads, ["band", "at"]).select("id", "m", "root", F.explode("heads").alias("h"))
+        met = small.union(large).filter((F.col("root") != F.col("h.root")) & _sizes_allow(F.col("m"), F.col("h.m"), similarity))
+        new = keep(_ordered(met.select(F.col("id").alias("a"), F.col("h.id").alias("b"))).join(tested, ["a", "b"], "left_anti"), "new-pairs")
+        found = keep(_verified(new, held, similarity), "found")
+        if found.isEmpty():
+            return roots
+        edges, tested, turn = keep(edges.union(found), "alike"), keep(tested.union(new), "tested"), turn + 1
+
+
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each component the row of its least id stays; of texts without words one stays, and null ids stay.
 

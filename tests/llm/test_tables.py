@@ -113,6 +113,25 @@ def test_similar_groups_recall(spark):
     assert kept == {i for i in got if got[i] == i}
 
 
+def test_similar_groups_chains(spark):
+    """Each text is like the next of its chain, but not like the one after: heads alone would miss links."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for chain in range(12):
+        text = [word() for _ in range(300)]
+        for step in range(3 + 4 * chain):
+            rows.append(" ".join(text))
+            at = 24 * step % 276
+            text = text[:at] + [word() for _ in range(24)] + text[at + 24 :]
+    r.shuffle(rows)
+    s = [shingles(t) for t in rows]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    want = plain_components(range(len(rows)), edges)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def plain_chat(rows):
     by = defaultdict(list)
     for c, t, role, x in rows:

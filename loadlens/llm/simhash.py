@@ -144,6 +144,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: A pair of similarity s shares a band with chance 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.8.
 BANDS, ROWS = 20, 5
+#: Texts of a shingle's block that one key of the join holds against the others.
+BLOCK = 512
 _MUL, _ADD = (np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1))
 
 
@@ -167,7 +169,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Candidates: SimHash links of near_groups(), and equal fingerprints of min-wise samples, since two texts of similarity
     0.8 differ in 8 to 15 bits of one fingerprint, which no grid separates from chance at scale. In a band's group each
     text is held against its least id and against its least by a random order, never all against all; each candidate is
-    verified on whole shingle sets. Groups that still hold several components go on to _settled().
+    verified on whole shingle sets. Groups that still hold several components go on to _settled(), which searches them whole.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
@@ -232,30 +234,49 @@ def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame
 
 
 def _settled(members: DataFrame, held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """v, root: components over the verified pairs, and over those that further rounds find in groups (band, at) of several components.
+    """v, root: components over the verified pairs, and over all further ones of that similarity that share a group (band, at).
 
-    A group of at most CELL_MOST texts gives all its pairs across components; they are tested once. A larger one gives
-    each text four new heads in each round, two by random text and two by random component, until a round finds no link. Each
-    round but the last joins components, so they end.
+    A group of several components gives all its pairs across them if it has at most CELL_MOST texts; the texts of larger ones
+    go on to _across(), which loses no pair.
     """
-    edges, tested, turn = keep(_verified(pairs, held, similarity), "alike"), pairs, 0
-    while True:
-        roots = components(edges)
-        placed = members.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = placed.groupBy("band", "at").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "at", "n")
-        mixed = keep(placed.join(mixed, ["band", "at"]), "mixed")
-        few, many = mixed.filter(F.col("n") <= CELL_MOST), mixed.filter(F.col("n") > CELL_MOST)
-        text = F.struct("id", "m", "root")
-        picks = [F.min(F.struct(F.xxhash64(c, "band", F.lit(4 * turn + i)).alias("o"), F.xxhash64("id", F.lit(turn)).alias("p"), text.alias("of")))["of"] for i, c in enumerate(("id", "id", "root", "root"))]
-        heads = many.groupBy("band", "at").agg(F.array(*picks).alias("heads"))
-        small = few.alias("x").join(few.select("band", "at", text.alias("h")), ["band", "at"]).filter("id < h.id").select("id", "m", "root", "h")
-        large = many.join(heads, ["band", "at"]).select("id", "m", "root", F.explode("heads").alias("h"))
-        met = small.union(large).filter((F.col("root") != F.col("h.root")) & _sizes_allow(F.col("m"), F.col("h.m"), similarity))
-        new = keep(_ordered(met.select(F.col("id").alias("a"), F.col("h.id").alias("b"))).join(tested, ["a", "b"], "left_anti"), "new-pairs")
-        found = keep(_verified(new, held, similarity), "found")
-        if found.isEmpty():
-            return roots
-        edges, tested, turn = keep(edges.union(found), "alike"), keep(tested.union(new), "tested"), turn + 1
+    edges = keep(_verified(pairs, held, similarity), "alike")
+    roots = components(edges)
+    placed = members.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = placed.groupBy("band", "at").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "at", "n")
+    mixed = keep(placed.join(mixed, ["band", "at"]), "mixed")
+    few = mixed.filter(F.col("n") <= CELL_MOST)
+    small = few.alias("x").join(few.select("band", "at", F.struct("id", "m", "root").alias("h")), ["band", "at"]).filter("id < h.id")
+    small = small.filter((F.col("root") != F.col("h.root")) & _sizes_allow(F.col("m"), F.col("h.m"), similarity)).select(F.col("id").alias("a"), F.col("h.id").alias("b"))
+    large = keep(mixed.filter(F.col("n") > CELL_MOST).select("id", "m", "root").distinct(), "crowded")
+    new = keep(_ordered(small.union(_across(large, held, similarity))).join(pairs, ["a", "b"], "left_anti"), "new-pairs")
+    return components(keep(edges.union(_verified(new, held, similarity)), "alike"))
+
+
+def _across(texts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of texts (id, m, root) of different roots, among them each whose sets have that Jaccard similarity.
+
+    Shingles are ordered by how many of the texts hold them. The first shingle, in that order, that a pair has in common bounds
+    what they can share by what is left of either set, so it must come early in both: in the first 11 % of the smaller and
+    the first 20 % of the larger set at 0.8. Pairs are made for each shingle among texts that hold it that early. Of a
+    shingle's texts those of its most frequent root don't meet each other; the others are dealt to blocks of BLOCK texts.
+    """
+    each = held.join(texts.select("id"), "id", "left_semi").select("id", F.explode("h").alias("g"))
+    often = keep(each.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    # Shingles of one text alone come first and join nothing; they only move the others' places.
+    lists = each.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("l"))
+    ranked = texts.join(lists, "id").select("id", "m", "root", F.posexplode("l").alias("i", "x"), F.size("l").alias("k"))
+    ranked = ranked.select("id", "m", "root", (F.col("m") - F.col("k") + F.col("i")).alias("i"), F.col("x.g").alias("g"))
+    slack, part = 1e-6, 2 * similarity / (1 + similarity)
+    early = keep(ranked.filter(F.col("m") - F.col("i") >= similarity * F.col("m") - slack).withColumn("first", F.col("m") - F.col("i") >= part * F.col("m") - slack), "early")
+    by_root = early.groupBy("g", "root").agg(F.count("*").alias("n"), F.max("first").alias("first"))
+    cells = by_root.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.max("first").alias("first"))
+    cells = cells.filter((F.col("n") > F.col("most.n")) & F.col("first")).select("g", F.col("most.root").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"))
+    rows = early.join(cells, "g")
+    other = rows.filter("root <> most").select("g", F.pmod(F.xxhash64("id", "g"), F.col("blocks")).cast("int").alias("block"), F.struct("id", "m", "root", "i", "first").alias("o"))
+    all_ = rows.select("g", "id", "m", "root", "i", "first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = all_.join(other, ["g", "block"]).filter((F.col("root") != F.col("o.root")) & _sizes_allow(F.col("m"), F.col("o.m"), similarity))
+    left = F.least(F.col("m") - F.col("i"), F.col("o.m") - F.col("o.i"))
+    return met.filter(left >= part / 2 * (F.col("m") + F.col("o.m")) - slack).select(F.col("id").alias("a"), F.col("o.id").alias("b"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -132,6 +132,42 @@ def test_similar_groups_chains(spark):
     assert got == want
 
 
+def test_similar_groups_families(spark):
+    """Pairs at 0.8 inside a family at 0.71: three quarters of a pair's shingles are the family's, and most shared bands too."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(304)], []
+    for _ in range(150):
+        own = [word() for _ in range(30)]
+        rows += [" ".join([*passage, *own, *(word() for _ in range(34))]) for _ in range(2)]
+    r.shuffle(rows)
+    s = [shingles(t) for t in rows]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    assert len(edges) == 150
+    want = plain_components(range(len(rows)), edges)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    print("families: pairs lost", sum(got[a] != got[b] for a, b in edges), "of", len(edges))
+    # A pair that shares no band at all (0.0005 by itself) is not looked for.
+    assert sum(got[i] != want[i] for i in got) <= 1
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_across_loses_nothing(spark, similarity, monkeypatch):
+    r = random.Random(13)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    sets = []
+    for _ in range(12):
+        core = r.sample(range(1000), r.randint(1, 40))
+        for _ in range(12):
+            sets.append({x for x in core if r.random() < 0.93} | {r.randrange(1000) for _ in range(r.randint(0, 5))} or {1})
+    root = [i if i % 3 else 0 for i in range(len(sets))]
+    texts = spark.createDataFrame([(i, len(x), root[i]) for i, x in enumerate(sets)], "id long, m long, root long")
+    held = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, h array<long>")
+    got = {tuple(sorted((x["a"], x["b"]))) for x in simhash._across(texts, held, similarity).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
 def plain_chat(rows):
     by = defaultdict(list)
     for c, t, role, x in rows:

@@ -42,21 +42,28 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[DataFrame | None
     """levels, tokens, budget: whole tokens for each leaf of a table of levels and tokens.
 
     weights: for each level a table of the level's columns so far and `weight`, or None for weight 1; nodes that a table
-    doesn't list, or lists with a null or negative weight, get 0 and with it nothing. Null names are names.
+    doesn't list, or lists with a null or negative weight, get 0 and with it nothing, and what lies below them is no capacity
+    of the nodes above. Null names are names.
     """
     names = [f"l_{i}" for i in range(len(levels))]
     leaf = leaves.select(*(F.col(c).alias(n) for c, n in zip(levels, names, strict=True)), F.col("tokens").cast("long").alias("tokens"))
+    # Only leaves that every level lists with a positive weight can take anything: others give their nodes no capacity.
+    listed: list[DataFrame | None] = []
+    usable = leaf
+    for i, given in enumerate(weights):
+        if given is None:
+            listed.append(None)
+            continue
+        keys = names[: i + 1]
+        listed.append(given.select(*(F.col(c).alias(n) for c, n in zip(levels[: i + 1], keys, strict=True)), F.col("weight").cast("double").alias("weight")).filter("weight > 0"))
+        usable = _meet(usable, listed[i].select(*keys).distinct(), keys, "left_semi")
     above = None
     for i in range(len(levels)):
         keys = names[: i + 1]
-        node = leaf.groupBy(*keys).agg((F.sum("tokens") * epochs).cast("long").alias("capacity"))
+        node = usable.groupBy(*keys).agg((F.sum("tokens") * epochs).cast("long").alias("capacity"))
         node = _meet(node, above, names[:i], "inner") if i else node.withColumn("parent_budget", F.lit(budget).cast("long"))
-        if weights[i] is None:
-            node = node.withColumn("weight", F.lit(1.0))
-        else:
-            w = weights[i].select(*(F.col(c).alias(n) for c, n in zip(levels[: i + 1], keys, strict=True)), F.col("weight").cast("double").alias("weight"))
-            node = _meet(node, w, keys, "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-        some = _share(node.filter("weight > 0"), names[:i] or [F.lit(0)])
+        node = node.withColumn("weight", F.lit(1.0)) if listed[i] is None else _meet(node, listed[i], keys, "inner")
+        some = _share(node, names[:i] or [F.lit(0)])
         above = some.select(*keys, F.col("budget").alias("parent_budget"))
     out = _meet(leaf, above, names, "left")
     return out.select(*(F.col(n).alias(c) for c, n in zip(levels, names, strict=True)), "tokens", F.coalesce("parent_budget", F.lit(0)).cast("long").alias("budget"))

@@ -255,6 +255,16 @@ def test_mixing(spark):
     assert mixing.select(df.filter("1 = 0"), levels, [wd, wl, None], 0.5).count() == 0
 
 
+def test_mixing_unlisted_below(spark):
+    """What unlisted, null or weightless names hold below a node is no capacity of it: its siblings get that budget."""
+    rows = [("web", "en", "a", 100), ("web", None, "a", 500), ("web", "xx", "b", 400), ("web", "de", "c", 70), ("curated", "en", "d", 1000), ("curated", None, "d", 5)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    wd = spark.createDataFrame([("web", 60), ("curated", 40)], "domain string, weight long")
+    wl = spark.createDataFrame([("web", "en", 1), ("web", "de", 0), ("curated", "en", 1), ("curated", None, None)], "domain string, lang string, weight long")
+    got = {(x["domain"], x["lang"], x["source"]): x["budget"] for x in mixing.budgets(leaves, ["domain", "lang", "source"], [wd, wl, None], 1000).collect()}
+    assert {k: v for k, v in got.items() if v} == {("web", "en", "a"): 100, ("curated", "en", "d"): 900} and len(got) == len(rows)
+
+
 def auc(y, s):
     order = np.argsort(s)
     ranks = np.empty(len(s))

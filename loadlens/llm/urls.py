@@ -162,15 +162,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """id, host, path, rule, verdict, difference for every page; nothing else is read.
 
     The longest rule that fits decides; else the models do, a difference under the cut being `block`. Seeds: what rules
-    allow is accepted; what they block, or has one of REJECTED_WORDS in its host, rejected; of the rest, what has no such
-    word is accepted too. Null urls have empty host and path; ids may be null or repeated.
+    block, or has one of REJECTED_WORDS in its host (also if a rule allows it), is rejected; all else is accepted. If there
+    are no seeds of one class, its model is empty and nothing can be calibrated: the cut is then 0. Null urls have empty host
+    and path; ids may be null or repeated.
     """
     df = parts(pages.select(F.col(id_col), F.col(url_col).cast("string").alias("__url")), "__url")
     name, verdict = _rule(F.col("host"), F.col("path"), rules)
     df = df.withColumn("rule", name).withColumn("__verdict", verdict)
     odd = F.col("host").rlike("|".join(REJECTED_WORDS))
-    seed = F.when(odd, 0).when(F.col("__verdict") == "allow", 1).when(F.col("__verdict").isNull(), 1)
-    model = fit(df.withColumn("__seed", seed).filter("__seed is not null"), "__url", "__seed")
+    seed = F.when(odd | (F.col("__verdict") == "block"), 0).otherwise(1)
+    model = fit(df.withColumn("__seed", seed), "__url", "__seed")
     out = difference(df, model, "__url")
     method = F.when(F.col("difference") < model.cut, "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("__verdict", method).alias("verdict"), "difference")

@@ -323,6 +323,15 @@ def test_urls(spark):
     assert urls.judge(df.filter("1 = 0")).count() == 0
 
 
+def test_urls_learn_from_blocked_pages(spark):
+    """No host has a rejected word: what the rules block is all that the rejected model can learn from."""
+    made = [f"http://tracker-zq{i}.net/zq/win/{i}" for i in range(60)] + [f"http://quiet{i}.example.com/fr/{i}" for i in range(60)] + [f"http://tracker-zq{i}.info/zq/win/{i}" for i in range(4)]
+    rows = urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()
+    mean = lambda part: sum(r["difference"] for r in rows if part(r)) / sum(map(bool, map(part, rows)))
+    assert mean(lambda r: r["host"].endswith(".net")) < 0 < mean(lambda r: r["host"].startswith("quiet"))
+    assert all(r["verdict"] == "allow" for r in rows if r["host"].startswith("quiet"))
+
+
 def same_rows(got, want):
     key = lambda rows, cols: sorted(tuple(str(x[c]) for c in sorted(cols)) for x in rows)
     assert sorted(got.columns) == sorted(want.columns)

@@ -163,5 +163,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         x = np.array([statistics((t or "").encode("utf-8", "replace")) for t in texts], float).reshape(-1, len(FEATURES))
         return pd.Series(model.score(x) >= threshold, dtype=bool)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return docs.filter(good(F.col(text_col).cast("string")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keep, map_texts
+from .common import as_bytes, keep, map_texts, slices
 from .components import components
 
 SEED = 42
@@ -144,8 +144,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: A pair of similarity s shares a band with chance 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.8.
 BANDS, ROWS = 20, 5
-#: Texts of a shingle's block that one key of the join holds against the others.
+#: Texts of a shingle's block, and pairs of a text, that one key of a join holds.
 BLOCK = 512
+#: Turns of heads before crowded groups are searched whole.
+MOST_TURNS = 4
 _MUL, _ADD = (np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1))
 
 
@@ -167,14 +169,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, component_id: components over exact copies (words alike) and pairs whose sets of shingles have that Jaccard similarity.
 
     Candidates: SimHash links of near_groups(), and equal fingerprints of min-wise samples, since two texts of similarity
-    0.8 differ in 8 to 15 bits of one fingerprint, which no grid separates from chance at scale. In a band's group each
-    text is held against its least id and against its least by a random order, never all against all; each candidate is
-    verified on whole shingle sets. Groups that still hold several components go on to _settled(), which searches them whole.
+    0.8 differ in 8 to 15 bits of one fingerprint, which no grid separates from chance at scale. A text first meets one head
+    only, the least of the heads of its groups; each candidate is verified on whole shingle sets, and what is alike becomes
+    one component before any further pair is made. Groups that still hold several components go on to _settled(), which
+    searches them whole.
+
+    Null and empty texts are one text without words and so copies of each other. Repeated rows, and rows of one id, give
+    a row each; rows with a null id are in no group but that of their copies (component_id is null if all of them have no
+    id). Other columns are ignored, whatever their names; an empty table gives none.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    kind = docs.schema[0].dataType.simpleString()
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             key, fp, size, bands = [], [], [], []
             for t in as_bytes(b.column(1)):
                 words = words_of(t)
@@ -184,37 +192,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 size.append(len(np.unique(h)))
                 bands.append(sample_fingerprints(h) if len(h) else [])
             made = [pa.array(key), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=[id_col, "key", "fp", "m", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["id", "key", "fp", "m", "bands"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    made = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(rows, f"`{id_col}` {kind}, key string, fp long, m long, bands array<long>")
-    made = keep(made, "samples")
-    copies = made.groupBy("key").agg(F.min(id_col).alias("id"), *(F.min_by(c, id_col).alias(c) for c in ("fp", "m", "bands")))
+    made = keep(docs.mapInArrow(rows, f"id {kind}, key string, fp long, m long, bands array<long>"), "samples")
+    copies = made.groupBy("key").agg(F.min("id").alias("id"), *(F.min_by(c, "id").alias(c) for c in ("fp", "m", "bands")))
     copies = keep(copies.filter("id is not null"), "copies")
-    banded = copies.select("id", "m", F.posexplode("bands").alias("band", "at"))
+    # A band's number is part of its fingerprint, so `at` alone names a group.
+    banded = copies.select("id", "m", F.explode("bands").alias("at"))
     text = F.struct("id", "m")
-    order = F.struct(F.xxhash64("id", F.col("band") % 3).alias("o"), text.alias("of"))
-    heads = banded.groupBy("band", "at").agg(F.count("*").alias("n"), F.min(text).alias("h1"), F.min(order).alias("h2")).filter("n > 1").select("band", "at", F.array("h1", "h2.of").alias("heads"))
-    members = keep(banded.join(heads, ["band", "at"]), "members")
-    met = members.select("id", "m", F.explode("heads").alias("h")).filter(_sizes_allow(F.col("m"), F.col("h.m"), similarity)).select(F.col("id").alias("b"), F.col("h.id").alias("a"))
+    heads = banded.groupBy("at").agg(F.count("*").alias("n"), F.min(text).alias("h")).filter("n > 1")
+    members = keep(banded.join(heads, "at"), "members")
+    met = members.filter("id <> h.id").filter(_sizes_allow(F.col("m"), F.col("h.m"), similarity)).groupBy("id").agg(F.min("h.id").alias("a")).select("a", F.col("id").alias("b"))
     by_fp = copies.groupBy("fp").agg(F.min("id").alias("id"))
     near = links(by_fp.select("fp")).select("a", "b")
     of_fp = by_fp.select("fp", "id")
-    near = near.join(of_fp.withColumnRenamed("fp", "a").withColumnRenamed("id", "x"), "a").join(of_fp.withColumnRenamed("fp", "b").withColumnRenamed("id", "y"), "b").select(F.col("y").alias("b"), F.col("x").alias("a"))
-    same_fp = copies.join(of_fp.withColumnRenamed("id", "a"), "fp").select(F.col("id").alias("b"), "a")
+    near = near.join(of_fp.withColumnRenamed("fp", "a").withColumnRenamed("id", "x"), "a").join(of_fp.withColumnRenamed("fp", "b").withColumnRenamed("id", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same_fp = copies.join(of_fp.withColumnRenamed("id", "a"), "fp").select("a", F.col("id").alias("b"))
     pairs = keep(_ordered(met.union(near).union(same_fp)), "pairs")
 
     def sets(batches):
-        for b in batches:
+        for b in slices(batches):
             h = [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], names=["id", "h"])
 
     wanted = members.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(wanted, "id", "left_semi")
-    held = keep(texts.mapInArrow(sets, f"id {kind}, h array<long>").dropDuplicates(["id"]), "shingles")
-    roots = _settled(members.drop("heads"), held, pairs, similarity)
+    held = keep(docs.join(wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, h array<long>").dropDuplicates(["id"]), "shingles")
+    roots = _settled(members.drop("h"), held, pairs, similarity)
     of_copy = copies.select("key", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
-    return made.select(id_col, "key").join(of_copy, "key", "left").select(id_col, "component_id")
+    return made.select(F.col("id").alias(id_col), "key").join(of_copy, "key", "left").select(id_col, "component_id")
 
 
 def _sizes_allow(m: Column, n: Column, similarity: float) -> Column:
@@ -226,30 +231,55 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _with_sets(pairs: DataFrame, held: DataFrame, side: str) -> DataFrame:
+    """pairs with the set of the text in column `side`, as h_side.
+
+    A text of many pairs is dealt to blocks of BLOCK pairs, with its set once for each block, so that no task gets all of them.
+    """
+    many = pairs.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = pairs.join(many, side, "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))).drop("blocks")
+    sets = held.select(F.col("id").alias(side), F.col("h").alias(f"h_{side}")).join(many, side, "left")
+    sets = sets.select(side, f"h_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    return dealt.join(sets, [side, "block"]).drop("block")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (id, h) have that Jaccard similarity."""
-    both = pairs.join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b").join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.select("a", "b", common.alias("c"), (F.size("ha") + F.size("hb")).alias("s")).filter(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
+    both = _with_sets(_with_sets(pairs.select("a", "b"), held, "b"), held, "a")
+    common = F.size(F.array_intersect("h_a", "h_b"))
+    return both.select("a", "b", common.alias("c"), (F.size("h_a") + F.size("h_b")).alias("s")).filter(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
 
 
 def _settled(members: DataFrame, held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """v, root: components over the verified pairs, and over all further ones of that similarity that share a group (band, at).
+    """v, root: components over the verified pairs, and over all further ones of that similarity that share a group `at`.
 
-    A group of several components gives all its pairs across them if it has at most CELL_MOST texts; the texts of larger ones
-    go on to _across(), which loses no pair.
+    A group of several components gives all its pairs across them if it has at most CELL_MOST texts. In larger ones each
+    text meets one head of another component, drawn anew in each turn, for as long as such turns merge anything; this only
+    saves work, since what is then left of these groups goes on to _across(), which loses no pair.
     """
-    edges = keep(_verified(pairs, held, similarity), "alike")
-    roots = components(edges)
+    roots = components(keep(_verified(pairs, held, similarity), "alike"))
     placed = members.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("band", "at").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "at", "n")
-    mixed = keep(placed.join(mixed, ["band", "at"]), "mixed")
-    few = mixed.filter(F.col("n") <= CELL_MOST)
-    small = few.alias("x").join(few.select("band", "at", F.struct("id", "m", "root").alias("h")), ["band", "at"]).filter("id < h.id")
+    for turn in range(MOST_TURNS + 1):
+        mixed = placed.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("at")
+        placed = keep(placed.join(mixed, "at"), "mixed")
+        many = placed.filter(F.col("n") > CELL_MOST)
+        if turn == MOST_TURNS:
+            break
+        head = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "m", "root")
+        met = many.join(many.groupBy("at").agg(F.min(head).alias("h")), "at").filter((F.col("root") != F.col("h.root")) & _sizes_allow(F.col("m"), F.col("h.m"), similarity))
+        met = met.groupBy("id").agg(F.min("h").alias("h")).select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+        alike = keep(_verified(met, held, similarity), "alike")
+        if alike.isEmpty():
+            break
+        roots = components(keep(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(alike), "stars"))
+        placed = placed.drop("root").join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    few = placed.filter(F.col("n") <= CELL_MOST)
+    small = few.join(few.select("at", F.struct("id", "m", "root").alias("h")), "at").filter("id < h.id")
     small = small.filter((F.col("root") != F.col("h.root")) & _sizes_allow(F.col("m"), F.col("h.m"), similarity)).select(F.col("id").alias("a"), F.col("h.id").alias("b"))
-    large = keep(mixed.filter(F.col("n") > CELL_MOST).select("id", "m", "root").distinct(), "crowded")
+    large = keep(many.select("id", "m", "root").distinct(), "crowded")
     new = keep(_ordered(small.union(_across(large, held, similarity))).join(pairs, ["a", "b"], "left_anti"), "new-pairs")
-    return components(keep(edges.union(_verified(new, held, similarity)), "alike"))
+    alike = keep(_verified(new, held, similarity), "alike")
+    return components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(alike))
 
 
 def _across(texts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -282,7 +312,8 @@ def _across(texts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each component the row of its least id stays; of texts without words one stays, and null ids stay.
 
-    Rows of one id count as one document and go or stay together; columns are as they were.
+    Null and empty texts count as texts without words. Rows of one id count as one document and go or stay together; columns
+    are as they were, whatever their names; an empty table gives none.
     """
     groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     gone = groups.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()

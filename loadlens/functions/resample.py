@@ -67,6 +67,41 @@ def paired_mae(df: DataFrame, draws: DataFrame, y: str = "y", a: str = "pred_a",
     )
 
 
+def mean_limits(df: DataFrame, value: Column, keep: Column, draws_of, day: str = "day") -> DataFrame:
+    """n, mean, low, high of a value's mean over the rows that `keep` holds for: 95 % limits from draws of the days that have such rows.
+
+    draws_of makes the draws for a number of days; fewer than two days give null limits.
+    """
+    rows = df.filter(keep & value.isNotNull())
+    n = rows.select(day).distinct().count()
+    plain = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    if n < 2:
+        return plain.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    reps = replicates(rows, {"s": F.sum(value), "c": F.count("*")}, draws_of(n), day).select((F.col("s") / F.col("c")).alias("m"))
+    q = reps.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return plain.crossJoin(q).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def seed_draws(spark: SparkSession, days: list, block: int, n_boot: int, seeds: range | list[int]) -> DataFrame:
+    """seed, rep, place, times: the draws of block_draws() for each seed; the seed is one more key of one table."""
+    parts = [block_draws(spark, days, block, n_boot, s).withColumn("seed", F.lit(s)) for s in seeds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def seed_sensitivity(df: DataFrame, draws: DataFrame, y: str = "y", a: str = "pred_a", b: str = "pred_b", day: str = "day") -> DataFrame:
+    """seed, ci_low, ci_high, p, includes_zero of the difference of two mean absolute errors, for each seed's draws."""
+    err = lambda p: F.abs(F.col(y) - F.col(p))
+    met = draws.join(_daily(df, {"s": F.sum(err(a) - err(b)), "n": F.count("*")}, day), "place")
+    reps = met.groupBy("seed", "rep").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("d"))
+    q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
+    out = reps.groupBy("seed").agg(q.alias("q"), F.avg((F.col("d") >= 0).cast("double")).alias("over"), F.avg((F.col("d") <= 0).cast("double")).alias("under"))
+    lo, hi = F.col("q")[0], F.col("q")[1]
+    return out.select("seed", lo.alias("ci_low"), hi.alias("ci_high"), F.least(F.lit(1.0), 2 * F.least("over", "under")).alias("p"), ((lo <= 0) & (hi >= 0)).alias("includes_zero"))
+
+
 #: Rates of the cluster bootstrap, out of daily tp, fn, fp, tn, error sum and rows.
 RATES = {
     "miss_rate": ("fn", "tp + fn"), "false_positive_rate": ("fp", "fp + tn"), "precision": ("tp", "tp + fp"), "recall": ("tp", "tp + fn"), "f1": ("2 * tp", "2 * tp + fp + fn"), "mae": ("esum", "n"),

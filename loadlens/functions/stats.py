@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What two doubles near 1 differ by.
+EPS = 2.0**-52
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, lo, hi, n_distinct, n_null in one pass."""
     one = df.agg(*(f(c).alias(f"{n}__{c}") for c in columns for n, f in (("lo", lambda c: F.min(F.col(c).cast("double"))), ("hi", lambda c: F.max(F.col(c).cast("double"))), ("nd", F.count_distinct), ("nn", lambda c: F.sum(F.col(c).isNull().cast("long"))))))
@@ -65,25 +70,43 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 
 def within_slope(df: DataFrame, x: str, y: str, group: str, keys: list[str]) -> DataFrame:
-    """keys, n, beta, r2 of y on x with an intercept for each group: the slope of deviations from group means.
+    """keys, n, beta, r2, identified of y on x with an intercept for each group: the slope of deviations from group means.
 
-    Sums by key and group are enough for it, so one aggregation feeds another and no row is joined to its mean.
+    Where x doesn't vary within groups (beyond what doubles tell apart) the slope is 0 and not identified, and r2 is that of
+    the group means alone; r2 is null where y doesn't vary. Sums by key and group are enough for it, so one aggregation
+    feeds another and no row is joined to its mean.
     """
     s = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y)), "syy": F.sum(F.col(y) * F.col(y))}
     g = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, group).agg(*(v.alias(k) for k, v in s.items()))
     cut = lambda a, b, ab: F.sum(F.col(ab) - F.col(a) * F.col(b) / F.col("n"))
-    t = g.groupBy(*keys).agg(F.sum("n").alias("n"), cut("sx", "sx", "sxx").alias("wxx"), cut("sx", "sy", "sxy").alias("wxy"), cut("sy", "sy", "syy").alias("wyy"), (F.sum("syy") - F.sum("sy") * F.sum("sy") / F.sum("n")).alias("tyy"))
-    beta = F.try_divide("wxy", "wxx")
-    return t.select(*keys, "n", beta.alias("beta"), (1 - F.try_divide(F.col("wyy") - beta * F.col("wxy"), F.col("tyy"))).alias("r2"))
+    t = g.groupBy(*keys).agg(F.sum("n").alias("n"), cut("sx", "sx", "sxx").alias("wxx"), cut("sx", "sy", "sxy").alias("wxy"), cut("sy", "sy", "syy").alias("wyy"), (F.sum("syy") - F.sum("sy") * F.sum("sy") / F.sum("n")).alias("tyy"), F.sum("sxx").alias("axx"), F.sum("syy").alias("ayy"))
+    varies = lambda part, whole: F.col(part) > EPS * F.greatest(F.lit(1.0), F.col(whole))
+    t = t.withColumn("identified", varies("wxx", "axx")).withColumn("beta", F.when(F.col("identified"), F.col("wxy") / F.col("wxx")).otherwise(0.0))
+    left = F.col("wyy") - 2 * F.col("beta") * F.col("wxy") + F.col("beta") * F.col("beta") * F.col("wxx")
+    return t.select(*keys, "n", "beta", F.when(varies("tyy", "ayy"), 1 - left / F.col("tyy")).alias("r2"), "identified")
+
+
+def _beta_below(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction: some dozens of steps, whatever a and b are."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_below(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, out = 1.0, 0.0, 1.0
+    for i in range(100_000):
+        m = i // 2
+        step = 1.0 if not i else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / (1 + step * d or 1e-300), 1 + step / c or 1e-300
+        out *= c * d
+        if i and abs(c * d - 1) < 1e-15:
+            break
+    return front * (out - 1)
 
 
 def _tail(k: int, n: int, p: float) -> float:
     """P(X >= k) of a binomial."""
-    if k <= 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
+    return 1.0 if k <= 0 else _beta_below(p, k, n - k + 1)
 
 
 def binomial_limits(k: int, n: int, alpha: float = 0.05) -> tuple[float | None, float | None]:
@@ -124,9 +147,12 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
-    """Piecewise linear through knots, level beyond the ends."""
-    out = F.lit(knots[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:], strict=False))):
-        line = F.lit(y0) if x1 == x0 else y0 + (x - x0) * ((y1 - y0) / (x1 - x0))
-        out = F.when(x <= x1, line).otherwise(out)
-    return F.when(x.isNull(), None).when(x <= knots[0][0], knots[0][1]).otherwise(out)
+    """Piecewise linear through knots, level beyond the ends; at a knot given twice, the first value.
+
+    The knots are two literal arrays in which the last one below x is looked up, so thousands of them make no deeper expression.
+    """
+    xs, ys = (F.lit(np.array(v, float)) for v in zip(*knots, strict=True))
+    below = F.size(F.filter(xs, lambda e: e < x))
+    x0, y0, x1, y1 = F.get(xs, below - 1), F.get(ys, below - 1), F.get(xs, below), F.get(ys, below)
+    inside = y0 + (x - x0) * ((y1 - y0) / (x1 - x0))
+    return F.when(x.isNull(), None).when(below == 0, knots[0][1]).when(below == len(knots), knots[-1][1]).otherwise(inside)

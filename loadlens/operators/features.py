@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from loadlens.operators.windows import lags, rolling, series
 from loadlens.schemas import all_true
 
+# Lags and windows in hours, and the contract's features by group, in its order.
 LAGS = (24, 48, 168)
 WINDOWS = (24, 168)
 GROUPS = {
     "past_power": tuple(f"{c}_lag{n}" for c in ("y_avg", "y_peak") for n in LAGS),
-    "rolling": tuple(f"roll{w}_{s}" for w in WINDOWS for s in ("avg_mean", "avg_max", "avg_std", "peak_max", "peak_cnt")),
+    "rolling": ("roll24_avg_mean", "roll24_avg_max", "roll24_avg_std", "roll24_peak_max", "roll24_peak_cnt", "roll168_avg_mean", "roll168_avg_max", "roll168_avg_std", "roll168_peak_max", "roll168_peak_cnt"),
     "time": ("hour", "dow", "month", "is_sat", "is_sun", "is_holiday", "hour_sin", "hour_cos", "dow_sin", "dow_cos"),
     "process": ("is_daytime", "is_startup_08", "is_restart_13", "is_shutdown", "shutdown_nth", "is_first_day_back", "prev_day_shutdown", "is_state_switch"),
     "production": ("prod", "headcount", "prod_chg_ratio", "prod_cum_day"),

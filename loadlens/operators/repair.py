@@ -15,13 +15,13 @@ POWER_FLOOR, LABOR_LOST = 70.0, 1.5
 def restore_hours(df: DataFrame, keys: tuple[str, ...] = ("site_id", "day")) -> DataFrame:
     """Hours 0 to 23 by physical row order (row_seq) on days with any hour out of range; hour_broken marks those days.
 
-    Days of another number of rows than 24 can't be restored: their broken hours become null.
+    Such a day of another number of rows than 24 can't be restored and fails.
     """
     day = Window.partitionBy(*keys)
     bad = F.max((~F.col("hour").between(0, 23) | F.col("hour").isNull()).cast("int")).over(day) == 1
     place = F.row_number().over(day.orderBy("row_seq")) - 1
     rows = F.count("*").over(day)
-    return df.withColumn("hour_broken", bad).withColumn("hour", F.when(F.col("hour_broken"), F.when(rows == 24, place)).otherwise(F.col("hour")))
+    return df.withColumn("hour_broken", bad).withColumn("hour", F.when(~F.col("hour_broken"), F.col("hour")).when(rows == 24, place).otherwise(F.raise_error(F.concat(F.lit("HOURS_NOT_RESTORABLE: rows of the day: "), rows.cast("string"))).cast("int")))
 
 
 def flag(df: DataFrame, power_floor: float = POWER_FLOOR) -> DataFrame:

@@ -55,6 +55,36 @@ def partition_bounds(eval_start: str, core_gap_days: int = 1, cal_days: int = 15
     return {"core_end": day(-cal_days - core_gap_days), "cal_start": day(-cal_days), "cal_end": day(0 - 0), "eval_start": day(0), "eval_end": day(eval_days)}
 
 
+def inner_partitions(first_day: str, core_end: str, most: int, days: int, cal_days: int, gap_days: int = 1, least_core: int = 30) -> list[dict[str, str]]:
+    """Bounds of up to `most` evaluation windows of `days` days that end one after another at the core's end, oldest first.
+
+    Each has its own gap and calibration tail; windows whose own core is shorter than least_core days are left out.
+    """
+    import datetime as dt
+
+    end, first = dt.date.fromisoformat(core_end[:10]), dt.date.fromisoformat(first_day)
+    starts = [end - dt.timedelta(days=(k + 1) * days) for k in reversed(range(most))]
+    made = [partition_bounds(str(s), gap_days, cal_days, days) for s in starts]
+    return [b for b in made if (dt.date.fromisoformat(b["core_end"][:10]) - first).days >= least_core]
+
+
+def profile_novelty(df: DataFrame, bounds: dict[str, str]) -> DataFrame:
+    """site_id, day, seen_in_core of evaluation days of 24 whole hours, and the core's days, distinct profiles and repeated days of the site.
+
+    Looks at targets, so it belongs after the scoring.
+    """
+    whole = F.count(F.when(F.col("y_avg").isNotNull() & F.col("y_peak").isNotNull(), 1))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "y_avg", "y_peak"))), lambda x: F.concat_ws(",", x["y_avg"].cast("string"), x["y_peak"].cast("string")))
+    days = df.groupBy("site_id", "day").agg(F.count("*").alias("n"), whole.alias("w"), F.md5(F.concat_ws(";", listed)).alias("h"), F.min("ts").alias("ts")).filter("n = 24 and w = 24")
+    role = days.withColumn("role", role_of_day(**bounds))
+    core = role.filter("role = 'core'")
+    sizes = core.groupBy("site_id").agg(F.count("*").alias("core_days"), F.count_distinct("h").alias("core_profiles"))
+    seen = core.select("site_id", "h").distinct().withColumn("__seen", F.lit(True))
+    out = role.filter("role = 'evaluation'").join(seen, ["site_id", "h"], "left").join(sizes, "site_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("site_id", "day", F.coalesce("__seen", F.lit(False)).alias("seen_in_core"), n("core_days").alias("core_days"), n("core_profiles").alias("core_profiles"), (n("core_days") - n("core_profiles")).alias("core_repeats"))
+
+
 def profile_hash(df: DataFrame, order: str = "row_seq") -> DataFrame:
     """site_id, day, profile_hash of the day's readings in physical order; a day is at most a few dozen rows."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "p15", "p30", "p45", "p60"))), lambda x: F.concat_ws(",", *(x[c].cast("string") for c in ("p15", "p30", "p45", "p60"))))
@@ -91,7 +121,7 @@ def contamination(profiles: DataFrame, folds: DataFrame) -> DataFrame:
 def split_audit(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows, exclusions, masks, positives and an order-free digest for each split."""
     digest = F.sum(F.xxhash64("site_id", "ts", "y_peak").cast("decimal(38,0)")).cast("string")
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(usable().cast("long")).alias("n_usable"), *(F.sum(F.col(c).cast("long")).alias(f"n{c[2:]}") for c in MASKS), F.sum(F.coalesce("y_cls", F.lit(0)).cast("long")).alias("n_pos"), digest.alias("digest"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(usable().cast("long")).alias("n_usable"), *(F.sum(F.col(c).cast("long")).alias(f"n_{c[3:]}") for c in MASKS), F.sum(F.coalesce("y_cls", F.lit(0)).cast("long")).alias("n_pos"), digest.alias("digest"))
 
 
 def frame_digest(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions import stats
 from loadlens.operators import features, opcal, repair
-from loadlens.sources.io import holidays
+from loadlens.sources.io import holidays, materialize
 from loadlens.sources.meter import hourly_meter
 
 #: Test period, folds (train_end, val_start, val_end), listed holidays, edges of daily power; the reference's own are the library's defaults.
@@ -22,12 +24,38 @@ EDGES, FLOOR = (60.0, 90.0), 70.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Of the query being built: its shared tables, each made once.
+_shared: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Within one registered query, the table is made once for each folder; nothing is kept from query to query."""
+
+    @wraps(f)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = _shared.get()
+        if held is None:
+            return f(spark, sf_dir)
+        if (f.__name__, sf_dir) not in held:
+            held[f.__name__, sf_dir] = f(spark, sf_dir)
+        return held[f.__name__, sf_dir]
+
+    return get
+
 
 def register(sql: str | None = None):
     """Registers a query under its function's name; its columns are brought to long, double of six digits, boolean, string, date or timestamp."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        @wraps(f)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            token = _shared.set({})
+            try:
+                return tidy(f(spark, sf_dir))
+            finally:
+                _shared.reset(token)
+
+        QUERIES[f.__name__] = query
         if sql:
             ORACLE_SQL[f.__name__] = rewrite(sql)
         return f
@@ -46,12 +74,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@once
 def meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly_meter(table(spark, sf_dir, "events"))
 
 
+@once
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.targets(repair.repair(meter(spark, sf_dir), FLOOR))
+    """Written and read again: features, calendar and threshold all start from it."""
+    return materialize(repair.targets(repair.repair(meter(spark, sf_dir), FLOOR)), "repaired")
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -59,14 +90,22 @@ def calendar(df: DataFrame) -> DataFrame:
 
 
 def theta_of(df: DataFrame) -> float:
-    """One number: the peak threshold from before the test period."""
-    return round(stats.theta(df, 0.95, TEST_START).first()[0] or 0.0, 6)
+    """One number, the peak threshold from before the test period; of one table it is worked out once in a query."""
+    held = _shared.get()
+    key = ("theta", id(df))
+    if held is None or key not in held:
+        found = round(stats.theta(df, 0.95, TEST_START).first()[0] or 0.0, 6)
+        if held is None:
+            return found
+        held[key] = (found, df)  # the table too, so that no other gets its id
+    return held[key][0]
 
 
 def listed(spark: SparkSession) -> DataFrame:
     return holidays(spark, days=list(HOLIDAYS))
 
 
+@once
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = repaired(spark, sf_dir)
     th = theta_of(df)
@@ -77,6 +116,7 @@ def folds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FOLDS), "fold int, a string, b string, c string").select("fold", F.to_date("a").alias("train_end"), F.to_date("b").alias("val_start"), F.to_date("c").alias("val_end"))
 
 
+@once
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long predictions of three naive models on usable rows of the folds' validation days."""
     df = featured(spark, sf_dir)
@@ -97,7 +137,7 @@ _FF = "last_value({} IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY ts ROWS B
 _PARTS = {
     "ev": "SELECT user_id % 4 AS site_id, date_trunc('hour', ts)::TIMESTAMP AS h, minute(ts) AS m, value, event_type, user_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events",
     "hr": "SELECT site_id, h AS ts, " + ", ".join(f"sum(CASE WHEN m >= {15 * i} AND m < {15 * i + 15} THEN value END) AS q{i}" for i in range(4)) + ", count(*) FILTER (event_type = 'purchase') AS n_buy, count(DISTINCT user_id) AS n_users, sum(k) AS k_sum, count(k) AS k_n, min(k) AS k_min, max(k) AS k_max, sum(CASE WHEN event_type = 'error' THEN 1 END) AS n_bad FROM ev GROUP BY ALL",
-    "grid": "SELECT site_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT site_id FROM hr)",
+    "grid": "SELECT site_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT site_id FROM hr), (SELECT date_trunc('day', min(ts))::TIMESTAMP AS a, date_trunc('day', max(ts))::TIMESTAMP + INTERVAL 23 HOUR AS b FROM hr)",
     "meter": f"SELECT site_id, ts, ts::DATE AS day, hour(ts) AS hour, round(coalesce(q0,0),6) AS p15, round(coalesce(q1,0),6) AS p30, round(coalesce(q2,0),6) AS p45, round(coalesce(q3,0),6) AS p60, floor({_Q} + 0.5) AS avg, CASE WHEN isodow(ts) >= 6 THEN 0.0::DOUBLE ELSE coalesce(n_buy, 0)::DOUBLE END AS prod, n_users::DOUBLE AS headcount, CASE WHEN hour(ts) BETWEEN 9 AND 17 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS labor, round(coalesce(k_sum / k_n, 0), 6) AS temp, k_min AS wind, coalesce(k_max, 0)::DOUBLE AS humid, n_bad::DOUBLE AS rain FROM grid LEFT JOIN hr USING (site_id, ts)",
     "flagged": f"SELECT *, avg = 0 AS is_outage, sum(prod) OVER d = 0 AND avg(avg) OVER d >= {FLOOR} AND min(labor) OVER d = 1.5 AS is_erp_missing, sum(prod) OVER d = 0 AND avg(avg) OVER d >= {FLOOR} AND min(labor) OVER d <> 1.5 AS is_aug_inconsistent FROM meter WINDOW d AS (PARTITION BY site_id, day)",
     "filled": "SELECT * REPLACE (" + ", ".join(f"{_FF.format(f'CASE WHEN NOT is_outage THEN {c} END')} AS {c}" for c in ("p15", "p30", "p45", "p60")) + f", {_FF.format('wind')} AS wind, {_FF.format('headcount')} AS headcount, coalesce(rain, 0.0) AS rain) FROM flagged",

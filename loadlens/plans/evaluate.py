@@ -89,6 +89,14 @@ def pooled_score(folds: DataFrame) -> DataFrame:
     return folds.groupBy("model").agg(F.try_divide(F.sum(F.col("mae") * F.col("n")), F.sum("n")).alias("mae"), F.try_divide(F.sum(F.coalesce("peak_mae", F.lit(0.0)) * pos), F.sum(pos)).alias("peak_mae"), F.try_divide(F.sum("tp").cast("double"), F.sum(pos)).alias("recall"), F.coalesce(F.stddev_samp("mae"), F.lit(0.0)).alias("fold_std"))
 
 
+def check_arithmetic(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, n_pos, n_neg, counts_add_up, mae: whether confusion counts, positives and negatives of each result fit its rows."""
+    pos = F.sum((F.col("y_cls") == 1).cast("long"))
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), pos.alias("n_pos"), F.sum((F.col("y_cls") != 1).cast("long")).alias("n_neg"), *metrics.confusion(), F.avg(F.abs(F.col("y_avg") - F.col("pred_avg"))).alias("mae"))
+    fits = (F.col("tp") + F.col("fn") == F.col("n_pos")) & (F.col("fp") + F.col("tn") == F.col("n_neg")) & (F.col("n_pos") + F.col("n_neg") == F.col("n"))
+    return g.select(*keys, "n", "n_pos", "n_neg", fits.alias("counts_add_up"), "mae")
+
+
 def pick_first(scores: DataFrame, order: list[str]) -> DataFrame:
     """The model of the best score; exact ties go to the one registered first."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))

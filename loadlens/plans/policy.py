@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadlens.operators.windows import series
+from loadlens.sources.io import materialize
 
-#: Assumed charge a kW and month, labour cost of 1,000 units and hour, and night factor.
+# Assumed charge a kW and month, labour cost of 1,000 units and hour, night factor; hours of the levers.
 RATE, LABOR_COST, NIGHT_FACTOR = 8320.0, 25_000.0, 1.5
 RECEIVERS, NIGHT, SATURDAY = (10, 11, 15, 16), (21, 22, 23, 0, 1, 2), tuple(range(8, 18))
 
@@ -125,14 +126,93 @@ def evaluate_lever(df: DataFrame, rate: float = RATE) -> DataFrame:
     return out.withColumns({"delta_peak": F.col("peak_before") - F.col("peak_after"), "saving": (F.col("peak_before") - F.col("peak_after")) * rate * F.col("months")})
 
 
+#: Hours of the start-up lever in each of its variants.
+SPREADS = {"L1a": (8, 13), "L1b": (8, 11, 13), "L1c": (8, 9, 11, 13)}
+
+
+def _lever(at: DataFrame, lever: str, theta: float, beta: float, alpha: float) -> tuple[DataFrame, DataFrame | None]:
+    """site_id, ts, prod_new, peak_new of one lever on site_id, ts, day, prod, y_peak; and the extra labour, if it costs any."""
+    if lever in SPREADS:
+        return spread_start(at, alpha, SPREADS[lever]).withColumn("prod_new", F.col("prod")), None
+    if lever == "L2":
+        return shift_same_day(at, theta, beta), None
+    if lever == "L3":
+        return cap_and_carry(at, theta, beta), None
+    if lever == "L4":
+        return shift_off_hours(at, theta, beta)
+    raise ValueError(f"unknown lever {lever}")
+
+
+def lever_chains(df: DataFrame, theta: float, beta: float, chains: dict[str, tuple[tuple[str, ...], float]]) -> DataFrame:
+    """name, site_id, delta_peak, saving, extra_labor, day_conserved of each chain of levers, applied one after another; (levers, alpha) by name.
+
+    Chains that begin alike share those steps, and each step is written once. The chain becomes part of the series' key,
+    so one job judges them all.
+    """
+    base = df.select("site_id", "ts", "day", "prod", "y_peak")
+    steps: dict[tuple, tuple[DataFrame, DataFrame | None]] = {}
+    rows = labor = None
+    for name, (chain, alpha) in chains.items():
+        at, cost = base, None
+        for i, lever in enumerate(chain):
+            key = (chain[: i + 1], alpha)
+            if key not in steps:
+                made, cost = _lever(at, lever, theta, beta, alpha)
+                steps[key] = (materialize(base.select("site_id", "ts", "day").join(made.select("site_id", "ts", F.col("prod_new").alias("prod"), F.col("peak_new").alias("y_peak")), ["site_id", "ts"]), "lever"), cost)
+            at, cost = steps[key]
+        named = F.concat_ws("|", F.lit(name), F.col("site_id").cast("string")).alias("site_id")
+        part = base.join(at.select("site_id", "ts", F.col("prod").alias("prod_new"), F.col("y_peak").alias("peak_new")), ["site_id", "ts"]).select(named, "ts", "day", "prod", "y_peak", "prod_new", "peak_new")
+        rows = part if rows is None else rows.unionByName(part)
+        if cost is not None:
+            cost = cost.select(named, "extra_labor")
+            labor = cost if labor is None else labor.unionByName(cost)
+    out = evaluate_lever(materialize(rows, "chains"))
+    out = out.join(labor, "site_id", "left") if labor is not None else out.withColumn("extra_labor", F.lit(0.0))
+    key = F.split("site_id", r"\|")
+    return out.select(key[0].alias("name"), key[1].cast(dict(df.dtypes)["site_id"]).alias("site_id"), "delta_peak", "saving", F.coalesce("extra_labor", F.lit(0.0)).alias("extra_labor"), "day_conserved")
+
+
+# The scenarios, and the combinations whose order the sensitivity table looks at.
+SCENARIOS = {"S0": (), "S1a": ("L1a",), "S1b": ("L1b",), "S1c": ("L1c",), "S2": ("L1c", "L2"), "S3": ("L1c", "L3"), "S4": ("L1c", "L2", "L4")}
+COMBINATIONS = {"L1c": ("L1c",), "L1c+L2": ("L1c", "L2"), "L1c+L2+L4": ("L1c", "L2", "L4")}
+
+
+def scenario_table(df: DataFrame, theta: float, beta: float, alpha: float = 0.2) -> DataFrame:
+    """scenario, site_id, delta_peak, saving, extra_labor, net, day_conserved for S0 to S4."""
+    out = lever_chains(df, theta, beta, {name: (chain, alpha) for name, chain in SCENARIOS.items()})
+    return out.withColumnRenamed("name", "scenario").withColumn("net", F.col("saving") - F.col("extra_labor"))
+
+
+def sensitivity(df: DataFrame, theta: float, beta: float, alphas=(0.1, 0.2, 0.3), factors=(0.7, 1.0, 1.3)) -> DataFrame:
+    """site_id, alpha, rate_factor, combination, net, best, stable: nine cells of charge and spread part.
+
+    best marks the combination of the largest net saving of its cell (the shortest, if tied); stable is whether one
+    combination is best in all cells of the site. Only alpha changes what levers do, so a chain runs once for each alpha.
+    """
+    out = lever_chains(df, theta, beta, {f"{name}/{alpha!r}": (chain, alpha) for alpha in map(float, alphas) for name, chain in COMBINATIONS.items()})
+    key = F.split("name", "/")
+    rows = out.select("site_id", key[1].cast("double").alias("alpha"), key[0].alias("combination"), "saving", "extra_labor", F.explode(F.array(*(F.lit(float(f)) for f in factors))).alias("rate_factor"))
+    rows = rows.withColumn("net", F.col("saving") * F.col("rate_factor") - F.col("extra_labor"))
+    cell = Window.partitionBy("site_id", "alpha", "rate_factor").orderBy(F.desc(F.round("net", 6)), F.length("combination"))
+    rows = rows.withColumn("best", F.row_number().over(cell) == 1)
+    first = F.collect_set(F.when(F.col("best"), F.col("combination"))).over(Window.partitionBy("site_id"))
+    return rows.select("site_id", "alpha", "rate_factor", "combination", "net", "best", (F.size(first) == 1).alias("stable"))
+
+
 def response(df: DataFrame) -> DataFrame:
-    """site_id, n, beta (at least 0), r2: peak on production with an intercept for each hour, over usable rows with production."""
+    """site_id, n, beta (at least 0), beta_raw, r2, status: peak on production with an intercept for each hour, over usable rows with production.
+
+    status is `estimated`, or `unidentified_zero_fallback` where production doesn't vary within hours. A site without
+    usable rows has no row.
+    """
     from loadlens.functions.stats import within_slope
 
     rows = df.filter((F.col("prod") > 0) & F.col("y_peak").isNotNull() & ~F.col("is_outage") & ~F.col("is_erp_missing"))
-    return within_slope(rows.withColumn("__h", F.hour("ts")), "prod", "y_peak", "__h", ["site_id"]).withColumn("beta", F.greatest(F.coalesce("beta", F.lit(0.0)), F.lit(0.0)))
+    slope = within_slope(rows.withColumn("__h", F.hour("ts")), "prod", "y_peak", "__h", ["site_id"])
+    return slope.select("site_id", "n", F.greatest("beta", F.lit(0.0)).alias("beta"), F.col("beta").alias("beta_raw"), "r2", F.when(F.col("identified"), "estimated").otherwise("unidentified_zero_fallback").alias("status"))
 
 
+# The columns that a policy may see.
 ACTION_COLUMNS = ("site_id", "ts", "origin", "pred_peak", "tau", "planned_production", "plan_known", "is_operating")
 
 
@@ -145,7 +225,7 @@ def strict_flag(c: str) -> Column:
 def select_actions(df: DataFrame, policy: str, capacity: float, start_hours=(8, 13), receiving=RECEIVERS, share: float = 0.2) -> DataFrame:
     """Actions of none, fixed_L1, alert_L1 or alert_L2 from forecasts and plans alone; any other column is refused.
 
-    A day with an unknown or invalid plan has no actions at all.
+    A day with an unknown or invalid plan has no actions at all. `transfers` of an hour lists where its production goes.
     """
     if set(df.columns) != set(ACTION_COLUMNS):
         raise ValueError("actions are chosen from the columns of the contract only")
@@ -161,7 +241,7 @@ def select_actions(df: DataFrame, policy: str, capacity: float, start_hours=(8,
     l1 = F.col("eligible") & F.hour("ts").isin(*start_hours) if policy in ("fixed_L1", "alert_L1") else F.lit(False)
     df = df.withColumn("l1_action", l1 & F.col("alert") if policy == "alert_L1" else l1)
     zero = {c: F.lit(0.0) for c in ("shift_requested", "shift_out", "shift_in", "unallocated_units")}
-    df = df.withColumns(zero)
+    df = df.withColumns(zero).withColumn("transfers", F.array().cast("array<struct<to:int,units:double>>"))
     if policy == "alert_L2":
         df = _allocate(df, capacity, receiving, share)
     return df.withColumns({"production_after": F.col("planned_production") + F.col("shift_in") - F.col("shift_out"), "l2_action": F.col("shift_out") > 0})
@@ -175,6 +255,7 @@ def _allocate(df: DataFrame, capacity: float, receiving: tuple[int, ...], share:
         plan, ok, alert, hours = rows["planned_production"].to_numpy(), rows["eligible"].to_numpy(bool), rows["alert"].to_numpy(bool), rows["ts"].dt.hour.to_numpy()
         asked, out, into = (rows[c].to_numpy(copy=True) for c in ("shift_requested", "shift_out", "shift_in"))
         takers = [i for i in range(len(rows)) if ok[i] and not alert[i] and hours[i] in receiving]
+        moves: list[list[dict]] = [[] for _ in range(len(rows))]
         for i in range(len(rows)):
             if not (ok[i] and alert[i] and plan[i] > 0):
                 continue
@@ -182,15 +263,23 @@ def _allocate(df: DataFrame, capacity: float, receiving: tuple[int, ...], share:
             for j in takers:
                 if j > i and left > 1e-10 and (units := min(left, capacity - plan[j] - into[j])) > 0:
                     out[i], into[j], left = out[i] + units, into[j] + units, left - units
-        return rows.assign(shift_requested=asked, shift_out=out, shift_in=into, unallocated_units=asked - out)
+                    moves[i].append({"to": int(hours[j]), "units": float(units)})
+        return rows.assign(shift_requested=asked, shift_out=out, shift_in=into, unallocated_units=asked - out, transfers=moves)
 
     return df.groupBy("site_id", "day").applyInPandas(day, df.schema)
 
 
+def transfers(actions: DataFrame) -> DataFrame:
+    """policy, site_id, origin, source, recipient, units: a row for each move of production, from one hour to a later one of its day."""
+    rows = actions.select("policy", "site_id", "day", "origin", F.col("ts").alias("source"), F.explode("transfers").alias("t"))
+    return rows.select("policy", "site_id", "origin", "source", (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours="t.to")).alias("recipient"), "t.units")
+
+
 def audit(actions: DataFrame, capacity: float) -> DataFrame:
-    """site_id, day and whether production is conserved, receivers keep within capacity, and days without a plan have no action."""
-    g = actions.groupBy("site_id", "day").agg((F.abs(F.sum(F.col("shift_in") - F.col("shift_out"))) <= 1e-8).alias("conserved"), F.bool_and((F.col("shift_in") <= 0) | (F.col("production_after") <= capacity + 1e-8)).alias("capacity_ok"), F.bool_and(~(F.col("l1_action") | F.col("l2_action")) | F.col("valid_plan_day")).alias("no_invalid_action"), F.sum("unallocated_units").alias("unallocated_units"))
-    return g.withColumn("passed", F.col("conserved") & F.col("capacity_ok") & F.col("no_invalid_action"))
+    """site_id, day and whether production is conserved, receivers keep within capacity and come after donor and origin, production stays at 0 or more, and days without a plan have no action."""
+    later = F.forall("transfers", lambda t: (t["to"] > F.hour("ts")) & (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=t["to"]) > F.col("origin")))
+    g = actions.groupBy("site_id", "day").agg((F.abs(F.sum(F.col("shift_in") - F.col("shift_out"))) <= 1e-8).alias("conserved"), F.bool_and((F.col("shift_in") <= 0) | (F.col("production_after") <= capacity + 1e-8)).alias("capacity_ok"), F.bool_and(~(F.col("l1_action") | F.col("l2_action")) | F.col("valid_plan_day")).alias("no_invalid_action"), F.bool_and(later).alias("future_ok"), F.bool_and(~F.col("valid_plan_day") | (F.col("production_after") >= -1e-8)).alias("nonnegative"), F.sum("unallocated_units").alias("unallocated_units"))
+    return g.withColumn("passed", F.col("conserved") & F.col("capacity_ok") & F.col("no_invalid_action") & F.col("future_ok") & F.col("nonnegative"))
 
 
 def outcomes(actions: DataFrame, truth: DataFrame, theta: float, beta: float, alpha: float) -> DataFrame:
@@ -219,10 +308,9 @@ def policy_metrics(rows: DataFrame, theta: float) -> DataFrame:
 
 def cost_grid(spark: SparkSession, alphas=(0.1, 0.2, 0.3), factors=(0.7, 1.0, 1.3), action=(0.0, 1000.0, 5000.0), unit=(0.0, 0.01, 0.1), alpha: float = 0.2, rate: float = RATE) -> DataFrame:
     """alpha, rate_factor, action_cost, unit_cost: two grids of assumptions, their common points once."""
-    one = lambda name, values: spark.createDataFrame([(float(v),) for v in values], f"{name} double")
-    a = one("alpha", alphas).crossJoin(one("rate_factor", factors)).crossJoin(one("action_cost", [0])).crossJoin(one("unit_cost", [0]))
-    b = one("alpha", [alpha]).crossJoin(one("rate_factor", [1])).crossJoin(one("action_cost", action)).crossJoin(one("unit_cost", unit))
-    return a.union(b).distinct().withColumn("rate", F.lit(rate) * F.col("rate_factor"))
+    points = {(float(a), float(f), 0.0, 0.0) for a in alphas for f in factors} | {(float(alpha), 1.0, float(c), float(u)) for c in action for u in unit}
+    grid = spark.createDataFrame(sorted(points), "alpha double, rate_factor double, action_cost double, unit_cost double")
+    return grid.coalesce(1).withColumn("rate", F.lit(rate) * F.col("rate_factor"))
 
 
 def costs(metrics: DataFrame, grid: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from loadlens.functions import metrics, stats
 from loadlens.operators import features, joins, opcal, repair, splits, windows
 from loadlens.plans import base, compare, evaluate, policy
 from loadlens.plans.base import calendar, featured, folds, listed, meter, predictions, register, repaired, table, theta_of
+from loadlens.sources.io import materialize
 
 S, D = SparkSession, str
 _FEATURES = ", ".join(f"R({c})::DOUBLE AS {c}" for c in features.FEATURES)
@@ -131,10 +132,18 @@ def night_peaks(spark: S, sf: D) -> DataFrame:
     return df.filter((F.col("y_peak") >= theta_of(df)) & ((F.col("hour") >= 22) | (F.col("hour") < 6))).select("site_id", "ts", "y_peak")
 
 
-@register("SELECT site_id, R(sum(CASE WHEN day(day) <= 10 THEN y_avg END)) AS d1, R(sum(CASE WHEN day(day) BETWEEN 11 AND 20 THEN y_avg END)) AS d2, R(sum(CASE WHEN day(day) > 20 THEN y_avg END)) AS d3 FROM @rep GROUP BY 1")
-def month_part_pivot(spark: S, sf: D) -> DataFrame:
-    part = F.when(F.day("day") <= 10, "d1").when(F.day("day") <= 20, "d2").otherwise("d3")
-    return repaired(spark, sf).withColumn("part", part).groupBy("site_id").pivot("part", ["d1", "d2", "d3"]).agg(F.sum("y_avg"))
+@register("SELECT site_id, month(ts) AS month, " + ", ".join(f"R(sum(CASE WHEN day(day) = {d} THEN y_avg END)) AS d{d}" for d in range(1, 32)) + " FROM @rep GROUP BY 1, 2")
+def month_day_pivot(spark: S, sf: D) -> DataFrame:
+    rows = repaired(spark, sf).withColumn("d", F.concat(F.lit("d"), F.day("day").cast("string")))
+    return rows.groupBy("site_id", F.month("ts").alias("month")).pivot("d", [f"d{d}" for d in range(1, 32)]).agg(F.sum("y_avg"))
+
+
+@register("SELECT I(hour) AS hour, " + ", ".join(f"R(avg(CASE WHEN month(ts) = {m} THEN (y_peak >= theta)::INT END)) AS m{m}" for m in range(1, 13)) + " FROM @rep, @th GROUP BY 1")
+def peak_rate_pivot(spark: S, sf: D) -> DataFrame:
+    """Share of peak hours by hour of day and month."""
+    df = repaired(spark, sf)
+    rows = df.select("hour", F.concat(F.lit("m"), F.month("ts").cast("string")).alias("m"), (F.col("y_peak") >= theta_of(df)).cast("double").alias("peak"))
+    return rows.groupBy("hour").pivot("m", [f"m{m}" for m in range(1, 13)]).agg(F.avg("peak"))
 
 
 @register("SELECT site_id, date_trunc('week', day)::DATE AS week, R(sum(prod)) AS prod, R(avg(y_avg)) AS mean, R(max(y_peak)) AS top FROM @rep GROUP BY 1, 2")
@@ -142,7 +151,7 @@ def weekly_resample(spark: S, sf: D) -> DataFrame:
     return repaired(spark, sf).groupBy("site_id", F.to_date(F.date_trunc("week", "day")).alias("week")).agg(F.sum("prod").alias("prod"), F.avg("y_avg").alias("mean"), F.max("y_peak").alias("top"))
 
 
-_COR = ("y_avg", "y_peak", "temp", "humid")
+_COR = ("y_avg", "y_peak", "prod", "headcount", "labor", "temp", "wind", "humid", "rain")
 
 
 @register("SELECT a, b, R(r) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM @rep" for a in _COR for b in _COR) + ")")
@@ -171,7 +180,7 @@ def production_quartiles(spark: S, sf: D) -> DataFrame:
     return df.groupBy("quartile", "hour").agg(F.avg("y_avg").alias("mean_power"))
 
 
-@register("WITH x AS (SELECT site_id, hour, prod, y_peak, avg(prod) OVER w AS mx, avg(y_peak) OVER w AS my FROM @rep WHERE prod > 0 AND y_peak IS NOT NULL AND NOT is_outage AND NOT is_erp_missing WINDOW w AS (PARTITION BY site_id, hour)), b AS (SELECT site_id, count(*) AS n, sum((prod - mx) * (y_peak - my)) / sum((prod - mx) * (prod - mx)) AS beta FROM x GROUP BY 1), r AS (SELECT x.site_id, sum(pow(y_peak - my - beta * (prod - mx), 2)) / sum(pow(y_peak - t.m, 2)) AS left_ FROM x JOIN b USING (site_id) JOIN (SELECT site_id, avg(y_peak) AS m FROM x GROUP BY 1) t USING (site_id) GROUP BY 1) SELECT site_id, n, R(greatest(beta, 0)) AS beta, R(1 - left_) AS r2 FROM b JOIN r USING (site_id)")
+@register("WITH x AS (SELECT site_id, hour, prod, y_peak, avg(prod) OVER w AS mx, avg(y_peak) OVER w AS my FROM @rep WHERE prod > 0 AND y_peak IS NOT NULL AND NOT is_outage AND NOT is_erp_missing WINDOW w AS (PARTITION BY site_id, hour)), s AS (SELECT site_id, count(*) AS n, sum((prod - mx) * (y_peak - my)) AS wxy, sum((prod - mx) * (prod - mx)) AS wxx, greatest(1, sum(prod * prod)) AS axx FROM x GROUP BY 1), b AS (SELECT *, wxx > pow(2, -52) * axx AS ok, CASE WHEN wxx > pow(2, -52) * axx THEN wxy / wxx ELSE 0 END AS beta FROM s), r AS (SELECT x.site_id, sum(pow(y_peak - my - beta * (prod - mx), 2)) AS left_, sum(pow(y_peak - t.m, 2)) AS whole, greatest(1, sum(y_peak * y_peak)) AS ayy FROM x JOIN b USING (site_id) JOIN (SELECT site_id, avg(y_peak) AS m FROM x GROUP BY 1) t USING (site_id) GROUP BY 1) SELECT site_id, n, R(greatest(beta, 0)) AS beta, R(beta) AS beta_raw, R(CASE WHEN whole > pow(2, -52) * ayy THEN 1 - left_ / whole END) AS r2, CASE WHEN ok THEN 'estimated' ELSE 'unidentified_zero_fallback' END AS status FROM b JOIN r USING (site_id)")
 def production_response(spark: S, sf: D) -> DataFrame:
     return policy.response(repaired(spark, sf))
 
@@ -217,10 +226,10 @@ def fixed_lags(spark: S, sf: D) -> DataFrame:
     return windows.lags(repaired(spark, sf), ("y_avg",), (24, 168), windows.series()).select("site_id", "ts", "y_avg_lag24", "y_avg_lag168")
 
 
-@register("SELECT site_id, ts, R(list_sum(l)) AS lag_sum, R(l[1]) AS lag_1, R(l[12]) AS lag_12 FROM (SELECT site_id, ts, list_reverse(list(y_avg) OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) AS l FROM @rep WHERE y_avg IS NOT NULL) WHERE len(l) = 12")
+@register("SELECT site_id, ts, R(list_sum(l)) AS lag_sum, R(l[1]) AS lag_1, R(l[168]) AS lag_168 FROM (SELECT site_id, ts, list_reverse(list(y_avg) OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)) AS l FROM @rep WHERE y_avg IS NOT NULL) WHERE len(l) = 168")
 def lag_matrix(spark: S, sf: D) -> DataFrame:
-    df = windows.lag_matrix(repaired(spark, sf).filter("y_avg is not null"), "y_avg", 12, windows.series()).filter("y_avg_lags is not null")
-    return df.select("site_id", "ts", F.aggregate("y_avg_lags", F.lit(0.0), lambda a, x: a + x).alias("lag_sum"), F.col("y_avg_lags")[0].alias("lag_1"), F.col("y_avg_lags")[11].alias("lag_12"))
+    df = windows.lag_matrix(repaired(spark, sf).filter("y_avg is not null"), "y_avg", 168, windows.series()).filter("y_avg_lags is not null")
+    return df.select("site_id", "ts", F.aggregate("y_avg_lags", F.lit(0.0), lambda a, x: a + x).alias("lag_sum"), F.col("y_avg_lags")[0].alias("lag_1"), F.col("y_avg_lags")[167].alias("lag_168"))
 
 
 @register("SELECT g.ts, g.site_id FROM @grid g LEFT JOIN @hr h USING (site_id, ts) WHERE h.ts IS NULL")
@@ -265,18 +274,31 @@ def average_rank(spark: S, sf: D) -> DataFrame:
     return df.select("c_custkey", F.col("rank_").cast("int").alias("rank_"))
 
 
-@register("SELECT I(24) AS hours, I(3) AS lags, I(0) AS violations")
+@register("SELECT site_id, I(count(*)) AS hours, " + ", ".join(f"I(sum((ts - INTERVAL {n - 1} HOUR > day::TIMESTAMP)::INT)) AS late_lag{n}" for n in features.LAGS) + " FROM @meter GROUP BY 1")
 def observation_completion(spark: S, sf: D) -> DataFrame:
-    return spark.createDataFrame([(24, 3, len(features.completion_check()))], "hours int, lags int, violations int")
+    """By site, hours whose value of a lag wasn't complete at the day's 0:00."""
+    late = {h: [n for n in features.LAGS if (h, n) in features.completion_check()] for h in range(24)}
+    flags = {n: F.hour("ts").isin([h for h in late if n in late[h]] or [-1]) for n in features.LAGS}
+    return meter(spark, sf).groupBy("site_id").agg(F.count("*").alias("hours"), *(F.sum(c.cast("long")).alias(f"late_lag{n}") for n, c in flags.items()))
+
 
+def _replayed(spark: S, sf: D, days: DataFrame, history_days: int) -> DataFrame:
+    from loadlens.plans import serving
+
+    return serving.replay(meter(spark, sf), days, history_days, theta_of(repaired(spark, sf)), listed(spark), base.EDGES, base.FLOOR)
 
-@register("SELECT 0::BIGINT AS leaks, 3::BIGINT AS days")
+
+@register("SELECT site_id, day, count(*) AS n_hours, 0::BIGINT AS n_changed FROM @meter WHERE day >= (SELECT min(day) + 8 FROM meter) GROUP BY 1, 2")
 def future_blind(spark: S, sf: D) -> DataFrame:
-    """Features of three days, built again without any power from each day on: no row differs."""
-    df = repaired(spark, sf)
-    th, hol, cal = theta_of(df), listed(spark), calendar(df)
-    parts = [features.future_blind(df, cal, th, hol, d) for d in ("2024-01-12", "2024-01-20", "2024-01-27")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.count("*").alias("leaks")).withColumn("days", F.lit(3))
+    """Each day's features, built again from what was known at its start: repair, calendar and windows see the hours before it only.
+
+    n_changed counts hours of which any feature differs; 62 days of history are more than any window or run reaches.
+    """
+    days = meter(spark, sf).select("day").distinct()
+    days = days.crossJoin(days.agg(F.min("day").alias("first"))).filter(F.col("day") >= F.date_add("first", 8)).select("day")  # one row of the first day
+    row = lambda df, n: df.select("site_id", "day", "ts", F.struct(*(F.round(F.col(c).cast("double"), 9).alias(c) for c in features.FEATURES)).alias(n))
+    both = row(_replayed(spark, sf, days, 62), "then").join(row(featured(spark, sf), "now").drop("day"), ["site_id", "ts"], "left")
+    return both.groupBy("site_id", "day").agg(F.count("*").alias("n_hours"), F.sum((~F.col("then").eqNullSafe(F.col("now"))).cast("long")).alias("n_changed"))
 
 
 # --- splits -------------------------------------------------------------------------------------------------------------
@@ -333,10 +355,9 @@ def contract_violations(spark: S, sf: D) -> DataFrame:
     return v
 
 
-@register("SELECT I(c) AS n, I(s) AS selected FROM (SELECT count(*) AS c FROM @cal), (SELECT count(*) AS s FROM (SELECT row_number() OVER (PARTITION BY site_id ORDER BY day) - 1 AS r, count(*) OVER (PARTITION BY site_id) AS n FROM cal) WHERE r IN (SELECT floor(i * (n - 1) / 4.0) FROM range(5) t(i)))")
+@register("SELECT site_id, day FROM (SELECT site_id, day, row_number() OVER (PARTITION BY site_id ORDER BY day) - 1 AS r, count(*) OVER (PARTITION BY site_id) AS n FROM @cal) WHERE r IN (SELECT floor(i * (n - 1) / 11.0) FROM range(12) t(i))")
 def evenly_spaced_days(spark: S, sf: D) -> DataFrame:
-    cal = calendar(repaired(spark, sf)).select("site_id", "day")
-    return cal.agg(F.count("*").alias("n")).crossJoin(splits.evenly_spaced(cal, 5).agg(F.count("*").alias("selected")))
+    return splits.evenly_spaced(calendar(repaired(spark, sf)).select("site_id", "day"), 12)
 
 
 # --- metrics ------------------------------------------------------------------------------------------------------------
@@ -374,12 +395,12 @@ def precision_recall_curve(spark: S, sf: D) -> DataFrame:
 
 @register("WITH q AS (SELECT model, [0.5 + 0.499 * i / 119 FOR i IN range(120)] AS qs, quantile_cont(pred_peak, [" + ", ".join(repr(0.5 + (0.999 - 0.5) * i / 119) for i in range(120)) + "]) AS v, sum(y_cls) AS p FROM @pred GROUP BY 1), c AS (SELECT DISTINCT model, p, round_even(x, 2) AS tau FROM (SELECT model, p, unnest(v) AS x FROM q)), f AS (SELECT c.model, tau, p, coalesce(2.0::DOUBLE * sum(CASE WHEN round(pred_peak, 9) >= tau THEN y_cls ELSE 0 END) / nullif(sum((round(pred_peak, 9) >= tau)::INT) + p, 0), 0) AS f1 FROM c JOIN pred d ON c.model = d.model GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(f1, 12) DESC, tau) AS r FROM f) SELECT model, R(tau) AS tau, R(f1) AS f1 FROM b WHERE r = 1")
 def tuned_threshold(spark: S, sf: D) -> DataFrame:
-    return metrics.tune_threshold(predictions(spark, sf), "y_cls", "pred_peak", ["model"], 0.0)
+    return metrics.tune_threshold(materialize(predictions(spark, sf).select("model", "y_cls", "pred_peak"), "scores"), "y_cls", "pred_peak", ["model"], 0.0)
 
 
 @register("WITH b AS (SELECT model, prob, y_cls, CASE " + " ".join(f"WHEN prob <= {(i + 1) * 0.1 if i < 9 else 1.0!r}::DOUBLE THEN {i + 1}" for i in range(10)) + " ELSE 10 END AS bin FROM @pred), g AS (SELECT model, bin, count(*) AS n, avg(prob) AS mp, avg(y_cls) AS r FROM b GROUP BY 1, 2), e AS (SELECT model, sum(n * abs(mp - r)) / sum(n) AS ece FROM g GROUP BY 1), s AS (SELECT model, avg(pow(y_cls - prob, 2)) AS brier FROM pred GROUP BY 1) SELECT model, R(ece) AS ece, R(brier) AS brier FROM e JOIN s USING (model)")
 def calibration_error(spark: S, sf: D) -> DataFrame:
-    return metrics.calibration_error(predictions(spark, sf), "y_cls", "prob", ["model"])
+    return metrics.calibration_error(materialize(predictions(spark, sf).select("model", "y_cls", "prob"), "scores"), "y_cls", "prob", ["model"])
 
 
 @register("SELECT I(CASE " + " ".join(f"WHEN prob <= {(i + 1) * 0.1 if i < 9 else 1.0!r}::DOUBLE THEN {i + 1}" for i in range(10)) + " ELSE 10 END) AS bin, count(*) AS n, R(avg(prob)) AS mean_p, R(avg(y_cls)) AS rate FROM @pred WHERE model = 'mean' GROUP BY 1")
@@ -393,15 +414,18 @@ def conformal_halfwidth(spark: S, sf: D) -> DataFrame:
     return metrics.conformal(df, "e", ["model", "is_shutdown"], 0.1)
 
 
-@register("SELECT model, count(*) AS n, R(avg((y_avg BETWEEN greatest(pred_avg - 30, 0) AND pred_avg + 30)::INT)) AS coverage, R(avg(pred_avg + 30 - greatest(pred_avg - 30, 0))) AS width FROM @pred GROUP BY 1")
+@register("WITH k AS (SELECT model, is_shutdown, abs(y_avg - pred_avg) AS e, row_number() OVER (PARTITION BY model, is_shutdown ORDER BY abs(y_avg - pred_avg)) AS i, count(*) OVER (PARTITION BY model, is_shutdown) AS n FROM @pred WHERE fold < 3), q AS (SELECT model, is_shutdown, min(CASE WHEN i >= ceil(round((n + 1) * 0.8, 9)) THEN e END) AS w FROM k GROUP BY 1, 2) SELECT model, count(*) AS n, R(avg((y_avg BETWEEN greatest(pred_avg - w, 0) AND pred_avg + w)::INT)) AS coverage, R(avg(pred_avg + w - greatest(pred_avg - w, 0))) AS width FROM pred JOIN q USING (model, is_shutdown) WHERE fold = 3 AND w IS NOT NULL GROUP BY 1")
 def interval_coverage(spark: S, sf: D) -> DataFrame:
-    df = predictions(spark, sf).withColumns({"lo": F.col("pred_avg") - 30, "hi": F.col("pred_avg") + 30})
-    return metrics.interval_score(df, "lo", "hi", "y_avg", ["model"])
+    """Conformal intervals of the first two folds' residuals, by model and state of the day, on the third fold."""
+    df = predictions(spark, sf)
+    half = metrics.conformal(df.filter("fold < 3").withColumn("e", F.col("y_avg") - F.col("pred_avg")), "e", ["model", "is_shutdown"], 0.2).drop("n")
+    rows = df.filter("fold = 3").join(half, ["model", "is_shutdown"]).filter("halfwidth is not null")
+    return metrics.interval_score(rows.withColumns({"lo": F.col("pred_avg") - F.col("halfwidth"), "hi": F.col("pred_avg") + F.col("halfwidth")}), "lo", "hi", "y_avg", ["model"])
 
 
 @register("WITH a AS (SELECT model, fold, avg(abs(y_avg - pred_avg)) AS m FROM @pred GROUP BY 1, 2), t AS (SELECT model, avg(abs(y_avg - pred_avg)) AS mae, avg((y_cls = pred_cls)::INT) AS acc FROM pred GROUP BY 1), s AS (SELECT model, mae, acc, sd FROM t JOIN (SELECT model, stddev_samp(m) AS sd FROM a GROUP BY 1) USING (model)), z AS (SELECT model, coalesce(1 - (mae - min(mae) OVER ()) / nullif(max(mae) OVER () - min(mae) OVER (), 0), 1) AS a, coalesce((acc - min(acc) OVER ()) / nullif(max(acc) OVER () - min(acc) OVER (), 0), 1) AS b, coalesce(1 - (sd - min(sd) OVER ()) / nullif(max(sd) OVER () - min(sd) OVER (), 0), 1) AS c FROM s) SELECT model, R(round(0.45 * a + 0.35 * b + 0.2 * c, 4)) AS score FROM z")
 def model_scorecard(spark: S, sf: D) -> DataFrame:
-    p = predictions(spark, sf)
+    p = materialize(predictions(spark, sf).select("model", "fold", "y_avg", "pred_avg", "y_cls", "pred_cls"), "scores")
     err = F.abs(F.col("y_avg") - F.col("pred_avg"))
     sd = p.groupBy("model", "fold").agg(F.avg(err).alias("m")).groupBy("model").agg(F.stddev_samp("m").alias("sd"))
     rows = p.groupBy("model").agg(F.avg(err).alias("mae"), F.avg((F.col("y_cls") == F.col("pred_cls")).cast("double")).alias("acc")).join(sd, "model")
@@ -457,7 +481,7 @@ def earlier_fold_threshold(spark: S, sf: D) -> DataFrame:
 
 @register("SELECT a.site_id, a.ts, R(a.y_avg) AS y, R(a.pred_avg) AS pred_a, R(b.pred_avg) AS pred_b FROM @pred a JOIN pred b ON a.site_id = b.site_id AND a.ts = b.ts WHERE a.model = 'lag24' AND b.model = 'lag168'")
 def paired_predictions(spark: S, sf: D) -> DataFrame:
-    long = predictions(spark, sf).select("site_id", "ts", "model", F.col("y_avg").alias("y"), F.col("pred_avg").alias("pred"))
+    long = materialize(predictions(spark, sf).select("site_id", "ts", "model", F.col("y_avg").alias("y"), F.col("pred_avg").alias("pred")), "pairs")
     return joins.paired(long, "lag24", "lag168", ["site_id", "ts"])
 
 
@@ -557,13 +581,13 @@ def annual_charge(spark: S, sf: D) -> DataFrame:
     return policy.basic_charge(repaired(spark, sf))
 
 
-@register("SELECT site_id, ts, R(CASE WHEN hour IN (8, 13) THEN greatest(y_peak * (1 - 0.2::DOUBLE * 2 / 3), 0) ELSE greatest(y_peak, 0) END) AS peak_new FROM @rep")
+@register("SELECT site_id, ts, R(CASE WHEN hour IN (8, 13) AND y_peak IS NOT NULL THEN greatest(y_peak * (1 - 0.2::DOUBLE * 2 / 3), 0) ELSE CASE WHEN y_peak IS NOT NULL THEN greatest(y_peak, 0) END END) AS peak_new FROM @rep")
 def lever_spread(spark: S, sf: D) -> DataFrame:
     return policy.spread_start(repaired(spark, sf)).select("site_id", "ts", "peak_new")
 
 
 _SRC = "f AS (SELECT *, row_number() OVER (PARTITION BY site_id, day ORDER BY y_peak DESC, ts) AS r FROM @rep WHERE y_peak IS NOT NULL)"
-_APPLY = "delta AS (SELECT site_id, ts, sum(d) AS d FROM (SELECT site_id, src AS ts, -units AS d FROM mv UNION ALL SELECT site_id, dst, units FROM mv) GROUP BY 1, 2) SELECT site_id, ts, R(prod + coalesce(d, 0)) AS prod_new, R(greatest(y_peak + 1.5::DOUBLE * coalesce(d, 0), 0)) AS peak_new FROM rep LEFT JOIN delta USING (site_id, ts)"
+_APPLY = "delta AS (SELECT site_id, ts, sum(d) AS d FROM (SELECT site_id, src AS ts, -units AS d FROM mv UNION ALL SELECT site_id, dst, units FROM mv) GROUP BY 1, 2) SELECT site_id, ts, R(prod + coalesce(d, 0)) AS prod_new, R(CASE WHEN y_peak IS NOT NULL THEN greatest(y_peak + 1.5::DOUBLE * coalesce(d, 0), 0) END) AS peak_new FROM rep LEFT JOIN delta USING (site_id, ts)"
 
 
 @register(f"WITH {_SRC}, t AS (SELECT DISTINCT site_id, day FROM (SELECT site_id, day, row_number() OVER (PARTITION BY site_id ORDER BY y_peak DESC, ts) AS k FROM f) WHERE k <= 20), s AS (SELECT f.* FROM f, @th WHERE r = 1 AND prod > 0 AND (y_peak >= theta OR EXISTS (SELECT 1 FROM t WHERE t.site_id = f.site_id AND t.day = f.day))), mv AS (SELECT s.site_id, s.ts AS src, x.ts AS dst, s.prod * 0.2::DOUBLE / count(*) OVER (PARTITION BY s.site_id, s.ts) AS units FROM s JOIN rep x ON x.site_id = s.site_id AND x.day = s.day AND x.hour IN (10, 11, 15, 16) AND x.ts <> s.ts), {_APPLY}")
@@ -615,15 +639,40 @@ def policy_fixed_spread(spark: S, sf: D) -> DataFrame:
     return _actions(spark, sf, "fixed_L1").select("site_id", "ts", "l1_action")
 
 
-@register()
+#: The allocation as a recursion over pairs of donor and receiver of a day, in the order of both; `used` holds what each receiver got.
+_SHIFT = (
+    _ACT.replace("a AS (", "a AS MATERIALIZED (", 1)
+    + ", dn AS (SELECT site_id, day, hour, prod * 0.2::DOUBLE AS asked FROM a WHERE eligible AND alert AND prod > 0)"
+    + ", tk AS (SELECT site_id, day, hour, prod, row_number() OVER (PARTITION BY site_id, day ORDER BY hour) AS j FROM a WHERE eligible AND NOT alert AND hour IN (10, 11, 15, 16))"
+    + ", pr AS MATERIALIZED (SELECT d.site_id, d.day, d.hour AS dh, t.hour AS th, t.j, asked, t.prod, row_number() OVER (PARTITION BY d.site_id, d.day ORDER BY d.hour, t.hour) AS k, row_number() OVER (PARTITION BY d.site_id, d.day, d.hour ORDER BY t.hour) = 1 AS new FROM dn d JOIN tk t ON t.site_id = d.site_id AND t.day = d.day AND t.hour > d.hour)"
+    + ", w AS (SELECT site_id, day, 0::BIGINT AS k, 0::BIGINT AS dh, 0::BIGINT AS th, 0.0::DOUBLE AS units, 0.0::DOUBLE AS rest, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS used FROM (SELECT DISTINCT site_id, day FROM pr)"
+    + " UNION ALL SELECT site_id, day, k, dh, th, m, r0 - m, [CASE WHEN i = j THEN used[i] + m ELSE used[i] END FOR i IN range(1, 5)] FROM (SELECT *, CASE WHEN r0 > 1e-10 THEN least(r0, greatest(0, 3.0::DOUBLE - prod - used[j])) ELSE 0.0 END AS m FROM (SELECT p.*, w.used, CASE WHEN p.new THEN p.asked ELSE w.rest END AS r0 FROM w JOIN pr p ON p.site_id = w.site_id AND p.day = w.day AND p.k = w.k + 1)))"
+    + ", sh AS (SELECT a.*, coalesce(dn.asked, 0) AS asked, coalesce(o.u, 0) AS out_, coalesce(i.u, 0) AS in_ FROM a LEFT JOIN dn USING (site_id, day, hour) LEFT JOIN (SELECT site_id, day, dh AS hour, sum(units) AS u FROM w GROUP BY 1, 2, 3) o USING (site_id, day, hour) LEFT JOIN (SELECT site_id, day, th AS hour, sum(units) AS u FROM w GROUP BY 1, 2, 3) i USING (site_id, day, hour))"
+)
+
+
+@register(f"WITH RECURSIVE {_SHIFT} SELECT site_id, ts, R(asked) AS shift_requested, R(out_) AS shift_out, R(in_) AS shift_in, R(asked - out_) AS unallocated_units, R(prod + in_ - out_) AS production_after FROM sh")
 def policy_alert_shift(spark: S, sf: D) -> DataFrame:
-    """Sequential allocation: no SQL; held against hand-made cases in the tests."""
+    """Donors fill later receivers in turn."""
     return _actions(spark, sf, "alert_L2").select("site_id", "ts", "shift_requested", "shift_out", "shift_in", "unallocated_units", "production_after")
 
 
-@register("SELECT site_id, day, TRUE AS conserved, TRUE AS capacity_ok, TRUE AS no_invalid_action, TRUE AS passed FROM @meter WHERE day >= DATE '2024-01-24' GROUP BY 1, 2")
+@register(f"WITH RECURSIVE {_SHIFT} SELECT site_id, ts AS source, day::TIMESTAMP + th * INTERVAL 1 HOUR AS recipient, R(units) AS units FROM (SELECT site_id, day, dh, th, units FROM w WHERE units > 0) JOIN (SELECT site_id, day, hour AS dh, ts FROM a) USING (site_id, day, dh)")
+def policy_transfers(spark: S, sf: D) -> DataFrame:
+    return policy.transfers(_actions(spark, sf, "alert_L2")).select("site_id", "source", "recipient", "units")
+
+
+@register(f"WITH RECURSIVE {_SHIFT}, g AS (SELECT site_id, day, abs(sum(in_ - out_)) <= 1e-8 AS conserved, bool_and(in_ <= 0 OR prod + in_ - out_ <= 3 + 1e-8) AS capacity_ok, bool_and(out_ <= 0 OR eligible) AS no_invalid_action, bool_and(NOT eligible OR prod + in_ - out_ >= -1e-8) AS nonnegative, sum(asked - out_) AS unallocated_units FROM sh GROUP BY 1, 2), t AS (SELECT site_id, day, bool_and(th > dh) AS future_ok FROM w WHERE units > 0 GROUP BY 1, 2) SELECT site_id, day, conserved, capacity_ok, no_invalid_action, nonnegative, coalesce(future_ok, TRUE) AS future_ok, R(unallocated_units) AS unallocated_units, conserved AND capacity_ok AND no_invalid_action AND nonnegative AND coalesce(future_ok, TRUE) AS passed FROM g LEFT JOIN t USING (site_id, day)")
 def policy_audit(spark: S, sf: D) -> DataFrame:
-    return policy.audit(_actions(spark, sf, "alert_L2"), 3.0).drop("unallocated_units")
+    return policy.audit(_actions(spark, sf, "alert_L2"), 3.0)
+
+
+@register(f"WITH RECURSIVE {_SHIFT}, o AS (SELECT sh.*, NOT r.is_outage AND sh.y_peak >= 0 AS valid, sh.y_peak + 1.5::DOUBLE * (in_ - out_) AS raw, theta FROM sh JOIN @rep r USING (site_id, ts), th) SELECT site_id, 'alert_L2' AS policy, count(*) AS n_hours, R(max(CASE WHEN valid THEN y_peak END)) AS observed_peak, R(max(CASE WHEN valid THEN greatest(raw, 0) END)) AS assumed_peak, R(sum(out_)) AS shifted_units, I(sum((valid AND y_peak < theta AND greatest(raw, 0) >= theta)::INT)) AS new_peak_hours, I(sum((valid AND raw < 0)::INT)) AS floored_hours FROM o GROUP BY 1")
+def policy_shift_outcomes(spark: S, sf: D) -> DataFrame:
+    """What shifting does to the peaks, each unit of production counting 1.5 kW."""
+    df = repaired(spark, sf)
+    rows = policy.outcomes(_actions(spark, sf, "alert_L2"), df.withColumn("usable", ~F.col("is_outage")), theta_of(df), 1.5, 0.2)
+    return policy.policy_metrics(rows, theta_of(df)).select("site_id", "policy", "n_hours", "observed_peak", "assumed_peak", "shifted_units", "new_peak_hours", "floored_hours")
 
 
 def _outcome(spark: S, sf: D) -> DataFrame:
@@ -659,24 +708,24 @@ def privacy_scan(spark: S, sf: D) -> DataFrame:
     return compare.scan_private(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@register("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, R(round_even(y_avg_lag168, 4)) AS pred_avg, R(round_even(y_peak_lag168, 4)) AS pred_peak, I(y_peak_lag168 >= theta) AS peak_label, site_id FROM @feat, @th WHERE day >= DATE '2024-01-24' AND y_avg_lag168 IS NOT NULL")
+@register("SELECT site_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, R(round_even(y_avg, 4)) AS y_avg_true, R(round_even(y_avg_lag168, 4)) AS y_avg_pred, R(round_even(y_peak, 4)) AS y_peak_true, R(round_even(y_peak_lag168, 4)) AS y_peak_pred, R(round_even(least(1.0::DOUBLE, y_peak_lag168 / (2 * theta)), 6)) AS peak_prob, I(y_peak_lag168 >= theta) AS peak_pred_label, I(y_cls) AS peak_true_label, 'lag168' AS model_name FROM @feat, @th WHERE day >= DATE '2024-01-24'")
 def prediction_file(spark: S, sf: D) -> DataFrame:
+    """The nine columns of the file and the site, for every hour of the test period, whatever its masks."""
     th = theta_of(repaired(spark, sf))
-    rows = featured(spark, sf).filter("day >= date '2024-01-24' and y_avg_lag168 is not null")
-    return rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.bround("y_avg_lag168", 4).alias("pred_avg"), F.bround("y_peak_lag168", 4).alias("pred_peak"), (F.col("y_peak_lag168") >= th).cast("int").alias("peak_label"), "site_id")
+    rows = featured(spark, sf).filter("day >= date '2024-01-24'")
+    four = lambda c, n: F.bround(c, 4).alias(n)
+    prob = F.when(F.col("y_peak_lag168").isNotNull(), F.least(F.lit(1.0), F.col("y_peak_lag168") / (2 * th)))
+    return rows.select("site_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), four("y_avg", "y_avg_true"), four("y_avg_lag168", "y_avg_pred"), four("y_peak", "y_peak_true"), four("y_peak_lag168", "y_peak_pred"), F.bround(prob, 6).alias("peak_prob"), (F.col("y_peak_lag168") >= th).cast("int").alias("peak_pred_label"), F.col("y_cls").alias("peak_true_label"), F.lit("lag168").alias("model_name"))
 
 
 # --- serving, resampling, models ----------------------------------------------------------------------------------------------
 
 
-@register("SELECT site_id, ts, " + ", ".join(f"R({c}) AS {c}" for c in ("y_avg_lag24", "y_peak_lag168", "roll24_avg_mean", "roll168_avg_max", "prod_cum_day", "shutdown_nth", "headcount")) + " FROM @feat WHERE day IN (DATE '2024-01-22', DATE '2024-01-25', DATE '2024-01-29')")
+@register("SELECT site_id, ts, " + ", ".join(f"R({c}) AS {c}" for c in ("y_avg_lag24", "y_peak_lag168", "roll24_avg_mean", "roll168_avg_max", "prod_cum_day", "shutdown_nth", "headcount")) + " FROM @feat WHERE day >= DATE '2024-01-24'")
 def replayed_features(spark: S, sf: D) -> DataFrame:
-    """Three days served from 21 days of history each: the same features as in training, though no later row was there."""
-    from loadlens.plans import serving
-
-    df = meter(spark, sf)
-    th = theta_of(repaired(spark, sf))
-    out = serving.replay(df, ["2024-01-22", "2024-01-25", "2024-01-29"], 28, th, listed(spark), base.EDGES, base.FLOOR)
+    """Every test day served from 28 days of history: the same features as in training, though no later row was there."""
+    days = meter(spark, sf).filter("day >= date '2024-01-24'").select("day").distinct()
+    out = _replayed(spark, sf, days, 28)
     return out.select("site_id", "ts", "y_avg_lag24", "y_peak_lag168", "roll24_avg_mean", "roll168_avg_max", "prod_cum_day", F.col("shutdown_nth").cast("double").alias("shutdown_nth"), "headcount")
 
 
@@ -706,15 +755,14 @@ def binomial_limits(spark: S, sf: D) -> DataFrame:
 
 @register()
 def forest_cv(spark: S, sf: D) -> DataFrame:
-    """Out-of-fold errors of naive, forest and regime models on a fold."""
+    """Out-of-fold errors of naive, forest and regime models over all folds, both targets and all features."""
     from loadlens.plans import models
-    from loadlens.sources.io import materialize
 
     feat = materialize(featured(spark, sf).filter("day < date '2024-01-24'"), "features")  # each fit reads them again
-    few = ["y_avg_lag24", "y_avg_lag168", "roll24_avg_mean", "roll168_avg_mean", "hour", "dow", "is_shutdown", "prod", "temp"]
-    fits = {"naive": models.seasonal_naive, "forest": models.forest(20, 6), "regime": models.regimes(models.forest(10, 5), (60.0, 90.0))}
-    oof = models.cross_validate(feat, folds(spark).filter("fold = 3"), fits, few, ("y_avg",))
-    return oof.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y_avg") - F.col("pred_avg"))).alias("mae"))
+    fits = {"naive": models.seasonal_naive, "forest": models.forest(10, 6), "regime": models.regimes(models.forest(5, 5), (60.0, 90.0))}
+    oof = models.cross_validate(feat, folds(spark), fits, list(features.FEATURES))
+    mae = lambda y, p: F.avg(F.abs(F.col(y) - F.col(p)))
+    return oof.groupBy("model", "fold").agg(F.count("*").alias("n"), mae("y_avg", "pred_avg").alias("mae"), mae("y_peak", "pred_peak").alias("peak_mae"))
 
 
 @register()
@@ -722,3 +770,118 @@ def peak_rules(spark: S, sf: D) -> DataFrame:
     from loadlens.plans import models
 
     return models.peak_rules(featured(spark, sf).filter("not is_warmup and not is_outage"), ["y_peak_lag24", "roll24_peak_max", "hour", "prod", "temp"])
+
+
+# --- thresholds, audits and scenarios over folds --------------------------------------------------------------------------------
+
+
+@register("WITH q AS (SELECT model, fold, [0.5 + 0.499 * i / 119 FOR i IN range(120)] AS qs, quantile_cont(pred_peak, [" + ", ".join(repr(0.5 + (0.999 - 0.5) * i / 119) for i in range(120)) + "]) AS v, sum(y_cls) AS p FROM @pred GROUP BY model, fold), c AS (SELECT DISTINCT model, fold, p, round_even(x, 2) AS tau FROM (SELECT model, fold, p, unnest(v) AS x FROM q)), f AS (SELECT c.model, c.fold, tau, p, coalesce(2.0::DOUBLE * sum(CASE WHEN round(pred_peak, 9) >= tau THEN y_cls ELSE 0 END) / nullif(sum((round(pred_peak, 9) >= tau)::INT) + p, 0), 0) AS f1 FROM c JOIN pred d ON c.model = d.model AND c.fold = d.fold GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY round(f1, 12) DESC, tau) AS r FROM f) SELECT model, R(median(CASE WHEN p > 0 THEN tau ELSE 0 END)) AS tau, count(*) AS n_folds FROM b WHERE r = 1 GROUP BY 1")
+def median_fold_threshold(spark: S, sf: D) -> DataFrame:
+    """The threshold for the test: the median of those tuned on the folds."""
+    tuned = metrics.tune_threshold(materialize(predictions(spark, sf).select("model", "fold", "y_cls", "pred_peak"), "scores"), "y_cls", "pred_peak", ["model", "fold"], 0.0)
+    return tuned.groupBy("model").agg(F.percentile("tau", F.lit(0.5)).alias("tau"), F.count("*").alias("n_folds"))
+
+
+@register("SELECT I(fold) AS fold, role, count(*) AS n, I(sum((NOT is_warmup AND NOT is_outage AND NOT is_erp_missing)::INT)) AS n_usable, I(sum(is_warmup::INT)) AS n_warmup, I(sum(is_outage::INT)) AS n_outage, I(sum(is_erp_missing::INT)) AS n_erp_missing, I(sum(coalesce(y_cls, 0))) AS n_pos FROM (SELECT f.*, fold, CASE WHEN day <= train_end THEN 'train' ELSE 'val' END AS role FROM @feat f JOIN @folds ON day <= train_end OR day BETWEEN val_start AND val_end) GROUP BY 1, 2")
+def split_audit(spark: S, sf: D) -> DataFrame:
+    return splits.split_audit(splits.fold_rows(featured(spark, sf), folds(spark)), ["fold", "role"]).drop("digest")
+
+
+_INNER = splits.inner_partitions("2024-01-01", "2024-01-24", 4, 3, 3, 1, 7)
+
+
+@register("SELECT I(part) AS part, role, count(*) AS n, I(sum(coalesce(y_cls, 0))) AS n_pos FROM (" + " UNION ALL ".join(f"SELECT {k} AS part, CASE WHEN ts < TIMESTAMP '{b['core_end']}' THEN 'core' WHEN ts >= TIMESTAMP '{b['cal_start']}' AND ts < TIMESTAMP '{b['cal_end']}' THEN 'calibration' WHEN ts >= TIMESTAMP '{b['eval_start']}' AND ts < TIMESTAMP '{b['eval_end']}' THEN 'evaluation' END AS role, y_cls FROM {'@' if k == 0 else ''}feat" for k, b in enumerate(_INNER)) + ") WHERE role IS NOT NULL GROUP BY 1, 2")
+def inner_partitions(spark: S, sf: D) -> DataFrame:
+    """Rows of each inner window before the test period: core, calibration tail and evaluation."""
+    parts = F.array(*(F.struct(F.lit(k).alias("part"), splits.role_of_day(**b).alias("role")) for k, b in enumerate(_INNER)))
+    rows = featured(spark, sf).select("y_cls", F.explode(parts).alias("p")).filter("p.role is not null")
+    return rows.groupBy("p.part", "p.role").agg(F.count("*").alias("n"), F.sum(F.coalesce("y_cls", F.lit(0))).alias("n_pos"))
+
+
+@register("WITH d AS (SELECT site_id, day, string_agg(concat_ws(',', y_avg, y_peak), ';' ORDER BY ts) AS h FROM @rep GROUP BY 1, 2 HAVING count(y_avg) = 24 AND count(y_peak) = 24), c AS (SELECT * FROM d WHERE day < DATE '2024-01-10'), n AS (SELECT site_id, count(*) AS k, count(DISTINCT h) AS u FROM c GROUP BY 1) SELECT d.site_id, d.day, EXISTS (SELECT 1 FROM c WHERE c.site_id = d.site_id AND c.h = d.h) AS seen_in_core, coalesce(k, 0) AS core_days, coalesce(u, 0) AS core_profiles, coalesce(k - u, 0) AS core_repeats FROM d LEFT JOIN n USING (site_id) WHERE d.day BETWEEN DATE '2024-01-18' AND DATE '2024-01-24'")
+def profile_novelty(spark: S, sf: D) -> DataFrame:
+    return splits.profile_novelty(repaired(spark, sf), splits.partition_bounds("2024-01-18", 1, 7, 7))
+
+
+@register("WITH c AS (SELECT model, fold, count(*) AS n, I(sum((y_cls = 1)::INT)) AS n_pos, I(sum((y_cls <> 1)::INT)) AS n_neg, sum((y_cls = 1 AND pred_cls = 1)::INT) AS tp, sum((y_cls <> 1 AND pred_cls = 1)::INT) AS fp, sum((y_cls = 1 AND pred_cls <> 1)::INT) AS fn, sum((y_cls <> 1 AND pred_cls <> 1)::INT) AS tn, avg(abs(y_avg - pred_avg)) AS mae FROM @pred GROUP BY 1, 2) SELECT model, I(fold) AS fold, n, n_pos, n_neg, tp + fn = n_pos AND fp + tn = n_neg AND n_pos + n_neg = n AS counts_add_up, R(mae) AS mae FROM c")
+def quality_arithmetic(spark: S, sf: D) -> DataFrame:
+    """Whether the counts of each result add up, and its error worked out again from the rows."""
+    return evaluate.check_arithmetic(predictions(spark, sf), ["model", "fold"])
+
+
+def _lever_sql(name: str, source: str, lever: str, alpha: float) -> str:
+    """The relation `name` (site_id, ts, day, hour, prod, y) after a lever on `source`; and name_m, the moves of its production."""
+    if lever in policy.SPREADS:
+        hours = ", ".join(map(str, policy.SPREADS[lever]))
+        return f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN y IS NOT NULL THEN greatest(CASE WHEN hour IN ({hours}) THEN y * (1 - {alpha!r}::DOUBLE * 2 / 3) ELSE y END, 0) END AS y) FROM {source})"
+    first = f"{name}_f AS (SELECT *, row_number() OVER (PARTITION BY site_id, day ORDER BY y DESC, ts) AS r FROM {source} WHERE y IS NOT NULL)"
+    if lever == "L3":
+        return (
+            f"{name}_c AS (SELECT site_id, quantile_cont(prod, 0.9) AS c FROM {source} WHERE prod > 0 GROUP BY 1), {name}_d AS (SELECT x.*, c, theta, max(y) OVER (PARTITION BY x.site_id, day) >= theta AS hot FROM {source} x LEFT JOIN {name}_c USING (site_id), th), "
+            f"{name}_w AS (SELECT site_id, day, hour, CASE WHEN hot AND y >= theta AND prod > c THEN c ELSE prod END AS made, CASE WHEN hot AND y >= theta AND prod > c THEN prod - c ELSE 0 END AS carry FROM {name}_d WHERE hour = 0 UNION ALL SELECT d.site_id, d.day, d.hour, CASE WHEN d.hot AND d.y >= theta AND d.prod + w.carry > c THEN c ELSE d.prod + w.carry END, CASE WHEN d.hot AND d.y >= theta AND d.prod + w.carry > c THEN d.prod + w.carry - c ELSE 0 END FROM {name}_w w JOIN {name}_d d ON d.site_id = w.site_id AND d.day = w.day AND d.hour = w.hour + 1), "
+            f"{name} AS MATERIALIZED (SELECT x.* REPLACE (made + CASE WHEN x.hour = 23 THEN carry ELSE 0 END AS prod, CASE WHEN y IS NOT NULL THEN greatest(y + 1.5::DOUBLE * (made + CASE WHEN x.hour = 23 THEN carry ELSE 0 END - prod), 0) END AS y) FROM {source} x JOIN {name}_w USING (site_id, day, hour))"
+        )
+    if lever == "L2":
+        who = f"{name}_t AS (SELECT DISTINCT site_id, day FROM (SELECT site_id, day, row_number() OVER (PARTITION BY site_id ORDER BY y DESC, ts) AS k FROM {name}_f) WHERE k <= 20), {name}_s AS (SELECT f.* FROM {name}_f f, th WHERE r = 1 AND prod > 0 AND (y >= theta OR EXISTS (SELECT 1 FROM {name}_t t WHERE t.site_id = f.site_id AND t.day = f.day)))"
+        share, on = 0.2, "x.hour IN (10, 11, 15, 16) AND x.ts <> s.ts"
+    else:
+        who, share, on = f"{name}_s AS (SELECT f.* FROM {name}_f f, th WHERE r = 1 AND prod > 0 AND y >= theta)", 0.15, "x.hour IN (21, 22, 23, 0, 1, 2)"
+    return (
+        f"{first}, {who}, {name}_m AS MATERIALIZED (SELECT s.site_id, s.ts AS src, x.ts AS dst, s.prod * {share}::DOUBLE / count(*) OVER (PARTITION BY s.site_id, s.ts) AS units FROM {name}_s s JOIN {source} x ON x.site_id = s.site_id AND x.day = s.day AND {on}), "
+        f"{name}_d AS (SELECT site_id, ts, sum(d) AS d FROM (SELECT site_id, src AS ts, -units AS d FROM {name}_m UNION ALL SELECT site_id, dst, units FROM {name}_m) GROUP BY 1, 2), "
+        f"{name} AS MATERIALIZED (SELECT x.* REPLACE (prod + coalesce(d, 0) AS prod, CASE WHEN y IS NOT NULL THEN greatest(y + 1.5::DOUBLE * coalesce(d, 0), 0) END AS y) FROM {source} x LEFT JOIN {name}_d USING (site_id, ts))"
+    )
+
+
+def _chains_sql(chains: dict[str, tuple[tuple[str, ...], float]]) -> str:
+    """WITH ... and the relation `e`: name, site_id, delta, months, labor, kept of each chain of levers."""
+    parts = ["base AS MATERIALIZED (SELECT site_id, ts, day, hour, prod, y_peak AS y FROM @rep)", "mo AS (SELECT site_id, sum(1.0::DOUBLE / day(last_day(day))) AS months FROM (SELECT DISTINCT site_id, day FROM rep) GROUP BY 1)", "th0 AS (SELECT * FROM @th)"]
+    made, ends = {}, []
+    for name, (chain, alpha) in chains.items():
+        at = "base"
+        for i in range(len(chain)):
+            key = (chain[: i + 1], alpha)
+            if key not in made:
+                made[key] = f"v{len(made)}"
+                parts.append(_lever_sql(made[key], at, chain[i], alpha))
+            at = made[key]
+        labor = f"(SELECT sum(units) * 12.5 FROM {at}_m m WHERE m.site_id = z.site_id)" if chain[-1:] == ("L4",) else "0"
+        ends.append(f"SELECT '{name}' AS name, z.site_id, max(b.y) - max(z.y) AS delta, coalesce({labor}, 0)::DOUBLE AS labor, (SELECT bool_and(d <= 1e-6) FROM (SELECT abs(sum(p.prod - q.prod)) AS d FROM {at} p JOIN base q USING (site_id, ts) WHERE p.site_id = z.site_id GROUP BY p.day)) AS kept FROM {at} z JOIN base b USING (site_id, ts) GROUP BY z.site_id")
+    return "WITH RECURSIVE " + ", ".join(parts) + ", e AS (SELECT * FROM (" + " UNION ALL ".join(ends) + ") JOIN mo USING (site_id))"
+
+
+@register(_chains_sql({k: (c, 0.2) for k, c in policy.SCENARIOS.items()}) + " SELECT name AS scenario, site_id, R(delta) AS delta_peak, R(delta * 8320 * months) AS saving, R(labor) AS extra_labor, R(delta * 8320 * months - labor) AS net, kept AS day_conserved FROM e")
+def scenario_table(spark: S, sf: D) -> DataFrame:
+    df = repaired(spark, sf)
+    return policy.scenario_table(df, theta_of(df), 1.5)
+
+
+@register(_chains_sql({f"{k}|{a}": (c, a) for a in (0.1, 0.2, 0.3) for k, c in policy.COMBINATIONS.items()}) + ", c AS (SELECT site_id, split_part(name, '|', 2)::DOUBLE AS alpha, f AS rate_factor, split_part(name, '|', 1) AS combination, delta * 8320 * months * f - labor AS net FROM e, (VALUES (0.7::DOUBLE), (1.0::DOUBLE), (1.3::DOUBLE)) x(f)), k AS (SELECT *, row_number() OVER (PARTITION BY site_id, alpha, rate_factor ORDER BY round(net, 6) DESC, len(combination)) = 1 AS best FROM c) SELECT site_id, R(alpha) AS alpha, R(rate_factor) AS rate_factor, combination, R(net) AS net, best, (SELECT count(DISTINCT combination) = 1 FROM k o WHERE o.site_id = k.site_id AND o.best) AS stable FROM k")
+def lever_sensitivity(spark: S, sf: D) -> DataFrame:
+    df = repaired(spark, sf)
+    return policy.sensitivity(df, theta_of(df), 1.5)
+
+
+@register()
+def conditional_intervals(spark: S, sf: D) -> DataFrame:
+    """Mean error where a condition holds and where it doesn't, with limits from draws of days; seeded, so without SQL."""
+    from loadlens.functions import resample
+
+    rows = materialize(predictions(spark, sf).filter("model = 'lag24'").select("day", "is_shutdown", "is_daytime", "hour", F.abs(F.col("y_avg") - F.col("pred_avg")).alias("e")), "errors")
+    out = None
+    for name, c in {"operating": F.col("is_shutdown") == 0, "startup": F.col("hour").isin(8, 13), "daytime": F.col("is_daytime") == 1}.items():
+        for side in (True, False):
+            part = resample.mean_limits(rows, F.col("e"), c if side else ~c, lambda n: resample.day_draws(spark, n, 2000, 42)).select(F.lit(name).alias("name"), F.lit(side).alias("inside"), "n", "mean", "low", "high")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register()
+def seed_sensitivity(spark: S, sf: D) -> DataFrame:
+    """How far the limits of a paired difference move with the seed: 20 seeds as a key of one job."""
+    from loadlens.functions import resample
+
+    long = predictions(spark, sf).select("site_id", "ts", "model", F.col("y_avg").alias("y"), F.col("pred_avg").alias("pred"))
+    rows = joins.paired(materialize(long, "pairs"), "lag168", "mean", ["site_id", "ts"]).withColumn("day", F.to_date("ts"))
+    days = [r["day"] for r in rows.select("day").distinct().orderBy("day").collect()]  # a row a day
+    return resample.seed_sensitivity(rows, resample.seed_draws(spark, days, 1, 500, range(1, 21)))

@@ -64,11 +64,12 @@ def day_ahead_features(history: DataFrame, plan: DataFrame, target: str, theta:
     return out
 
 
-def replay(df: DataFrame, days: list[str], history_days: int, theta: float, holidays: DataFrame, edges=opcal.REGIME_EDGES, power_floor: float = repair.POWER_FLOOR) -> DataFrame:
-    """Features of many target days, each from its own window of history: windows become a key, so all days run in one job."""
-    spark = df.sparkSession
-    targets = spark.createDataFrame([(d,) for d in days], "d string").select(F.to_date("d").alias("target"))
-    rows = df.join(F.broadcast(targets), (F.col("day") < F.col("target")) & (F.col("day") >= F.date_sub("target", history_days)) | (F.col("day") == F.col("target")))
+def replay(df: DataFrame, days: DataFrame, history_days: int, theta: float, holidays: DataFrame, edges=opcal.REGIME_EDGES, power_floor: float = repair.POWER_FLOOR) -> DataFrame:
+    """Features of many target days (a table with `day`, a row each), each from its own window of history: windows become a key, so all days run in one job."""
+    targets = days.select(F.col("day").alias("target")).distinct()
+    # A day of history belongs to at most history_days targets: each row names them, and those that are wanted stay.
+    named = df.withColumn("target", F.explode(F.sequence(F.col("day"), F.date_add("day", history_days))))
+    rows = named.join(targets, "target", "left_semi")
     # A window of a site is a series of its own.
     keyed = rows.withColumn("site_id", F.concat_ws("|", F.col("site_id").cast("string"), F.col("target").cast("string")))
     plan_columns = ("site_id", "ts", "day", "prod", "headcount", "temp", "wind", "humid", "rain")

@@ -8,8 +8,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,15 +49,17 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """To a temporary name beside the path, then renamed over it."""
+    """To a temporary name beside the path, then renamed over it in one step, so that readers see the old file or the new one."""
     fs, p = _fs(spark, path)
     _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot write {path}")
+    jvm = spark._jvm
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = next(x for x in kind.getEnumConstants() if x.name() == "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(tmp, p, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -73,18 +75,38 @@ def read_json(spark: SparkSession, path: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='loadlens-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/loadlens-intermediate"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again, so that lost executors cost no more than their tasks."""
+#: Paths written by materialize() in the blocks of intermediates() that are open, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """What materialize() writes within the block is deleted when it ends, so the block's result must be written by then.
+
+    Gives the list of the paths; what is taken off it stays.
+    """
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        for path in _open.pop():
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it again, so that lost executors cost no more than their tasks.
+
+    The table stays until the enclosing intermediates() ends, if there is one; a lasting one stays in any case.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open and not lasting:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

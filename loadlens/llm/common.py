@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadlens.sources.io import intermediates  # noqa: F401
 from loadlens.sources.io import materialize as keep  # noqa: F401
 
 #: Spark bounds a batch by its bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default). What Python makes of a

@@ -7,13 +7,13 @@ up. Each leaf then takes whole documents in a seeded order, epoch after epoch, a
 within its budget.
 
 The share-out is a water level: sorted by capacity over weight, the children that are filled come first, so one window for
-each level solves it. The order of a leaf is dealt to buckets of its hash, whose sums tell where each bucket begins; no
-task sees a whole leaf.
+each level solves it. The order of a leaf is dealt to buckets of its hash, whose sums tell in which bucket its budget ends;
+no task sees a whole leaf, and whole rows are filtered where they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -78,28 +78,54 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return left.join(right, on, how).drop(*(f"r_{k}" for k in keys))
 
 
-def select(docs: DataFrame, levels: list[str], weights: list[DataFrame | None], budget_share: float, tokens: str = "tokens", id_col: str = "doc_id", seed: int = 0, epochs: int = 1) -> DataFrame:
-    """The rows chosen, with `epoch` from 0 (in place of a column of that name); a document is there once for each epoch that takes it.
+def cuts(slim: DataFrame, names: list[str], budget: DataFrame, seed: int, epochs: int) -> DataFrame:
+    """names, __last, __upto: a leaf takes its ids in the order of (epoch, md5) up to these; slim has names, __id and __n.
 
-    The budget is budget_share of all tokens. Within an epoch a leaf's order is that of md5(seed:epoch:id); ids that repeat, or
-    are null, come by their tokens. Documents without tokens come at their place in the order.
-    Null tokens are 0. An empty table gives none.
+    Sums of buckets tell in which bucket a leaf's budget ends, and only that bucket's ids are put in order. One row a leaf;
+    leaves that take nothing have none.
+    """
+    rows = _meet(slim, budget, names, "inner")
+    dealt = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("__o", order_of(F.col("__id"), F.col("__epoch"), seed)).withColumn("__k", F.substring("__o", 1, BUCKET_DIGITS))
+    sums = dealt.groupBy(*names, "__budget", "__epoch", "__k").agg(F.sum("__n").alias("__sum"))
+    begin = Window.partitionBy(*names).orderBy("__epoch", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(begin), F.lit(0))).filter("__start < __budget")
+    edge = starts.groupBy(*names).agg(F.max(F.struct("__epoch", "__k", "__start")).alias("__at")).select(*names, F.col("__at.__epoch").alias("__epoch"), F.col("__at.__k").alias("__k"), F.col("__at.__start").alias("__start"))
+    inside = _meet(dealt, edge, [*names, "__epoch", "__k"], "inner").groupBy(*names, "__budget", "__epoch", "__start", "__o").agg(F.sum("__n").alias("__sum"))
+    before = F.col("__start") + F.coalesce(F.sum("__sum").over(Window.partitionBy(*names).orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inside.withColumn("__before", before).filter("__before < __budget").groupBy(*names).agg(F.max("__epoch").alias("__last"), F.max("__o").alias("__upto"))
+
+
+def order_of(id_: Column, epoch: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit(""))))
+
+
+def taken(docs: DataFrame, levels: dict[str, Column], weights: list[DataFrame | None], budget_share: float, tokens: Column, id_col: str = "doc_id", seed: int = 0, epochs: int = 1) -> DataFrame:
+    """The rows chosen, all columns as they were, and `__epoch` from 0; a document is there once for each epoch that takes it.
+
+    levels: names, as the weights have them, and what gives them. The budget is budget_share of all tokens. Within an epoch
+    a leaf's order is that of md5(seed:epoch:id), and an id is taken while the tokens before it are within the budget; rows
+    of one id (repeated rows, rows without an id) come together. Documents without tokens come at their place in the order;
+    null tokens are 0. An empty table gives none.
+
+    Tokens are counted once, into slim rows. Whole rows are never shuffled: they meet a row a leaf, which Spark broadcasts
+    if that is small, and are filtered where they lie.
     """
     names = [f"__l{i}" for i in range(len(levels))]
-    whole = docs.select("*", *(F.col(c).alias(n) for c, n in zip(levels, names, strict=True)), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__n"))
-    leaves = whole.groupBy(*names).agg(F.sum("__n").alias("tokens"), F.count("*").alias("rows"))
-    leaves = keep(leaves, "leaves")
+    named = {n: c for n, c in zip(names, levels.values(), strict=True)}
+    slim = keep(docs.select(*(c.alias(n) for n, c in named.items()), F.col(id_col).alias("__id"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("__n")), "mix-rows")
+    leaves = keep(slim.groupBy(*names).agg(F.sum("__n").alias("tokens")), "leaves")
     all_tokens = leaves.agg(F.sum("tokens")).first()[0] or 0
     weights = [w if w is None else w.withColumnsRenamed(dict(zip(levels, names, strict=True))) for w in weights]
-    budget = keep(budgets(leaves.select(*names, "tokens"), names, weights, int(all_tokens * budget_share), epochs).filter("budget > 0").withColumnRenamed("budget", "__budget").drop("tokens"), "budgets")
-    rows = _meet(whole, budget, names, "inner")
-    order = lambda e: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), e.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    every = F.sequence(F.lit(0), F.lit(epochs - 1))
-    dealt = rows.withColumn("__epoch", F.explode(every) if epochs > 1 else F.lit(0)).withColumn("__o", order(F.col("__epoch"))).withColumn("__k", F.substring("__o", 1, BUCKET_DIGITS))
-    sums = dealt.groupBy(*names, "__epoch", "__k").agg(F.sum("__n").alias("__sum"))
-    begin = Window.partitionBy(*names).orderBy("__epoch", "__k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*names, "__epoch", "__k", F.coalesce(F.sum("__sum").over(begin), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*names, "__epoch", "__k").orderBy("__o", "__n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _meet(dealt, starts, [*names, "__epoch", "__k"], "inner")
-    placed = placed.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    return placed.filter("__before < __budget").select(*(c for c in docs.columns if c != "epoch"), F.col("__epoch").alias("epoch"))
+    budget = keep(budgets(leaves, names, weights, int(all_tokens * budget_share), epochs).filter("budget > 0").withColumnRenamed("budget", "__budget").drop("tokens"), "budgets")
+    cut = keep(cuts(slim, names, budget, seed, epochs), "cuts")
+    rows = _meet(docs.withColumns(named), cut, names, "inner")
+    epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))) if epochs > 1 else F.lit(0)
+    rows = rows.withColumn("__epoch", epoch)
+    upto = (F.col("__epoch") < F.col("__last")) | (F.col("__epoch") == F.col("__last")) & (order_of(F.col(id_col), F.col("__epoch"), seed) <= F.col("__upto"))
+    return rows.filter(upto).select(*docs.columns, "__epoch")
+
+
+def select(docs: DataFrame, levels: list[str], weights: list[DataFrame | None], budget_share: float, tokens: str = "tokens", id_col: str = "doc_id", seed: int = 0, epochs: int = 1) -> DataFrame:
+    """taken() by columns of docs, with `epoch` in place of a column of that name."""
+    out = taken(docs, {c: F.col(c) for c in levels}, weights, budget_share, F.col(tokens), id_col, seed, epochs)
+    return out.select(*(c for c in docs.columns if c != "epoch"), F.col("__epoch").alias("epoch"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, licenses, media, mixing, quality, repetition, secrets, simhash, urls
-from .common import table
+from .common import keep, table
 
 #: Weights of the mixture; whole numbers, so that sums of them are exact in any order.
 DOMAIN_WEIGHTS = {"curated": 60, "web": 40}
@@ -60,23 +60,25 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """Adds domain and tokens (words): sources src0 to src9 are `web`, all others `curated`."""
+def domain_and_tokens() -> tuple[Column, Column]:
+    """By columns source and text: domain (sources src0 to src9 are `web`, all others, null too, `curated`), and words (null text: 0)."""
     web = F.coalesce(F.col("source").rlike(r"\Asrc[0-9]\z"), F.lit(False))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.withColumns({"domain": F.when(web, "web").otherwise("curated"), "tokens": words})
+    return F.when(web, "web").otherwise("curated"), words
 
 
-def mix(docs: DataFrame, share: float, epochs: int) -> DataFrame:
-    spark = docs.sparkSession
+def mix_weights(spark: SparkSession) -> list[DataFrame | None]:
+    """Weights of domains, of languages in each, and none for sources."""
     domains = spark.createDataFrame(list(DOMAIN_WEIGHTS.items()), "domain string, weight double".replace("double", "long"))
     langs = spark.createDataFrame([(d, k, w) for d in DOMAIN_WEIGHTS for k, w in LANG_WEIGHTS.items()], "domain string, lang string, weight long")
-    return mixing.select(docs, ["domain", "lang", "source"], [domains, langs, None], share, seed=MIX_SEED, epochs=epochs)
+    return [domains, langs, None]
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
-    return mix(docs, MIX_SHARE, MIX_EPOCHS)
+    domain, tokens = domain_and_tokens()
+    # Words are counted once: what follows works on these rows.
+    docs = keep(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", domain.alias("domain"), tokens.alias("tokens")), "mix-documents")
+    return mixing.select(docs, ["domain", "lang", "source"], mix_weights(spark), MIX_SHARE, seed=MIX_SEED, epochs=MIX_EPOCHS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_media_columns, op4_chat_format, op5_secret_scan, op6_byte_bpe, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}

@@ -247,10 +247,11 @@ def test_mixing(spark):
         for key, b in want.items():
             own = [(e, hashlib.md5(f"4:{e}:{'' if i is None else i}".encode()).hexdigest(), n or 0, i, s) for e in range(epochs) for i, d, k, s, n in rows if (d, k, s) == key]
             before = 0
-            for e, _, n, i, s in sorted(own, key=lambda x: x[:3]):
+            for _, alike in itertools.groupby(sorted(own, key=lambda x: x[:2]), key=lambda x: x[:2]):  # rows of one id come together
+                alike = list(alike)
                 if before < b:
-                    plain.append((e, -1 if i is None else i, s))
-                before += n
+                    plain += [(e, -1 if i is None else i, s) for e, _, _, i, s in alike]
+                before += sum(x[2] for x in alike)
         assert chosen == sorted(plain), (share, epochs)
     assert mixing.select(df.filter("1 = 0"), levels, [wd, wl, None], 0.5).count() == 0
 

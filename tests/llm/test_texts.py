@@ -1,13 +1,17 @@
 """The row-wise operators against plain versions, text by text."""
 
 import hashlib
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from loadlens.llm import bpe, licenses, media, repetition, secrets
 
@@ -205,3 +209,129 @@ def test_redaction(docs, texts, spark):
     for r in kept.filter("doc_id is not null").collect():
         if not plain_secrets(texts[r["doc_id"]] or "")[4] and "secret>" not in (r["text"] or ""):
             assert r["text"] == texts[r["doc_id"]]
+
+
+def plain_battery(token):
+    plain = token.replace("-", "+").replace("_", "/")
+    alphabet = next(a for a in secrets.ENCODINGS if set(plain) <= set(a))
+    n, k, v = len(plain), len(alphabet), [alphabet.index(c) for c in plain]
+    normal = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    x, df = max(0.0, k * sum(c * c for c in Counter(v).values()) / n - n), k - 1
+    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    chi = normal(z) / 2 if z > 0 else 1 - normal(z) / 2
+    runs = normal((sum((a < k / 2) != (b < k / 2) for a, b in zip(v, v[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    mid = (k - 1) / 2
+    serial = normal(sum((a - mid) * (b - mid) for a, b in zip(v, v[1:])) / ((k * k - 1) / 12 * math.sqrt(n - 1)))
+    t = sum(math.tan((0.5 - min(max(p, 1e-15), 1 - 1e-15)) * math.pi) for p in (chi, runs, serial)) / 3
+    return chi, runs, serial, 1 / (math.pi * t) if t > 1e6 else 0.5 - math.atan(t) / math.pi
+
+
+def keys(r, n, size):
+    return ["".join(r.choice(a) for _ in range(size)) for a in secrets.ENCODINGS for _ in range(n)]
+
+
+def test_battery_against_plain(spark):
+    r = random.Random(11)
+    made = [k for size in (20, 33, 64, 200) for k in keys(r, 3, size)] + ["a1" * 20, "abcdefghijklmnopqrstuvwxyz0123456789", "internationalisation-of-2-things", "A" * 30 + "b2"]
+    df = spark.createDataFrame([(t,) for t in made], "t string").select("t", secrets.battery(F.col("t")).alias("b")).select("t", "b.*")
+    for row in df.collect():
+        want = plain_battery(row["t"])
+        for got, w in zip((row["chi"], row["runs"], row["serial"], row["p"]), want):
+            assert math.isclose(got, w, rel_tol=1e-5, abs_tol=1e-12), row["t"]
+    by = {row["t"]: row["p"] for row in df.collect()}
+    assert by["a1" * 20] < 1e-6 and by["A" * 30 + "b2"] < 1e-6
+
+
+def test_battery_keeps_keys_of_every_encoding(spark):
+    """Random keys beside odd ones: few are turned down, at any length and in any encoding."""
+    r = random.Random(12)
+    made = [(k, True) for size in (20, 24, 32, 52, 64, 128) for k in keys(r, 25, size) if re.search("[0-9]", k) and re.search("[A-Za-z]", k)] + [("ab1" * r.randint(8, 30), False) for _ in range(200)]
+    df = spark.createDataFrame([(i, f"see {k} there") for i, (k, _) in enumerate(made)], "doc_id long, text string")
+    found = {x["doc_id"] for x in secrets.scan(df).filter("spans like '%random%'").collect()}
+    real = {i for i, (_, good) in enumerate(made) if good}
+    long = {i for i in real if len(made[i][0]) >= 32}
+    print("keys found", len(found & real) / len(real), "of 32 and more", len(found & long) / len(long), "odd ones", len(found - real))
+    assert len(found & long) > 0.98 * len(long) and len(found & real) > 0.9 * len(real) and not found - real
+
+
+def test_benjamini_hochberg(spark):
+    r = random.Random(13)
+    rows = [(r.randint(20, 150), r.choice([0, 0, 1, 2, 5, 9, 14, 30, 400])) for _ in range(600)]
+    got = secrets.benjamini_hochberg(spark.createDataFrame(rows, "n int, nats int"), F.col("nats"), 0.01)
+    for k, low in enumerate(secrets.BANDS):
+        high = [*secrets.BANDS, 10**9][k + 1]
+        own = sorted((x for n, x in rows if low <= n < high), reverse=True)
+        good = [x for i, x in enumerate(own) if x > 0 and math.exp(-x) <= 0.01 * sum(y >= x for y in own) / len(own)]
+        assert got.get(k) == min(good, default=None)
+
+
+def plain_redacted(t, spans):
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out += [t[at:s], secrets.MASK]
+        at = max(at, e)
+    return "".join(out) + t[at:]
+
+
+def test_masked_against_plain(spark):
+    r = random.Random(14)
+    rows = []
+    for i in range(60):
+        t = "".join(r.choice("ab é漢😀") for _ in range(r.choice([5, 60, 900])))
+        spans = sorted({tuple(sorted(r.sample(range(len(t) + 1), 2))) for _ in range(r.choice([1, 3, 70, 200]))})
+        rows.append((i, t, [{"s": a, "k": 0, "e": b} for a, b in spans]))
+    df = spark.createDataFrame(rows, "i int, t string, spans array<struct<s:int,k:int,e:int>>")
+    got = {x["i"]: x["m"] for x in df.select("i", secrets._masked(F.col("t"), F.col("spans")).alias("m")).collect()}
+    assert all(got[i] == plain_redacted(t, [(x["s"], x["e"]) for x in spans]) for i, t, spans in rows)
+
+
+def test_redacted_many_secrets_and_clashing_names(spark, empty):
+    text = " ".join(f"token=abcdef{i:06d}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text, "x", "y", 1.5), (2, None, None, "z", None), (3, "", "", "", 0.0)], "doc_id long, text string, __base string, __random string, __spans double")
+    began = time.time()
+    out = {x["doc_id"]: x for x in secrets.redacted(df).collect()}
+    assert out[1]["text"] == " ".join(["token=abcdef000000".replace("token=abcdef000000", secrets.MASK)] * 50_000) and time.time() - began < 60
+    assert (out[1]["__base"], out[1]["__random"], out[1]["__spans"]) == ("x", "y", 1.5) and out[2]["text"] is None and out[3]["text"] == ""
+    assert secrets.redacted(df).schema == df.schema and secrets.redacted(empty).count() == 0
+
+
+def test_sniff_hostile_bytes_take_linear_time():
+    n = 10_000_000
+    for part in (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\x02", b"OggS", b"\0\0\0\x0cftypmp42", b"%PDF-startxref", b"PK\x05\x06" + b"\0" * 18):
+        began = time.time()
+        media.sniff(part * (n // len(part)))
+        assert time.time() - began < 30, part
+
+
+def test_sniff_nested_and_updated():
+    import io
+    import zipfile
+
+    def zipped(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    outer = zipped(a=b"x" * 40, inner=zipped(b=b"y" * 30), c=b"z")
+    assert media.sniff(b"head" + outer + b"tail") == [(4, len(outer), "application/zip")]
+    pdf = b"%PDF-1.4 one startxref 9 %%EOF more startxref 20 %%EOF"
+    assert media.sniff(pdf + b" rest %PDF-1.5 no end") == [(0, len(pdf), "application/pdf")]
+    assert media.sniff(b"%PDF-1.5 %%EOF") == []
+    wav = media.wav(b"abc")
+    mp4 = b"\0\0\0\x10ftypisom\0\0\0\0" + b"\0\0\0\x0cfreeabcd"
+    assert media.sniff(wav + mp4) == [(0, len(wav), "audio/wav"), (len(wav), len(mp4), "video/mp4")]
+
+
+def test_carved_from_encoded_runs(spark):
+    import base64
+
+    wav = media.wav(bytes(range(64)))
+    mp4 = b"\0\0\0\x10ftypisom\0\0\0\0" + b"\0\0\0\x10freeabcdefgh" * 2
+    text = "img data:audio/wav;base64," + base64.b64encode(wav).decode() + " and " + mp4.hex() + " end " + "A" * 200
+    r = media.media_of_texts(spark.createDataFrame([(1, text), (2, "plain text " * 20), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    of = lambda b: hashlib.sha256(b).hexdigest()[:16]
+    assert r[0]["feature"].endswith(f";carved=2:base64@26/audio/wav@0+{len(wav)}/{of(wav)},hex@{text.index(mp4.hex())}/video/mp4@0+{len(mp4)}/{of(mp4)}")
+    assert r[1]["feature"].endswith("carved=0:") and r[2]["feature"].endswith("carved=0:")

@@ -4,17 +4,19 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import defaultdict
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loadlens.llm import chat, common, components, mixing, quality, queries, simhash, urls
+from loadlens.llm import bpe, chat, common, components, mixing, quality, queries, secrets, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -358,3 +360,108 @@ def test_pipeline(spark):
         docs = new
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > sizes[4] == sizes[5]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
+def plain_discriminant(x, y):
+    """Scores of all rows of x by the densities themselves, fitted to rows whose y is 0 or 1."""
+    d, own = x.shape[1], [x[y == c] for c in (0, 1)]
+    scatter = [(o - o.mean(0)).T @ (o - o.mean(0)) for o in own]
+    pooled, log = (scatter[0] + scatter[1]) / (len(own[0]) + len(own[1])), []
+    for o, sc in zip(own, scatter):
+        cov = (1 - quality.TO_POOLED) * sc / len(o) + quality.TO_POOLED * pooled
+        cov = (1 - quality.TO_SPHERE) * cov + quality.TO_SPHERE * (np.trace(cov) / d + 1e-9) * np.eye(d)
+        z = x - o.mean(0)
+        log.append(np.log(len(o) / (len(own[0]) + len(own[1]))) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,ij->i", z, np.linalg.solve(cov, z.T).T)))
+    return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / quality.TEMPERATURE, -30, 30)))
+
+
+def plain_scores(rows, labels):
+    by = defaultdict(set)
+    for i, q in labels:
+        if i is not None and q is not None and zlib.crc32(str(i).encode()) % 5:
+            by[i].add(q)
+    x = np.array([quality.statistics((t or "").encode()) for _, t in rows])
+    return plain_discriminant(x, np.array([next(iter(by[i])) if len(by.get(i, ())) == 1 else -1 for i, _ in rows]))
+
+
+def test_quality_against_plain(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels").select("doc_id", "quality")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**9, None), (10**9 + 1, ""), (10**9 + 2, "x " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(df, labels).collect()}
+    want = plain_scores(rows, [tuple(r) for r in labels.collect()])
+    assert len(got) == len(rows) and all(abs(got[i] - w) < 1e-7 for (i, _), w in zip(rows, want))
+
+
+def test_similar_groups_edges(spark):
+    """Columns with the names that the operator uses itself, rows of one id, no ids, no texts, and no rows at all."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, text), (3, text + " more"), (3, text + " more"), (None, text), (7, None), (8, ""), (9, "other"), (None, "alone")]
+    df = spark.createDataFrame([(i, t, "k", 1, [1], "h", 0, "i", "r") for i, t in rows], "doc_id long, text string, key string, fp int, bands array<int>, m string, at int, id string, root string").repartition(2)
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.similar_groups(df).collect())
+    assert got == [(-1, -1), (-1, 3), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 9)]
+    kept = simhash.kept_documents(df)
+    assert kept.schema == df.schema and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "3", "7", "9", "None", "None"]
+    assert simhash.similar_groups(df.filter("1 = 0")).count() == 0 and simhash.kept_documents(df.filter("1 = 0")).count() == 0
+
+
+def test_pipeline_against_plain(spark, tmp_path):
+    """run() against plain versions of its stages, over a table with copies, near copies, nulls, empty texts, repeated rows and extra columns.
+
+    The spans to mask are those of scan(), whose parts have plain versions of their own.
+    """
+    docs = common.table(spark, SF, "documents")
+    r = random.Random(21)
+    new = []
+    for x in docs.limit(30).collect():
+        words = (x["text"] or "").split(" ")
+        words[r.randrange(len(words))] = "changed"
+        new.append((10**6 + x["doc_id"], " ".join(words), x["lang"], x["source"], len(x["text"] or "")))
+    new += [(10**7, None, "en", "src1", None), (10**7 + 1, "", None, None, 0), (10**7 + 2, docs.first()["text"], "en", "src1", 5)]
+    more = spark.createDataFrame(new, "doc_id long, text string, lang string, source string, n_chars long").select(*(F.col(c).cast(t) for c, t in docs.dtypes))
+    docs = docs.union(more).withColumn("tokens", F.lit("own")).withColumn("domain", F.lit(1)).withColumn("root", F.lit(2))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = common.table(spark, SF, "labels")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x["doc_id"]: (x["ids"], x["n_tokens"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    rows = {x["doc_id"]: x for x in docs.collect()}
+    scores = plain_scores([(i, x["text"]) for i, x in rows.items()], [(x["doc_id"], x["quality"]) for x in labels.collect()])
+    rows = {i: x for (i, x), p in zip(rows.items(), scores) if p >= quality.THRESHOLD}
+    s = {i: shingles(x["text"] or "") for i, x in rows.items()}
+    same = lambda a, b: (rows[a]["text"] or "").lower().split() == (rows[b]["text"] or "").lower().split() or s[a] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])
+    root = plain_components(rows, [(a, b) for a, b in itertools.combinations(sorted(rows), 2) if same(a, b)])
+    rows = {i: x for i, x in rows.items() if root[i] == i}
+    df = docs.filter(F.col("doc_id").isin(list(rows)))
+    texts = {}
+    for x in secrets.scan(df).collect():
+        t, at, out = rows[x["doc_id"]]["text"] or "", 0, []
+        for a, b in [tuple(map(int, y.split(":")[1:])) for y in x["spans"].split(",") if y]:
+            out += [t[at:a], secrets.MASK] if a >= at else []
+            at = max(at, b)
+        texts[x["doc_id"]] = "".join(out) + t[at:]
+    leaf = defaultdict(list)
+    for i, t in texts.items():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        source = rows[i]["source"]
+        leaf["web" if re.fullmatch("src[0-9]", source or "") else "curated", rows[i]["lang"], source].append((hashlib.md5(f"{queries.MIX_SEED}:0:{i}".encode()).hexdigest(), n, i))
+    usable = {k: sum(x[1] for x in v) for k, v in leaf.items() if k[1] in queries.LANG_WEIGHTS}
+    below = lambda *p: sum(v for k, v in usable.items() if k[: len(p)] == p)
+    want = set()
+    budget = int(sum(x[1] for v in leaf.values() for x in v) * corpus_pipeline.MIX_SHARE)
+    for d, b in plain_share(budget, {d: (w, below(d)) for d, w in queries.DOMAIN_WEIGHTS.items() if any(k[0] == d for k in usable)}).items():
+        for g, b2 in plain_share(b, {g: (w, below(d, g)) for g, w in queries.LANG_WEIGHTS.items() if any(k[:2] == (d, g) for k in usable)}).items():
+            for so, b3 in plain_share(b2, {k[2]: (1, v) for k, v in usable.items() if k[:2] == (d, g)}).items():
+                before = 0
+                for _, n, i in sorted(leaf[d, g, so]):
+                    if before < b3:
+                        want.add(i)
+                    before += n
+    path, pattern = queries.vocabulary()
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert set(got) == want and 0 < len(want) < len(texts)
+    assert all(list(ids) == encoding.encode_ordinary(texts[i]) and n == len(ids) for i, (ids, n) in got.items())
+    empty = tmp_path / "none"
+    docs.filter("1 = 0").write.parquet(f"{empty}/documents.parquet")
+    labels.filter("1 = 0").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

@@ -103,21 +103,22 @@ def fit(seeds: DataFrame, url_col: str, seed_col: str) -> Ratio:
 
     def partial(batches):
         count, total = np.zeros((2, ORDER + 1, CELLS), np.int64), np.zeros((2, ORDER + 1, CELLS), np.int64)
-        pairs: set[int] = set()
+        rows = lambda i, j, n: pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.broadcast_to(j, len(i))), pa.array(n)], names=["i", "j", "n"])
         for b in batches:
+            pairs = []
             urls, y = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
             for s in (0, 1):
                 if own := [(u or "").encode("utf-8", "replace") for u, x in zip(urls, y, strict=True) if x == s]:
                     for k, (c, cc) in enumerate(_cells(own)[1]):
                         total[s, k] += np.bincount(c, minlength=CELLS)
                         count[s, k] += np.bincount(cc, minlength=CELLS)
-                        pairs.update(np.unique(((s * (ORDER + 1) + k) * CELLS + c) * CELLS + cc).tolist())
-        at = np.flatnonzero(count.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), -1)), pa.array(count.ravel()[at])], names=["i", "j", "n"])
-        at = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), -2)), pa.array(total.ravel()[at])], names=["i", "j", "n"])
-        both = np.fromiter(pairs, np.int64, len(pairs))
-        yield pa.RecordBatch.from_arrays([pa.array(both // CELLS), pa.array(both % CELLS), pa.array(np.ones(len(both), np.int64))], names=["i", "j", "n"])
+                        pairs.append(np.unique(((s * (ORDER + 1) + k) * CELLS + c) * CELLS + cc))
+            # Pairs leave with their batch, so that a task's memory doesn't grow with its rows; Spark makes them distinct.
+            both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+            yield rows(both // CELLS, both % CELLS, np.ones(len(both), np.int64))
+        for j, table in ((-1, count.ravel()), (-2, total.ravel())):
+            at = np.flatnonzero(table)
+            yield rows(at, np.int64(j), table[at])
 
     rows = seeds.select(F.col(url_col), F.col(seed_col).cast("int")).mapInArrow(partial, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     # Followers of a context: its pairs are distinct by now, so one more sum counts them. At most 6 * CELLS rows a class reach the driver.

@@ -1,13 +1,15 @@
 """Licence scan: a generalised suffix automaton over the words of licence templates.
 
-A text's words stream through the automaton, which gives at each word the length of the longest template passage that
-ends there (the matching statistics). Maximal matches are chained, for each template, in the order of both text and
-template across small gaps, into covered spans. Base phrases are templates too; a phrase stands wherever the matched
-passage has it as its end, so both come from one walk.
+A text's words stream through the automaton, which gives at each word, for each template, the length of its longest
+passage that ends there (the matching statistics). Matches that no further word prolongs are chained, for each template,
+in the order of both text and template across small gaps, into covered spans. Base phrases are in the automaton too; a
+phrase stands wherever the matched passage has it as its end, so both come from one walk.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Mapping
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -33,19 +35,22 @@ TEMPLATES = {
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 #: Matches of fewer words are not chained; a chain may skip so many words of text or template; it labels a text if it
-#: covers that share of its template, or that many words.
-LEAST_WORDS, MOST_GAP, LEAST_COVER, ENOUGH_WORDS = 3, 6, 0.6, 24
+#: covers that share of its template and four words, or that many words.
+LEAST_WORDS, MOST_GAP, LEAST_COVER, LEAST_CHAIN, ENOUGH_WORDS = 3, 6, 0.6, 4, 24
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
 
 
 class Automaton:
-    """Generalised suffix automaton over word ids; each state knows a template and end for every template it occurs in."""
+    """Generalised suffix automaton over word ids; each state knows, by template, every end of its passages.
 
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
+    Ends are kept for each state, so memory goes by the sum of the templates' repeated passages, not by the texts.
+    """
+
+    def __init__(self, templates: Mapping[str, str], phrases: Mapping[str, str]):
         self.vocabulary: dict[bytes, int] = {}
         self.go: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.places: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, set[int]]] = [{}]
         self.names = list(templates)
         self.sizes = []
         texts = [t.split() for t in templates.values()]
@@ -54,12 +59,17 @@ class Automaton:
             for i, w in enumerate(words):
                 last = self._add(last, self.vocabulary.setdefault(w.encode(), len(self.vocabulary)))
                 if k < len(texts):
-                    self.places[last].setdefault(k, i)
+                    self.places[last].setdefault(k, set()).add(i + 1)
             self.sizes.append(len(words))
-        for v in sorted(range(1, len(self.go)), key=self.length.__getitem__, reverse=True):
-            for k, i in self.places[v].items():
+        by_length = sorted(range(1, len(self.go)), key=self.length.__getitem__)
+        for v in reversed(by_length):
+            for k, ends in self.places[v].items():
                 if self.link[v] > 0:
-                    self.places[self.link[v]].setdefault(k, i)
+                    self.places[self.link[v]].setdefault(k, set()).update(ends)
+        #: By state: each template that has an end of its passages, with the state of the longest such end.
+        self.reach: list[dict[int, int]] = [{} for _ in self.go]
+        for v in by_length:
+            self.reach[v] = self.reach[self.link[v]] | dict.fromkeys(self.places[v], v)
         #: By state: the phrases that end wherever it ends, with the least matched length.
         self.phrases: list[list[tuple[int, str]]] = [[] for _ in self.go]
         for phrase, label in phrases.items():
@@ -74,16 +84,16 @@ class Automaton:
                 if up == at:
                     self.phrases[v].append((len(words), label))
 
-    def _state(self, length: int, link: int, go: dict[int, int], places: dict[int, int]) -> int:
+    def _state(self, length: int, link: int, go: dict[int, int]) -> int:
         self.length.append(length)
         self.link.append(link)
         self.go.append(go)
-        self.places.append(places)
+        self.places.append({})
         return len(self.go) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
         """A copy of q for the shorter passages that reach it from p."""
-        copy = self._state(self.length[p] + 1, self.link[q], dict(self.go[q]), dict(self.places[q]))
+        copy = self._state(self.length[p] + 1, self.link[q], dict(self.go[q]))
         self.link[q] = copy
         while p >= 0 and self.go[p].get(c) == q:
             self.go[p][c] = copy
@@ -93,7 +103,7 @@ class Automaton:
     def _add(self, last: int, c: int) -> int:
         if (q := self.go[last].get(c)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, c)
-        new = self._state(self.length[last] + 1, 0, {}, {})
+        new = self._state(self.length[last] + 1, 0, {})
         p = last
         while p >= 0 and c not in self.go[p]:
             self.go[p][c] = new
@@ -103,57 +113,69 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
-        """Phrase places (start, label), and maximal matches (end, length, state) of LEAST_WORDS words or more."""
-        ids = list(map(self.vocabulary.get, words))
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
+        """Phrase places (start, label); by template, matches (end, length, template, state) of LEAST_WORDS words or more that no further word prolongs."""
         hits, matches = [], []
         go, link, length, phrases = self.go, self.link, self.length, self.phrases
         state = size = 0
-        for i, c in enumerate(ids):
+        open_: dict[int, tuple[int, int]] = {}
+        for i, c in enumerate(map(self.vocabulary.get, words)):
             if c is None:
-                if size >= LEAST_WORDS:
-                    matches.append((i, size, state))
                 state = size = 0
-                continue
-            if c not in go[state] and state:
-                if size >= LEAST_WORDS:
-                    matches.append((i, size, state))
-                while state > 0 and c not in go[state]:
+            else:
+                while state and c not in go[state]:
                     state = link[state]
                     size = length[state]
-            state = go[state].get(c, 0)
-            size = size + 1 if state else 0
-            if phrases[state]:
-                hits += [(i + 1 - n, label) for n, label in phrases[state] if size >= n]
-        if size >= LEAST_WORDS:
-            matches.append((len(ids), size, state))
-        return hits, matches
-
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
-        """(template, first word, end, words covered, share of the template) of the chains that label a text."""
-        open_: dict[int, list[int]] = {}
+                state = go[state].get(c, 0)
+                size = size + 1 if state else 0
+                if phrases[state]:
+                    hits += [(i + 1 - n, label) for n, label in phrases[state] if size >= n]
+            if open_ or size >= LEAST_WORDS:
+                now = {k: (n, v) for k, v in self.reach[state].items() if (n := min(size, length[v])) >= LEAST_WORDS}
+                matches += [(i, n, k, v) for k, (n, v) in open_.items() if k not in now or now[k][0] != n + 1]
+                open_ = now
+        return hits, matches + [(len(words), n, k, v) for k, (n, v) in open_.items()]
+
+    def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, int, float]]:
+        """(template, first word, end, words covered, share of the template) of the chains that label a text.
+
+        A match stands for a link at every place of its passage in the template. For each link the chain of greatest cover
+        that ends with it is found (ties: the one that begins last); of those that label, a template keeps the ones that
+        share no word of the text and cover most in sum. A link looks back over links within its own length and MOST_GAP
+        only, so the time goes by the text's length times the templates' sizes.
+        """
+        links: dict[int, list[tuple[int, int, int, int]]] = {}
+        for end, size, k, v in matches:
+            links.setdefault(k, []).extend((end - size, end, at - size, at) for at in sorted(self.places[v][k]))
         done = []
-
-        def close(k: int) -> None:
-            first, end, covered, _ = open_.pop(k)
-            share = covered / self.sizes[k]
-            if share >= LEAST_COVER or covered >= ENOUGH_WORDS:
-                done.append((self.names[k], first, end, covered, min(1.0, share)))
-
-        for end, size, state in matches:
-            for k, place in self.places[state].items():
-                start, at = end - size, place + 1 - size
-                if k in open_:
-                    first, last, covered, upto = open_[k]
-                    if start - last <= MOST_GAP and -size < at - upto <= MOST_GAP:
-                        new = size - max(0, last - start, upto - at)
-                        if new > 0:
-                            open_[k] = [first, end, covered + new, place + 1]
-                        continue
-                    close(k)
-                open_[k] = [start, end, size, place + 1]
-        for k in list(open_):
-            close(k)
+        for k, own in links.items():
+            best: list[tuple[int, int]] = []
+            low = 0
+            for j, (start, end, begin, upto) in enumerate(own):
+                while own[low][1] < start - MOST_GAP:
+                    low += 1
+                got = (end - start, start)
+                for i in range(low, j):
+                    _, last, _, at = own[i]
+                    new = end - start - max(0, last - start, at - begin)
+                    if new > 0 and begin - at <= MOST_GAP:
+                        got = max(got, (best[i][0] + new, best[i][1]))
+                best.append(got)
+            ends = [x[1] for x in own]
+            total, taken = [0], []
+            for j, (cover, first) in enumerate(best):
+                labels = cover >= ENOUGH_WORDS or (cover >= LEAST_CHAIN and cover >= LEAST_COVER * self.sizes[k])
+                before = bisect_right(ends, first, 0, j)
+                taken.append(before if labels and total[before] + cover > total[j] else -1)
+                total.append(total[before] + cover if taken[j] >= 0 else total[j])
+            j = len(own)
+            while j:
+                if taken[j - 1] < 0:
+                    j -= 1
+                else:
+                    cover, first = best[j - 1]
+                    done.append((self.names[k], first, ends[j - 1], cover, cover / self.sizes[k]))
+                    j = taken[j - 1]
         return sorted(done, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -167,16 +189,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     spans: array of (template, first, end, covered, share), words from 0, end exclusive. score: the largest share of a
-    template that a span covers, 1 where a base phrase stands. Null and empty texts have no words, empty labels and score
+    template that a span covers, 1 where a base phrase stands. templates and phrases: lower-case words by name (a name's
+    ending `-notice` is no part of its label), and labels by phrase. Null and empty texts have no words, empty labels and score
     0; ids may be null or repeated; other columns are ignored.
     """
 
+    wanted = tuple(templates.items()), tuple(phrases.items())
+
     def rows(texts):
-        a = automaton()
+        a = automaton(*wanted)
         out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for t in texts:
             words = words_of(t)

@@ -112,15 +112,64 @@ def test_matching_statistics_against_brute_force():
     templates = {"p": "a b c a b d a b c e", "q": "b c a b c a", "r": "e e e a b"}
     a = licenses.Automaton(templates, {"b c": "x", "a b d": "y", "c a b c a": "z"})
     r = random.Random(1)
-    passages = {tuple(w[i:j]) for t in (*templates.values(), "b c", "a b d", "c a b c a") for w in [t.split()] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    inside = {k: {tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)} for k, t in enumerate(templates.values()) for w in [t.split()]}
     for _ in range(300):
         words = [r.choice("abcdef") for _ in range(r.randint(0, 25))]
         hits, matches = a.scan([w.encode() for w in words])
         want = [(i, label) for p, label in (("b c", "x"), ("a b d", "y"), ("c a b c a", "z")) for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         assert sorted(hits) == sorted(want)
-        stat = [max((n for n in range(1, i + 1) if tuple(words[i - n : i]) in passages), default=0) for i in range(1, len(words) + 1)]
-        ends = [(i + 1, n) for i, n in enumerate(stat) if n >= licenses.LEAST_WORDS and (i + 1 == len(stat) or stat[i + 1] != n + 1)]
-        assert [(e, n) for e, n, _ in matches] == ends
+        ends = []
+        for k, passages in inside.items():
+            stat = [max((n for n in range(1, i + 1) if tuple(words[i - n : i]) in passages), default=0) for i in range(1, len(words) + 1)]
+            ends += [(i + 1, n, k) for i, n in enumerate(stat) if n >= licenses.LEAST_WORDS and (i + 1 == len(stat) or stat[i + 1] != n + 1)]
+        assert sorted((e, n, k) for e, n, k, _ in matches) == sorted(ends)
+        for e, n, k, v in matches:
+            w = list(templates.values())[k].split()
+            assert sorted(a.places[v][k]) == [i for i in range(n, len(w) + 1) if w[i - n : i] == words[e - n : e]]
+
+
+def test_license_chains_against_all_chains():
+    """Every chain of every template is written out; kept spans must be disjoint, possible and of the greatest sum."""
+    import itertools
+    import random
+
+    templates = {"p": "a b c d a b c e f a b c", "q": "b c d a f e", "r": "a b c a b d e"}
+    a = licenses.Automaton(templates, {})
+    r = random.Random(2)
+    several = 0
+    for _ in range(400):
+        words = [w for _ in range(r.randint(0, 5)) for k in [r.randrange(3)] for t in [list(templates.values())[k].split()] for i in [r.randrange(4)] for w in [*t[i : i + r.randint(3, 8)], *"xyzxyzxyz"[: r.choice((0, 1, 7))]]]
+        matches = a.scan([w.encode() for w in words])[1]
+        got = a.chain(matches)
+        for k, (name, t) in enumerate(templates.items()):
+            t = t.split()
+            links = [(e - n, e, i - n, i) for e, n, m, _ in matches if m == k for i in range(n, len(t) + 1) if t[i - n : i] == words[e - n : e]]
+
+            def chains(last, t_end=len(links), links=links):
+                """(cover, first) of all chains that end with this link."""
+                s, e, b, u = links[last]
+                yield e - s, s
+                for i in range(t_end):
+                    _, e0, _, u0 = links[i]
+                    new = e - s - max(0, e0 - s, u0 - b)
+                    if new > 0 and e0 < e and s - e0 <= licenses.MOST_GAP and b - u0 <= licenses.MOST_GAP:
+                        yield from ((c + new, f) for c, f in chains(i))
+
+            best = {j: max(chains(j)) for j in range(len(links))}
+            fit = sorted({(f, links[j][1], c) for j, (c, f) in best.items() if c >= licenses.ENOUGH_WORDS or (c >= licenses.LEAST_CHAIN and c >= licenses.LEAST_COVER * len(t))})
+            disjoint = lambda spans: all(x[1] <= y[0] for x, y in itertools.pairwise(sorted(spans)))
+            most = max((sum(x[2] for x in some) for n in range(len(fit) + 1) for some in itertools.combinations(fit, n) if disjoint(some)), default=0)
+            mine = [(s, e, c) for m, s, e, c, _ in got if m == name]
+            assert set(mine) <= set(fit) and disjoint(mine) and sum(x[2] for x in mine) == most
+            several += len(mine) > 1
+    assert several
+
+
+def test_license_templates_of_the_caller(spark):
+    df = spark.createDataFrame([(1, "One two THREE four, six!"), (2, "released under the")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(df, templates={"own": "one two three four five"}, phrases={"three four": "b"}).collect()}
+    assert (rows[1]["labels"], rows[1]["base_labels"], rows[1]["spans"][0]["covered"]) == ("b,own", "b", 4)
+    assert rows[2]["labels"] == "" and licenses.scan(df).filter("doc_id = 2").first()["labels"] == ""
 
 
 def plain_media(t):

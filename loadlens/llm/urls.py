@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Rules as (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-# Words of a host that mark a rejected seed, beside what the rules block.
-REJECTED_WORDS = ("casino", "poker", "viagra", "porn", "xxx", "betting", "loan", "cheap-pills")
 #: Longest context; cells of a table of counts, and of one of contexts, for each order.
 ORDER, CELLS = 5, 1 << 16
 #: Bins of the calibration's histogram over differences of -BOUND to BOUND a character.
@@ -159,20 +157,24 @@ def difference(df: DataFrame, model: Ratio, url_col: str = "url") -> DataFrame:
     return df.withColumn("difference", of(F.col(url_col).cast("string")))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """id, host, path, rule, verdict, difference for every page; nothing else is read.
 
-    The longest rule that fits decides; else the models do, a difference under the cut being `block`. Seeds: what rules
-    block, or has one of REJECTED_WORDS in its host (also if a rule allows it), is rejected; all else is accepted. If there
-    are no seeds of one class, its model is empty and nothing can be calibrated: the cut is then 0. Null urls have empty host
-    and path; ids may be null or repeated.
+    The longest rule that fits decides; else the models do, a difference under the cut being `block`. Seeds come from the
+    rules: what they block is rejected, every other page accepted. With `labelled` (columns url and accepted, 1 or 0; rows
+    with a null in either are left out), its rows are seeds too, and of the pages only those that a rule decides. If there are
+    no seeds of one class, its model is empty and nothing can be calibrated: the cut is then 0. Null urls have empty host and
+    path; ids may be null or repeated.
     """
     df = parts(pages.select(F.col(id_col), F.col(url_col).cast("string").alias("__url")), "__url")
     name, verdict = _rule(F.col("host"), F.col("path"), rules)
     df = df.withColumn("rule", name).withColumn("__verdict", verdict)
-    odd = F.col("host").rlike("|".join(REJECTED_WORDS))
-    seed = F.when(odd | (F.col("__verdict") == "block"), 0).otherwise(1)
-    model = fit(df.withColumn("__seed", seed), "__url", "__seed")
+    blocked = F.col("__verdict") == "block"
+    seeds = df.select("__url", F.when(blocked, 0).otherwise(1).alias("__seed"))
+    if labelled is not None:
+        seeds = df.filter("__verdict IS NOT NULL").select("__url", F.when(blocked, 0).otherwise(1).alias("__seed"))
+        seeds = seeds.unionAll(labelled.select(F.col("url").cast("string"), F.col("accepted").cast("int")).dropna())
+    model = fit(seeds, "__url", "__seed")
     out = difference(df, model, "__url")
     method = F.when(F.col("difference") < model.cut, "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("__verdict", method).alias("verdict"), "difference")

@@ -2,10 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
@@ -314,7 +315,8 @@ def test_urls(spark):
     made = ["http://Example.NET/en/1", "https://a.example.net/EN/1", "ftp://net", "x://net?x=/en/", "http://fakenet/", "http://example.com/de/", "http://example.com/de", "http://x.org/fr/#a?b", "http://org/fr/?", "no scheme", "", None, "http://", "://a.net/", "http://a\nb.net/c\nd?e", "http://ünïcode.net:80/x", "a://b://c.net/d", "http://" + "x" * 30_000 + ".com/" + "y" * 9000]
     made += [f"http://good{i}.example.com/fr/{i}" for i in range(80)] + [f"http://m.casino-win{i}.example.com/en/{i}" for i in range(40)]
     df = spark.createDataFrame([(i, u, None, "x") for i, u in enumerate(made)] + [(None, "http://a.b/", "x", "x"), (3, made[3], "x", "x")], "page_id long, url string, html string, host string").repartition(3)
-    rows = urls.judge(df).collect()
+    labelled = [(f"http://www.casino-big{i}.example.com/en/{i}", 0) for i in range(40)] + [(f"http://good-{i}.example.com/fr/{i}", 1) for i in range(60)] + [(None, 1), ("http://a.b/", None)]
+    rows = urls.judge(df, labelled=spark.createDataFrame(labelled, "url string, accepted int")).collect()
     assert len(rows) == len(made) + 2
     for r in rows:
         if r["page_id"] is not None:
@@ -335,6 +337,43 @@ def test_urls_learn_from_blocked_pages(spark):
     assert all(r["verdict"] == "allow" for r in rows if r["host"].startswith("quiet"))
 
 
+def test_url_models_against_counts_in_dictionaries(spark):
+    """Smoothed probabilities without hashed cells; the cut against all others."""
+    blocked = [f"http://ab{i}.net/x" for i in range(4)] + ["http://ab.net/y?z"]
+    rest = [f"http://cd{i}.org/fr/q" for i in range(4)] + ["http://ab.info/", "http://cd.com/é", "", "ab"]
+    made = blocked + rest
+
+    def grams(u):
+        line = b"\x01" * urls.ORDER + u.encode() + b"\x01"
+        return [(line[p - k : p], line[p : p + 1]) for p in range(urls.ORDER, len(line)) for k in range(urls.ORDER + 1)]
+
+    def log_p(u, seen):
+        total, p = 0.0, 1 / 256
+        for context, c in grams(u):
+            p = p if context else 1 / 256
+            if n := sum(seen[context].values()):
+                p = (seen[context][c] + len(seen[context]) * p) / (n + len(seen[context]))
+            if len(context) == urls.ORDER:
+                total += math.log(p)
+        return total
+
+    counts = []
+    for own in (rest, blocked):
+        seen = defaultdict(Counter)
+        for u in own:
+            for context, c in grams(u):
+                seen[context][c] += 1
+        counts.append(seen)
+    rows = sorted(urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string").repartition(3)).collect())
+    for r, u in zip(rows, made, strict=True):
+        assert r["difference"] == pytest.approx((log_p(u, counts[0]) - log_p(u, counts[1])) / (len(u.encode()) + 1), abs=1e-9)
+    seeds = spark.createDataFrame([(u, int(u in rest)) for u in made], "url string, seed int")
+    cut, at = urls.fit(seeds, "url", "seed").cut, [r["difference"] for r in rows]
+    worst = lambda c: max(sum(d < c for d in at[len(blocked) :]) / len(rest), sum(d >= c for d in at[: len(blocked)]) / len(blocked))
+    assert worst(cut) == min(worst(i * 2 * urls.BOUND / urls.BINS - urls.BOUND) for i in range(urls.BINS + 1))
+    assert all((r["verdict"] == "block") == (r["rule"] == "net/" or (r["rule"] is None and r["difference"] < cut)) for r in rows)
+
+
 def same_rows(got, want):
     key = lambda rows, cols: sorted(tuple(str(x[c]) for c in sorted(cols)) for x in rows)
     assert sorted(got.columns) == sorted(want.columns)

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: n-gram lengths and the most of a text's word characters that duplicated ones may cover. One line said twice in a text
-#: of 60 words covers a quarter of it, and such texts are mostly clean; only what is beyond that goes.
-NGRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
+#: n-gram lengths and the most of a long text's word characters that duplicated ones may cover.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Words that a text of any length may repeat besides: a line of ten words said twice is no fault of a short text. They add
+#: ALLOWED_WORDS / n_words to each of the limits above, 0.33 at 60 words and 0.02 at 1,000.
+ALLOWED_WORDS = 20
 #: The most of a text's characters that lines equal to an earlier one may cover.
 LINE_LIMIT = 0.30
 #: The most symbols a word.
@@ -116,10 +118,10 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return map_texts(df, id_col, text_col, rows, ", ".join([*(f"{k} long" for k in ints), *(f"{k} double" for k in shares)]))
 
 
-def judge(measured: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT) -> DataFrame:
-    """Adds base_failed and kept to what repetition() returns."""
+def judge(measured: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT, allowed_words: int = ALLOWED_WORDS) -> DataFrame:
+    """Adds base_failed and kept to what repetition() returns; texts without words fail the base."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     over = (F.col("dup_line_share") > line_limit) | (F.col("n_symbols") > symbol_limit * F.col("n_words"))
     for k, most in (limits or NGRAM_LIMITS).items():
-        over |= F.col(f"dup_{k}_share") > most
+        over |= F.col(f"dup_{k}_share") > most + allowed_words / F.greatest("n_words", F.lit(1))
     return measured.withColumn("base_failed", base).withColumn("kept", ~base & ~over)

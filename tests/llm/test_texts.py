@@ -79,6 +79,19 @@ def test_repetition_shares(k):
     assert repetition.measure(" ".join(words).encode())[f"dup_{k}_share"] == pytest.approx(want)
 
 
+def test_repetition_limits(spark):
+    """A line said twice passes in a short text; in long ones the limits are those of the shares alone, whatever their order."""
+
+    def text(n, twice):
+        own = [f"u{i:05}" for i in range(n - 2 * twice)]
+        line = [f"r{i:05}" for i in range(twice)]
+        return " ".join(line + own + line)
+
+    rows = [(0, text(60, 10)), (1, text(60, 14)), (2, text(5000, 10)), (3, text(5000, 360)), (4, text(5000, 500)), (5, text(5000, 1000)), (6, text(400, 80)), (7, text(5000, 230))]
+    kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in repetition.judge(repetition.repetition(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert kept == {i: (False, i in (0, 2, 7)) for i in range(8)}
+
+
 def plain_licenses(t):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]

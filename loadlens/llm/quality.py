@@ -2,8 +2,9 @@
 
 For each class: its mean, and its covariance shrunk towards the pooled one and then towards a scaled identity. A text's
 score comes from the difference of the two Gaussian log densities, which use Cholesky factors made once. Moments are
-summed by Spark from every labelled training row; the driver sees two vectors and two small matrices, however many rows
-there are.
+summed by Spark from every labelled training row, about a fixed point amid usual texts so that no digits cancel; the
+driver sees two vectors and two small matrices, however many rows there are. Spark adds the tasks' sums in any order, so
+the last digits of a score may differ between runs.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+#: Moments are taken about the statistics of this sentence.
+_ORIGIN = np.array(statistics(b"Most of what people read each day, in 2 or 3 sittings, was written by someone who wanted them to understand it.\n" * 3))
+
+
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, x array<double>."""
 
@@ -84,7 +89,7 @@ def fit(labelled: DataFrame, label_col: str = "quality", x_col: str = "x", to_po
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(0).to_pylist(), float)
+            x = np.array(b.column(0).to_pylist(), float) - _ORIGIN
             y = b.column(1).to_numpy(zero_copy_only=False)
             for c in (0, 1):
                 own = x[y == c]
@@ -104,6 +109,7 @@ def fit(labelled: DataFrame, label_col: str = "quality", x_col: str = "x", to_po
         return Discriminant([], [], [])
     means = [sums[c, 1 : 1 + d] / n[c] for c in (0, 1)]
     scatter = [sums[c, 1 + d :].reshape(d, d) - n[c] * np.outer(means[c], means[c]) for c in (0, 1)]
+    means = [m + _ORIGIN for m in means]
     pooled = sum(scatter) / n.sum()
     factors, offsets = [], []
     for c in (0, 1):

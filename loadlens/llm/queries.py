@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media, mixing, quality, repetition, secrets, simhash, urls
+from . import aligning, bpe, chat, licenses, media, mixing, quality, repetition, runs, secrets, simhash, urls, warc
 from .common import keep, table
 
 #: Weights of the mixture; whole numbers, so that sums of them are exact in any order.
@@ -81,7 +81,27 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(docs, ["domain", "lang", "source"], mix_weights(spark), MIX_SHARE, seed=MIX_SEED, epochs=MIX_EPOCHS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_media_columns, op4_chat_format, op5_secret_scan, op6_byte_bpe, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all texts, of which one in ten (by its id's CRC-32) gets a periodic tail first; null texts have no words."""
+    docs = table(spark, sf_dir, "documents")
+    return runs.digests(docs.select("doc_id", runs.with_planted_period(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, archived and read back; null html is an empty payload."""
+    headers, payloads = warc.archive(table(spark, sf_dir, "pages"))
+    found = warc.records(keep(headers, "warc-headers"), keep(payloads, "warc-payloads"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both vocabularies' tokens of all texts, aligned; null and empty texts have none."""
+    import public_tokenizers
+
+    return aligning.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_media_columns, op4_chat_format, op5_secret_scan, op6_byte_bpe, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix, op11_periodic_runs, op12_warc, op13_cross_tokenizer)}
 
 _CHAT = r"""
 WITH c AS (SELECT conv_id, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id),
@@ -127,4 +147,15 @@ SELECT doc_id, lang, source, domain, tokens, epoch FROM p WHERE before < parent_
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT, "op10_source_mix": _mix_sql()}
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM p JOIN o ON p.h = o.h
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT, "op10_source_mix": _mix_sql(), "op12_warc": _WARC}

@@ -6,10 +6,11 @@ either vocabulary holds the character after anything but white space. That is re
 it doesn't hold, fewer cuts are made, down to one segment a text. Every segment's tokens are then the text's own.
 
 1. Texts become blocks of rows: a block lists its different segments once, and each text as numbers of that list.
-2. The different segments of all blocks are tokenised and aligned once.
-3. Their alignments are joined back by segment and brought to the blocks, where texts are composed.
-4. What a pair of ids counts depends on all texts, so a first pass over the blocks counts texts by pair; the counts are
-   summed for each distinct segment, and the second pass adds these sums up for each text.
+2. A shuffle brings all places of a segment, at most one a block, together; it is tokenised and aligned once, and the alignment
+   joined to each of its places on the way back to the blocks. This takes no second copy of the segments and no group in memory.
+3. Texts are composed from their block's alignments, with the pairs of ids that they link as numbers of the block's pairs.
+4. What a pair counts depends on all texts: each block's counts of texts are summed by pair, brought back to the blocks, of which
+   each has few thousand pairs, and added up for each text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from .common import keep
 BLOCK_BYTES = 32 << 20
 #: Segments that one row of a block lists, and that are tokenised in one call.
 LISTED = 4096
-#: Words that one step of the count of texts by pair takes.
-STEP = 1 << 20
+#: Places that a task gathers before it deals them out by block.
+GATHERED = 1 << 17
 #: Characters that may begin a white-space run before which a text is cut.
 CUTS = (" ", "\n", "\t")
+#: Whether a link is the first of its token of A, and of B; one that is both begins a group.
+NEW_A, NEW_B = 1, 2
 _SPACE = "▁"
 #: White space that isn't single spaces and line feeds between words.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\s\Z").search
@@ -65,10 +70,12 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = _byte_of_char()
-        self.bytes_a = {i: bytes(map(byte.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        entries = {i: bytes(map(byte.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        self.bytes_a = [entries.get(i, b"") for i in range(max([*entries, *self.a.get_vocab().values()]) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         texts = [p.replace(_SPACE, " ") for p in pieces]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else t.encode() for i, (p, t) in enumerate(zip(pieces, texts, strict=True))]
+        self.packed_a, self.packed_b = ([packed(np.array([i])) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id(_SPACE)
         self.cuts = "".join(c for c in CUTS if self._safe(c, texts))
         self.fast = set(" \n") <= set(self.cuts)
@@ -80,7 +87,7 @@ class Pair:
         before = made["pre_tokenizer"] or {}
         if before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space") or made["normalizer"] is not None:
             return False
-        if any(_after_text(t.decode("utf-8", "replace"), cut) for t in self.bytes_a.values()):
+        if any(_after_text(t.decode("utf-8", "replace"), cut) for t in self.bytes_a):
             return False
         if any(_after_text(t, cut) for i, t in enumerate(texts) if not self.b.is_byte(i)):
             return False
@@ -107,33 +114,31 @@ class Pair:
     def encode_a(self, segments: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
 
-    def align(self, segments: list[str]) -> list[tuple[bool, int, int, int, str, list[int]]]:
-        """For each: whether both have its bytes, tokens of A and B, groups, the groups as text, links as a << 32 | b; zeros if not."""
+    def align(self, segments: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """For each: its links in order, as packed ids of A, packed ids of B, and a step for each; all empty if not both have its bytes."""
         return [self._aligned(s.encode("utf-8"), a, b) for s, a, b in zip(segments, self.encode_a(segments), self.encode_b(segments), strict=True)]
 
-    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple[bool, int, int, int, str, list[int]]:
-        own_a, own_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != text or b"".join(own_b) != text:
-            return False, 0, 0, 0, "", []
-        i = j = end_a = end_b = first_a = first_b = 0
-        groups, links = [], []
-        if a:
-            end_a, end_b = len(own_a[0]), len(own_b[0])
-        while i < len(a):
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i < len(a):
-                    end_a, end_b = end_a + len(own_a[i]), end_b + len(own_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(own_a[i])
+    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes]:
+        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        if not a or b"".join(own_a) != text or b"".join(own_b) != text:
+            return b"", b"", b""
+        ends_a, ends_b = [*accumulate(map(len, own_a))], [*accumulate(map(len, own_b))]
+        i = j = 0
+        step, last = NEW_A | NEW_B, len(text)
+        links_a, links_b, steps = [], [], bytearray()
+        while True:
+            links_a.append(self.packed_a[a[i]])
+            links_b.append(self.packed_b[b[j]])
+            steps.append(step)
+            x, y = ends_a[i], ends_b[j]
+            if x == y:
+                if x == last:
+                    return b"".join(links_a), b"".join(links_b), bytes(steps)
+                i, j, step = i + 1, j + 1, NEW_A | NEW_B
+            elif x < y:
+                i, step = i + 1, NEW_A
             else:
-                j += 1
-                end_b += len(own_b[j])
-        return True, len(a), len(b), len(groups), ";".join(groups), links
+                j, step = j + 1, NEW_B
 
 
 @lru_cache(maxsize=2)
@@ -143,15 +148,24 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 
 class _Numbers(dict):
-    """Segments to their numbers, in the order of their coming; `before` is put before a key to make the segment."""
+    """Keys to their numbers, in the order of their coming. A key is a segment without the space that it begins with, or one that begins with a line feed."""
 
-    def __init__(self, segments: list[str], before: str = ""):
+    def __init__(self, segments: list[str]):
         super().__init__()
-        self.segments, self.before = segments, before
+        self.segments = segments
 
     def __missing__(self, key: str) -> int:
         n = self[key] = len(self.segments)
-        self.segments.append(self.before + key)
+        self.segments.append(key if key[:1] == "\n" else f" {key}")
+        return n
+
+
+class _Whole(_Numbers):
+    """Any other segments, by themselves."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self.segments)
+        self.segments.append(key)
         return n
 
 
@@ -160,32 +174,28 @@ class _Block:
 
     def __init__(self, p: Pair):
         self.p, self.ids, self.texts, self.bytes, self.segments = p, [], [], 0, []
-        self.spaced, self.fed, self.other = _Numbers(self.segments, " "), _Numbers(self.segments, "\n"), _Numbers(self.segments)
+        self.plain, self.other = _Numbers(self.segments), _Whole(self.segments)
+
+    def _number(self, segment: str) -> int:
+        if segment[0] == " " and segment[1:2] != "\n":
+            return self.plain[segment[1:]]
+        return self.plain[segment] if segment[0] == "\n" else self.other[segment]
 
     def add(self, ident, text: str | None) -> None:
-        out: list[int] = []
         if text and self.p.fast and not _UNEVEN(f" {text}"):
-            first = self.spaced
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                out.append(first[head])
-                out += map(self.spaced.__getitem__, rest)
-                first = self.fed
-        elif text:
-            for s in self.p.segments(text):
-                out.append(self.spaced[s[1:]] if s[0] == " " else self.fed[s[1:]] if s[0] == "\n" else self.other[s])
+            # Single spaces and line feeds between words: each begins a segment.
+            keys = text.replace("\n", " \n").split(" ")
+            numbers = np.fromiter(map(self.plain.__getitem__, keys), np.int32, len(keys))
+        else:
+            numbers = np.array([self._number(s) for s in self.p.segments(text)] if text else [], np.int32)
         self.ids.append(ident)
-        self.texts.append(np.array(out, np.int64))
+        self.texts.append(numbers)
         self.bytes += len(text or "")
 
     def made(self) -> tuple[list[bytes], list[str]]:
         """The texts as packed numbers, and the list, the most frequent segments first so that they take least bytes."""
         n = len(self.segments)
-        often = np.zeros(n, np.int64)
-        for t in self.texts:
-            often += np.bincount(t, minlength=n) if 16 * len(t) > n else 0
-            if 16 * len(t) <= n:
-                np.add.at(often, t, 1)
+        often = np.bincount(np.concatenate(self.texts), minlength=n)
         order = np.argsort(-often, kind="stable")
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
@@ -250,69 +260,129 @@ def _blocks(docs: DataFrame, kind: str, path_a: str, path_b: str) -> DataFrame:
     return docs.mapInArrow(run, f"block long, id {kind}, numbers binary, first long, segments array<string>")
 
 
-def segment_alignments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """segment, ok, n_a, n_b, n_groups, groups, links of a table of different segments (column segment)."""
+def _attached(places: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """block, numbers, sizes, a, b, steps: the links of a block's segments, as many places a row as a task has of a block at a time.
+
+    places (block, i, segment) come sorted by segment, all of one segment in one partition.
+    """
+    names = ["block", "numbers", "sizes", "a", "b", "steps"]
+
+    def made(blocks: list[int], places: list[int], links: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        order = np.argsort(blocks, kind="stable")
+        of, edges = np.unique(np.array(blocks)[order], return_index=True)
+        rows: list[list] = [[] for _ in names]
+        for block, part in zip(of.tolist(), np.split(order, edges[1:]), strict=True):
+            a, b, steps = zip(*[links[k] for k in part.tolist()], strict=True)
+            values = block, packed(np.array(places)[part]), packed(np.fromiter(map(len, steps), np.int64, len(steps))), b"".join(a), b"".join(b), b"".join(steps)
+            for column, v in zip(rows, values, strict=True):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=names)
 
     def run(batches):
+        blocks, numbers, links, last, held = [], [], [], None, None
         for b in batches:
             for at in range(0, b.num_rows, LISTED):
                 part = b.slice(at, LISTED)
-                made = pair(path_a, path_b).align(part.column(0).to_pylist())
-                kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([m[k] for m in made], t) for k, t in enumerate(kinds))], names=["segment", "ok", "n_a", "n_b", "n_groups", "groups", "links"])
-
-    return segments.mapInArrow(run, "segment string, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>")
-
-
-def _in_order(rows: pa.Table) -> pa.Table:
-    return rows.take(np.argsort(rows["i"].to_numpy()))
-
-
-def _texts_by_pair(texts: pa.Table, rows: pa.Table) -> pa.Table:
-    """pair, n: in how many of a block's texts each pair of ids is linked; texts with a segment that isn't ok have none."""
-    rows = _in_order(rows)
-    ok = rows["ok"].to_numpy()
-    links = rows["links"].combine_chunks()
-    sizes = np.diff(links.offsets.to_numpy())
-    pairs, code = np.unique(links.flatten().to_numpy(), return_inverse=True)
+                segments = part.column(2).to_pylist()
+                new = [s for k, s in enumerate(segments) if s != (segments[k - 1] if k else last)]
+                aligned = iter(pair(path_a, path_b).align(new))
+                for s in segments:
+                    if s != last:
+                        last, held = s, next(aligned)
+                    links.append(held)
+                blocks += part.column(0).to_pylist()
+                numbers += part.column(1).to_pylist()
+                if len(blocks) >= GATHERED:
+                    yield made(blocks, numbers, links)
+                    blocks, numbers, links = [], [], []
+        if blocks:
+            yield made(blocks, numbers, links)
+
+    return places.mapInArrow(run, "block long, numbers binary, sizes binary, a binary, b binary, steps binary")
+
+
+def _joined(rows: pa.Table, name: str) -> np.ndarray:
+    return unpacked(b"".join(rows[name].to_pylist()))
+
+
+def _group_texts(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, step: np.ndarray) -> Iterator[bytes]:
+    """By segment, of `sizes` links: the ids of A and B in each group, as `a1,a2|b1;a3|b2,b3`."""
     upto = np.cumsum(sizes)
+    for first in range(0, len(sizes), LISTED):
+        counts = sizes[first : first + LISTED].tolist()
+        part = slice(int(upto[first] - sizes[first]), int(upto[min(first + LISTED, len(sizes)) - 1]))
+        links = zip(map(str, a[part].tolist()), map(str, b[part].tolist()), step[part].tolist(), strict=True)
+        for n in counts:
+            text = own_b = ""
+            for x, y, s in islice(links, n):
+                if s == NEW_A:
+                    text = f"{text},{x}"
+                elif s == NEW_B:
+                    own_b = f"{own_b},{y}"
+                else:
+                    text = f"{text}|{own_b};{x}" if text else x
+                    own_b = y
+            yield f"{text}|{own_b}".encode() if n else b""
+
+
+_COMPOSED = "of long, id {}, n_a long, n_b long, n_groups long, n_links long, sha binary, codes binary, times binary, code long, pair long, n long"
+
+
+def _composed(texts: pa.Table, rows: pa.Table) -> pa.Table:
+    """Of a block: a row a text with its sums, the digest of its groups and its pairs as codes with times; and a row a pair with its code and texts."""
+    order, sizes = _joined(rows, "numbers"), _joined(rows, "sizes")
+    a, b, step = _joined(rows, "a"), _joined(rows, "b"), np.frombuffer(b"".join(rows["steps"].to_pylist()), np.uint8)
+    # Segments by number: where each one's links begin, and how many there are.
+    count, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    count[order], begin[order] = sizes, np.cumsum(sizes) - sizes
+    ok, segment = count > 0, np.repeat(order, sizes)
+    sums = np.stack([*(np.bincount(segment, (step & bit) == bit, len(order)) for bit in (NEW_A, NEW_B, NEW_A | NEW_B)), count], axis=1).astype(np.int64)
+    groups = [b""] * len(order)
+    for i, text in zip(order.tolist(), _group_texts(sizes, a, b, step), strict=True):
+        groups[i] = text
+    pairs, code, often = np.unique(a << 32 | b, return_inverse=True, return_counts=True)
+    # The most frequent pairs get the smallest codes, which take one byte.
+    place = np.empty(len(pairs), np.int64)
+    place[np.argsort(-often, kind="stable")] = np.arange(len(pairs))
+    code = place[code]
+    out: dict[str, list] = {k: [] for k in ("sums", "sha", "codes", "times")}
     total = np.zeros(len(pairs), np.int64)
-    todo = [u for x in texts["numbers"] if len(u := np.unique(unpacked(x.as_py()))) and ok[u].all()]
-    while todo:
-        step, words = [], 0
-        while todo and (not step or words + len(todo[-1]) <= STEP):
-            step.append(todo.pop())
-            words += len(step[-1])
-        segment, text = np.concatenate(step), np.repeat(np.arange(len(step)), [len(s) for s in step])
-        n = sizes[segment]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(upto[segment] - n, n)
-        both = np.unique(np.repeat(text, n) * len(pairs) + code[place])
-        total += np.bincount(both % len(pairs), minlength=len(pairs)) if len(pairs) else 0
-    some = total > 0
-    return pa.table({"pair": pairs[some], "n": total[some]})
-
-
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-def _composed(id_col: str):
-    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = _in_order(rows)
-        ok, groups = rows["ok"].to_numpy(), rows["groups"].to_pylist()
-        sums = np.stack([rows[c].to_numpy() for c in _SUMS], axis=1) if len(rows) else np.zeros((0, len(_SUMS)), np.int64)
-        out, shas = np.zeros((len(texts), len(_SUMS)), np.int64), []
-        for k, x in enumerate(texts["numbers"]):
-            at = unpacked(x.as_py())
-            if len(at) and ok[at].all():
-                # Each segment once, times its occurrences.
-                own, times = np.unique(at, return_counts=True)
-                out[k] = times @ sums[own]
-                shas.append(hashlib.sha256(";".join(map(groups.__getitem__, at.tolist())).encode()).hexdigest())
-            else:
-                shas.append("")
-        return pa.table({id_col: texts["id"], **{c: out[:, i] for i, c in enumerate(_SUMS)}, "groups_sha256": pa.array(shas, pa.string())})
-
-    return run
+    for x in texts["numbers"]:
+        at = unpacked(x.as_py())
+        if len(at) and ok[at].all():
+            own, times = np.unique(at, return_counts=True)
+            n = count[own]
+            linked = code[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)]
+            weight = np.bincount(linked, np.repeat(times, n)).astype(np.int64)
+            codes = np.flatnonzero(weight)
+            total[codes] += 1
+            made = times @ sums[own], hashlib.sha256(b";".join(map(groups.__getitem__, at.tolist()))).digest(), packed(np.diff(codes, prepend=0)), packed(weight[codes])
+        else:
+            made = np.zeros(4, np.int64), None, b"", b""
+        for column, v in zip(out.values(), made, strict=True):
+            column.append(v)
+    of, used = (texts["of"] if len(texts) else rows["block"])[0].as_py(), np.flatnonzero(total)
+    by_code = pairs[np.argsort(place)]
+    sums_of = np.array(out["sums"], np.int64).reshape(-1, 4)
+    t, p = len(texts), len(used)
+    return pa.table({
+        "of": pa.array([of] * (t + p), pa.int64()), "id": pa.concat_arrays([texts["id"].combine_chunks(), pa.nulls(p, texts["id"].type)]),
+        **{c: pa.concat_arrays([pa.array(sums_of[:, k]), pa.nulls(p, pa.int64())]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
+        **{c: pa.array(out[c] + [None] * p, pa.binary()) for c in ("sha", "codes", "times")},
+        **{c: pa.concat_arrays([pa.nulls(t, pa.int64()), pa.array(v)]) for c, v in (("code", used), ("pair", by_code[used]), ("n", total[used]))},
+    })
+
+
+def _counted(texts: pa.Table, rows: pa.Table) -> pa.Table:
+    """The texts with n_best and count_sum from the block's pairs (code, n, best)."""
+    size = max(rows["code"].to_pylist(), default=-1) + 1
+    n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    n[rows["code"].to_numpy()], best[rows["code"].to_numpy()] = rows["n"].to_numpy(), rows["best"].to_numpy()
+    sums = []
+    for codes, times in zip(texts["codes"], texts["times"], strict=True):
+        c, w = np.cumsum(unpacked(codes.as_py())), unpacked(times.as_py())
+        sums.append((int(w @ best[c]), int(w @ n[c])))
+    return pa.table({**{c: texts[c] for c in ("id", "n_a", "n_b", "n_groups", "n_links", "sha")}, **{c: pa.array([s[k] for s in sums], pa.int64()) for k, c in enumerate(("n_best", "count_sum"))}})
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,20 +396,17 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     blocks = keep(_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), kind, path_a, path_b), "blocks")
     texts = blocks.filter("numbers is not null").select(F.col("block").alias("of"), "id", "numbers")
     lists = blocks.filter("segments is not null").select("block", "first", F.posexplode("segments").alias("k", "segment"))
-    places = lists.select("block", (F.col("first") + F.col("k")).cast("int").alias("i"), "segment")
-    aligned = keep(segment_alignments(places.select("segment").distinct(), path_a, path_b), "aligned-segments")
+    places = lists.select("block", (F.col("first") + F.col("k")).cast("int").alias("i"), "segment").repartition("segment").sortWithinPartitions("segment")
+    attached = _attached(places, path_a, path_b)
+    composed = keep(texts.groupBy("of").cogroup(attached.groupBy("block")).applyInArrow(_composed, _COMPOSED.format(kind)), "composed")
 
-    linked = places.join(aligned.select("segment", "ok", "links"), "segment").select("block", "i", "ok", "links")
-    counted = texts.select("of", "numbers").groupBy("of").cogroup(linked.groupBy("block")).applyInArrow(_texts_by_pair, "pair long, n long")
-    counts = keep(counted.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    pairs = composed.filter("pair is not null").select(F.col("of").alias("block"), "code", "pair", "n")
+    counts = keep(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     of_a = F.shiftrightunsigned("pair", 32)
     # A row for each id of A at most, so its size is that of A's vocabulary.
     most = keep(counts.groupBy(of_a.alias("a")).agg(F.max("n").alias("most")), "pairs-most")
     judged = keep(counts.withColumn("a", of_a).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "pairs-judged")
-    each = aligned.select("segment", F.explode("links").alias("pair")).join(judged, "pair")
-    scores = keep(each.groupBy("segment").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best")), "scores")
-    # Pairs of texts without tokens only have no count, and no text uses them.
-    scored = keep(aligned.join(scores, "segment", "left").select("segment", "ok", "groups", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum")), "scored-segments")
-    brought = places.join(scored, "segment").drop("segment")
-    sums = ", ".join(f"{c} long" for c in _SUMS)
-    return texts.groupBy("of").cogroup(brought.groupBy("block")).applyInArrow(_composed(id_col), f"`{id_col}` {kind}, {sums}, groups_sha256 string")
+    brought = pairs.drop("n").join(judged, "pair").select("block", "code", "n", "best")
+    made = composed.filter("pair is null").select("of", "id", "n_a", "n_b", "n_groups", "n_links", "sha", "codes", "times")
+    out = made.groupBy("of").cogroup(brought.groupBy("block")).applyInArrow(_counted, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, sha binary, n_best long, count_sum long")
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce(F.lower(F.hex("sha")), F.lit("")).alias("groups_sha256"))

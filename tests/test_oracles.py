@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loadlens.plans import queries  # noqa: F401
+from loadlens.plans import queries, studies  # noqa: F401
 from loadlens.plans.base import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -24,10 +24,17 @@ class LoadlensError(Exception):
         return {"kind": self.kind, "reason": self.reason, "text": self.text}
 
 
-def _of(kind: str, doc: str) -> type[LoadlensError]:
-    return type(f"{kind.capitalize()}Error", (LoadlensError,), {"kind": kind, "__doc__": doc})
+class InputError(LoadlensError):
+    """History, plan or target day break their contract."""
 
+    kind = "input"
 
-InputError = _of("input", "History, plan or target day break their contract.")
-BundleError = _of("bundle", "A bundle is not there, was changed, or does not fit.")
-PredictionError = _of("prediction", "Models gave something unusable.")
+
+class BundleError(LoadlensError):
+    """A bundle is not there, was changed, or does not fit."""
+
+    kind = "bundle"
+
+
+class PredictionError(LoadlensError):
+    """Models gave something unusable."""

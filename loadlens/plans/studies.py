@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.functions import resample
-from loadlens.plans import base, temporal, variants
-from loadlens.plans.base import featured, folds, predictions, register, repaired, theta_of
+from loadlens.functions import metrics, quantiles, resample
+from loadlens.operators.features import FEATURES
+from loadlens.operators.splits import fold_rows, usable
+from loadlens.plans import base, gates, serving, temporal, variants
+from loadlens.plans.base import featured, folds, meter, predictions, register, repaired, theta_of
 from loadlens.sources.io import materialize
 
 S, D = SparkSession, str
@@ -103,3 +105,106 @@ def variant_flags(spark: S, sf: D) -> DataFrame:
     moved = noisy.withColumn("pred_avg", F.col("pred_avg") + (F.pmod(F.col("hour") * 7 + F.col("site_id") * 13 + F.col("k") * 29, F.lit(11)) - 5) / 10.0)
     both = named.unionByName(moved.withColumn("variant", F.concat(F.lit("null:"), F.col("k").cast("string"))).drop("k"))
     return variants.judged(variants.summarized(materialize(both, "variant-predictions"), theta_of(repaired(spark, sf)), _NORMAL))
+
+
+# --- quantiles and serving --------------------------------------------------------------------------------------------
+
+#: Kept coefficients of the three quantiles, thresholds, knots and half widths of a bundle; its holidays hold until the 27th.
+QUANTILES = {"q10": {None: 4.0, "y_avg_lag24": 0.35, "y_avg_lag168": 0.25}, "q50": {None: 10.0, "y_avg_lag24": 0.5, "y_avg_lag168": 0.35, "hour_sin": -2.0}, "q90": {None: 30.0, "y_avg_lag24": 0.6, "y_avg_lag168": 0.5}}
+COVER = serving.HolidayCover("2024-01-01", "2024-01-27")
+KNOTS = ((0.2, 0.0), (0.5, 0.3), (0.9, 0.8))
+_LEVELS = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+_LINES = {n: " + ".join([repr(c[None]), *(f"{v!r} * {k}" for k, v in c.items() if k)]) for n, c in QUANTILES.items()}
+_QSQL = f"l0 AS (SELECT *, list_sort([({_LINES['q10']})::DOUBLE, ({_LINES['q50']})::DOUBLE, ({_LINES['q90']})::DOUBLE]) AS qs FROM @feat), l AS (SELECT *, qs[1] AS q10, qs[2] AS q50, qs[3] AS q90 FROM l0)"
+
+
+def _with_quantiles(df: DataFrame) -> DataFrame:
+    return df.withColumns(quantiles.ordered({n: quantiles.linear(c) for n, c in QUANTILES.items()}))
+
+
+@register(f"WITH {_QSQL}, v AS (SELECT fold, y_avg AS y, q10, q50, q90 FROM l JOIN @folds ON day BETWEEN val_start AND val_end WHERE NOT is_warmup AND NOT is_outage AND NOT is_erp_missing) SELECT I(fold) AS fold, count(*) AS n, " + ", ".join(f"R(avg(CASE WHEN y >= {c} THEN {q} * (y - {c}) ELSE {1 - q!r} * ({c} - y) END)) AS pinball_{c}, R(avg((y <= {c})::INT)) AS under_{c}" for c, q in _LEVELS.items()) + ", R(avg((y BETWEEN q10 AND q90)::INT)) AS coverage, R(avg(q90 - q10)) AS width FROM (SELECT * FROM v) GROUP BY fold")
+def quantile_coverage(spark: S, sf: D) -> DataFrame:
+    """Loss and coverage of kept quantile coefficients on each fold's validation days; crossed quantiles are put in order."""
+    rows = fold_rows(featured(spark, sf), folds(spark)).filter(usable()).filter("role = 'val'")
+    return quantiles.interval_table(_with_quantiles(rows), "y_avg", _LEVELS, ["fold"])
+
+
+@register()
+def quantile_fits(spark: S, sf: D) -> DataFrame:
+    """Coefficients of three quantiles of the mean power by fold, fitted on its training days, with their loss on its validation days."""
+    rows = materialize(fold_rows(featured(spark, sf), folds(spark)).filter(usable()), "fold-rows")
+    names = ["y_avg_lag24", "y_avg_lag168", "roll24_avg_mean", "prod", "hour_sin", "hour_cos", "is_shutdown"]
+    fits = quantiles.fit(rows.filter("role = 'train'"), names, "y_avg", tuple(_LEVELS.values()), "fold")
+    kept = quantiles.table(rows, fits, names)
+    value = lambda q: sum((F.when(F.col("fold") == k, quantiles.linear(dict(zip([None, *names], map(float, beta), strict=True)))).otherwise(0.0) for (k, l), beta in fits.items() if l == q), F.lit(0.0))
+    scored = quantiles.interval_table(rows.filter("role = 'val'").withColumns(quantiles.ordered({n: value(q) for n, q in _LEVELS.items()})), "y_avg", _LEVELS, ["fold"])
+    return kept.join(scored.select(F.col("fold").cast("string").alias("key"), "n", "pinball_q10", "pinball_q50", "pinball_q90", "coverage"), "key", "left")
+
+
+def _bundle(theta: float) -> serving.Served:
+    return serving.Served(theta, 0.9 * theta, 0.5, KNOTS, {"operating": 25.0, "shutdown": 10.0}, base.HOLIDAYS, COVER, base.EDGES, base.FLOOR)
+
+
+def _predict(theta: float):
+    """Naive means of two lags in place of models."""
+
+    def add(df: DataFrame) -> DataFrame:
+        avg, peak = (F.col("y_avg_lag24") + F.col("y_avg_lag168")) / 2, (F.col("y_peak_lag24") + F.col("y_peak_lag168")) / 2
+        regime = F.when(avg <= base.EDGES[0], 0).when(avg <= base.EDGES[1], 1).otherwise(2)
+        return _with_quantiles(df.withColumns({"y_avg_pred": avg, "y_peak_pred": peak, "prob": F.least(F.lit(1.0), peak / (2 * theta)), "regime": regime}))
+
+    return add
+
+
+_SERVED_DAYS = f"day >= (SELECT min(day) + 8 FROM meter) AND day BETWEEN DATE '{COVER.start}' AND DATE '{COVER.end}'"
+_KNOT_SQL = "CASE WHEN prob <= 0.2 THEN 0.0 WHEN prob <= 0.5 THEN 0.3 * (prob - 0.2) / 0.3 WHEN prob <= 0.9 THEN 0.3 + 0.5 * (prob - 0.5) / 0.4 ELSE 0.8 END"
+
+
+@register(f"WITH {_QSQL}, p AS (SELECT l.*, (y_avg_lag24 + y_avg_lag168) / 2 AS a, (y_peak_lag24 + y_peak_lag168) / 2 AS k, least(1.0::DOUBLE, (y_peak_lag24 + y_peak_lag168) / 2 / (2 * theta)) AS prob, theta FROM l, th WHERE {_SERVED_DAYS}) SELECT site_id, ts, R(a) AS y_avg_pred, R(k) AS y_peak_pred, I(CASE WHEN a <= {base.EDGES[0]} THEN 0 WHEN a <= {base.EDGES[1]} THEN 1 ELSE 2 END) AS regime, I(k >= 0.9::DOUBLE * theta) AS peak_label, R(prob) AS peak_prob, R({_KNOT_SQL}) AS peak_prob_cal, I(prob >= 0.5) AS peak_label_cls, R(q10) AS q10, R(q50) AS q50, R(q90) AS q90, R(greatest(a - CASE WHEN is_shutdown = 1 THEN 10 ELSE 25 END, 0)) AS pi_lo, R(a + CASE WHEN is_shutdown = 1 THEN 10 ELSE 25 END) AS pi_hi FROM p")
+def served_days(spark: S, sf: D) -> DataFrame:
+    """What serving gives for each day whose holidays are known, from its own history and plan: 24 hours of thirteen columns."""
+    hours = materialize(meter(spark, sf), "meter")
+    days = hours.groupBy("day").count().select("day")
+    days = days.crossJoin(days.agg(F.min("day").alias("first"))).filter(F.col("day") >= F.date_add("first", 8)).select("day")  # one row of the first day
+    th = theta_of(repaired(spark, sf))
+    return serving.predict_days(hours, days, _bundle(th), _predict(th), 23)
+
+
+@register(f"SELECT DISTINCT day, 'CALENDAR_NOT_COVERED' AS code FROM @meter WHERE day NOT BETWEEN DATE '{COVER.start}' AND DATE '{COVER.end}'")
+def refused_days(spark: S, sf: D) -> DataFrame:
+    """Days that serving refuses, as the bundle's holidays don't cover them."""
+    return serving.refused_days(meter(spark, sf), COVER)
+
+
+# --- gates ------------------------------------------------------------------------------------------------------------
+
+
+def _gate_sql(gate: str, source: str, named: dict[str, str], warn: tuple[str, ...] = ()) -> str:
+    head, _, body = source.rpartition("|")
+    return (head + " " if head else "") + " UNION ALL ".join(f"SELECT '{gate}' AS gate, '{n}' AS check, '{'warn' if n in warn else 'hard'}' AS severity, count(*) AS n, count(*) FILTER ({w}) AS n_wrong, count(*) FILTER ({w}) = 0 AS passed FROM {body}" for n, w in named.items())
+
+
+@register(_gate_sql("repair", "@rep", {"targets_known": "(y_avg IS NULL OR y_peak IS NULL) AND NOT is_outage", "hour_of_timestamp": "hour <> hour(ts)", "day_of_timestamp": "day <> ts::DATE", "peak_not_under_mean": "y_peak < floor(y_avg - 0.5)", "no_negative_power": "least(p15, p30, p45, p60) < 0", "weather_known": "wind IS NULL OR rain IS NULL"}, ("weather_known",)))
+def gate_repair(spark: S, sf: D) -> DataFrame:
+    return gates.through(repaired(spark, sf), "repair", gates.repair_checks())[1]
+
+
+@register(_gate_sql("features", "@feat", {"complete_at_origin": "hour(ts) - 23 > 0", "no_power_of_the_hour": "FALSE", "no_repeated_columns": "FALSE", "usable_rows_are_whole": "NOT is_warmup AND (" + " OR ".join(f"{c} IS NULL" for c in FEATURES) + ")"}))
+def gate_features(spark: S, sf: D) -> DataFrame:
+    return gates.through(featured(spark, sf), "features", gates.feature_checks())[1]
+
+
+@register(_gate_sql("folds", "WITH fr AS (SELECT day, y_cls, val_start, val_end, CASE WHEN day <= train_end THEN 'train' ELSE 'val' END AS role FROM @feat JOIN @folds ON day <= train_end OR day BETWEEN val_start AND val_end)|fr", {"trained_on_the_past": "role = 'train' AND day >= val_start", "a_day_between": "role = 'train' AND day + 1 >= val_start", "validated_within": "role = 'val' AND NOT day BETWEEN val_start AND val_end", "class_known": "y_cls IS NULL"}))
+def gate_folds(spark: S, sf: D) -> DataFrame:
+    listed = folds(spark)
+    rows = fold_rows(featured(spark, sf), listed).join(F.broadcast(listed.drop("train_end")), "fold")
+    return gates.through(rows, "folds", gates.fold_checks())[1]
+
+
+@register(_gate_sql("results", "WITH m0 AS (SELECT model, count(*) AS n, avg(abs(y_avg - pred_avg)) AS mae, sum((y_cls = 1 AND pred_cls = 1)::INT) AS tp, sum((y_cls = 0 AND pred_cls = 1)::INT) AS fp, sum((y_cls = 1 AND pred_cls = 0)::INT) AS fn, sum((y_cls = 0 AND pred_cls = 0)::INT) AS tn FROM @pred GROUP BY 1), mm AS (SELECT m0.*, b.mae AS base_mae, b.mae - m0.mae AS ci_low FROM m0, m0 b WHERE b.model = 'lag168')|mm", {"better_than_lag168": "model = 'mean' AND NOT mae < base_mae", "counts_add_up": "tp + fp + fn + tn <> n", "significant": "model = 'mean' AND NOT ci_low > 0", "fewer_alarms_than_calendar": "model = 'mean' AND fp >= 82"}, ("significant", "fewer_alarms_than_calendar")))
+def gate_results(spark: S, sf: D) -> DataFrame:
+    """The last chapter's gate over naive models; the gain itself stands for its lower limit."""
+    rows = predictions(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y_avg") - F.col("pred_avg"))).alias("mae"), *metrics.confusion())
+    base_ = rows.filter("model = 'lag168'").select(F.col("mae").alias("base_mae"))  # one row
+    made = rows.crossJoin(F.broadcast(base_)).withColumn("ci_low", F.col("base_mae") - F.col("mae"))
+    return gates.through(made, "results", gates.result_checks("lag168", "mean", 82))[1]

@@ -269,7 +269,7 @@ def test_models_rank_and_round_trip(spark, plant, tmp_path):
     io.write_json(spark, f"{path}/manifest.json", {**io.read_json(spark, f"{path}/manifest.json"), "settings": {"tau": 2.0}})
     with pytest.raises(BundleError):
         serving.read_bundle(spark, path)
-    out = serving.assemble(reg(val.filter("site_id = 1"), "y_avg_pred").withColumns({"y_peak_pred": F.lit(130.0), "prob": F.lit(0.5), "regime": F.lit(1)}), 120.0, 0.5, [(0.0, 0.0), (1.0, 0.4)], {"operating": 1000.0, "shutdown": 5.0})
+    out = serving.assemble(reg(val.filter("site_id = 1"), "y_avg_pred").withColumns({"y_peak_pred": F.lit(130.0), "prob": F.lit(0.5), "regime": F.lit(1), "q10": F.lit(1.0), "q50": F.lit(2.0), "q90": F.lit(3.0)}), 120.0, 0.5, [(0.0, 0.0), (1.0, 0.4)], {"operating": 1000.0, "shutdown": 5.0})
     r = out.first()
     assert tuple(out.columns) == serving.OUTPUT and r["peak_prob_cal"] == pytest.approx(0.2) and r["peak_label"] == 1 and out.filter("pi_lo < 0").count() == 0
 

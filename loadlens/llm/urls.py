@@ -2,28 +2,32 @@
 
 Accepted and rejected URLs each give a variable-order Markov model: counts of the characters that follow contexts of up
 to ORDER characters, smoothed by interpolating each order with the next lower one (Witten-Bell weights). A URL's
-log-likelihood difference, divided by its length, is held against a cut that is calibrated on the seed URLs.
+log-likelihood difference, divided by its length, is held against a cut.
 
-Contexts are hashed into tables of fixed size, so that the model that goes to the executors has the same bound for any
-number of URLs; the counts in it come from all of them.
+The counts are exact and stay Spark tables: one row for each context and character, joined to the different ones that the URLs
+to be judged hold. Hosts are dealt to FOLDS folds, and a URL is judged by the seeds of the other folds only: every table holds
+a count for each fold left out. So no model has seen a host that it judges, and the cut is calibrated on differences of seeds
+that their models haven't seen either.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 #: Rules as (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Longest context; cells of a table of counts, and of one of contexts, for each order.
-ORDER, CELLS = 5, 1 << 16
+#: Longest context, and folds of hosts.
+ORDER, FOLDS = 5, 4
 #: Bins of the calibration's histogram over differences of -BOUND to BOUND a character.
 BINS, BOUND = 400, 4.0
-_END = 1  # begins and ends a URL
+#: Begins and ends a URL.
+_END = "\x01"
 
 
 def parts(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -45,136 +49,95 @@ def _rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _cells(urls: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Of all characters of the URLs: the row each is of; by order, the cell of its context and that of context and character; the URLs' lengths."""
-    sizes = np.array([len(u) + 1 for u in urls], np.int64)
-    flat = np.frombuffer(b"".join(u + b"\x01" for u in urls), np.uint8).astype(np.uint64)
-    row = np.repeat(np.arange(len(urls)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    context = np.zeros(len(flat), np.uint64)
-    out = []
-    for k in range(ORDER + 1):
-        if k:
-            back = np.full(len(flat), _END, np.uint64)
-            ok = place >= k
-            back[ok] = flat[np.flatnonzero(ok) - k]
-            context = (context + back + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            context ^= context >> np.uint64(31)
-        with_char = ((context ^ (flat + np.uint64(77))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
-        out.append((((context * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.int64), with_char.astype(np.int64)))
-    return row, out, sizes
-
-
-@dataclass
-class Markov:
-    """By order: counts by context, distinct followers by context, counts by context and character."""
-
-    total: np.ndarray
-    kinds: np.ndarray
-    count: np.ndarray
-
-    def log_p(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        p = np.full(len(cells[0][0]), 1 / 256)
-        for k, (c, cc) in enumerate(cells):
-            n, t, seen = self.total[k][c], self.kinds[k][c], self.count[k][cc]
-            # Hashed cells may hold other characters too: a share over 1 is cut.
-            p = np.where(n > 0, (np.minimum(seen, n) + t * p) / np.maximum(n + t, 1), p)
-        return np.log(p)
-
-
-@dataclass
-class Ratio:
-    accepted: Markov
-    rejected: Markov
-    cut: float = 0.0
-
-    def differences(self, urls: list[bytes]) -> np.ndarray:
-        """Accepted minus rejected, a character."""
-        if not urls:
-            return np.zeros(0)
-        row, cells, sizes = _cells(urls)
-        return np.bincount(row, self.accepted.log_p(cells) - self.rejected.log_p(cells), len(urls)) / sizes
-
-
-def fit(seeds: DataFrame, url_col: str, seed_col: str) -> Ratio:
-    """seeds: URLs with 1 (accepted) or 0 (rejected). The cut is where the seeds' two error rates meet."""
-
-    def partial(batches):
-        count, total = np.zeros((2, ORDER + 1, CELLS), np.int64), np.zeros((2, ORDER + 1, CELLS), np.int64)
-        rows = lambda i, j, n: pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.broadcast_to(j, len(i))), pa.array(n)], names=["i", "j", "n"])
-        for b in batches:
-            pairs = []
-            urls, y = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            for s in (0, 1):
-                if own := [(u or "").encode("utf-8", "replace") for u, x in zip(urls, y, strict=True) if x == s]:
-                    for k, (c, cc) in enumerate(_cells(own)[1]):
-                        total[s, k] += np.bincount(c, minlength=CELLS)
-                        count[s, k] += np.bincount(cc, minlength=CELLS)
-                        pairs.append(np.unique(((s * (ORDER + 1) + k) * CELLS + c) * CELLS + cc))
-            # Pairs leave with their batch, so that a task's memory doesn't grow with its rows; Spark makes them distinct.
-            both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-            yield rows(both // CELLS, both % CELLS, np.ones(len(both), np.int64))
-        for j, table in ((-1, count.ravel()), (-2, total.ravel())):
-            at = np.flatnonzero(table)
-            yield rows(at, np.int64(j), table[at])
-
-    rows = seeds.select(F.col(url_col), F.col(seed_col).cast("int")).mapInArrow(partial, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
-    # Followers of a context: its pairs are distinct by now, so one more sum counts them. At most 6 * CELLS rows a class reach the driver.
-    kind = F.when(F.col("j") >= 0, -3).otherwise(F.col("j"))
-    sums = rows.groupBy("i", kind.alias("j")).agg(F.sum(F.when(F.col("j") >= 0, 1).otherwise(F.col("n"))).alias("n"))
-    shape = (2, ORDER + 1, CELLS)
-    tables = {j: np.zeros(2 * (ORDER + 1) * CELLS) for j in (-1, -2, -3)}
-    got = sums.toArrow()
-    i, j, n = (got.column(k).to_numpy() for k in ("i", "j", "n"))
-    for kind_, t in tables.items():
-        t[i[j == kind_]] = n[j == kind_]
-    count, total, kinds = (tables[k].reshape(shape) for k in (-1, -2, -3))
-    model = Ratio(*(Markov(total[s], kinds[s], count[s]) for s in (1, 0)))
-    scored = difference(seeds, model, url_col)
-    bins = scored.groupBy(F.col(seed_col).alias("s"), F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("difference") + BOUND) * BINS / (2 * BOUND)))).alias("b")).count().collect()
-    hist = np.zeros((2, BINS))
-    for s, b, n in bins:
-        if s is not None:
-            hist[s, b] += n
-    if hist.sum(1).min() > 0:
-        below = np.concatenate([[0], np.cumsum(hist[1] / hist[1].sum())])  # accepted seeds under a cut
-        above = 1 - np.concatenate([[0], np.cumsum(hist[0] / hist[0].sum())])  # rejected ones over it
-        best = np.flatnonzero(np.isclose(worst := np.maximum(below, above), worst.min()))
-        model.cut = float((best[0] + best[-1]) / 2 * 2 * BOUND / BINS - BOUND)
-    return model
-
-
-def difference(df: DataFrame, model: Ratio, url_col: str = "url") -> DataFrame:
-    """Adds the length-normalised log-likelihood difference; the model's size is fixed, so it is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def grams(url: Column) -> Column:
+    """By character of the URL, and its end: the ORDER characters before it (padded at the beginning), and itself."""
+    chars = F.split(F.concat(F.lit(_END * ORDER), url, F.lit(_END)), "")
+    # One array element, so that the characters are taken once and not for each of them.
+    return F.flatten(F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - ORDER), lambda i: F.array_join(F.slice(c, i, ORDER + 1), ""))))
 
-    @F.pandas_udf("double")
-    def of(urls):
-        import pandas as pd
 
-        return pd.Series(shared.value.differences([(u or "").encode("utf-8", "replace") for u in urls]), dtype=float)
+def counts(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of seeds (url, fold, accepted 1 or 0): (gram, n) and (context, total, kinds), n and so on being arrays of 2 * FOLDS numbers.
 
-    return df.withColumn("difference", of(F.col(url_col).cast("string")))
+    Number y * FOLDS + f counts seeds of class y outside fold f. Grams are contexts of 0 to ORDER characters and one that followed.
+    """
+    each = seeds.select((F.col("accepted") * FOLDS + F.col("fold")).alias("at"), F.explode(grams(F.col("url"))).alias("gram"))
+    whole = each.groupBy("gram").agg(*(F.count_if(F.col("at") == i).alias(f"c{i}") for i in range(2 * FOLDS)))
+    # Shorter contexts from the sums of the longest, of which there are fewer than characters.
+    shorter = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substr("gram", F.lit(ORDER + 2) - k))).alias("gram"), *(f"c{i}" for i in range(2 * FOLDS)))
+    summed = shorter.groupBy("gram").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(2 * FOLDS)))
+    others = [sum(F.col(f"c{y * FOLDS + g}") for g in range(FOLDS) if g != f) for y in (0, 1) for f in range(FOLDS)]
+    followed = keep(summed.select("gram", F.array(*others).alias("n")), "url-grams")
+    by_context = followed.groupBy(F.substr("gram", F.lit(1), F.length("gram") - 1).alias("context"))
+    sums = by_context.agg(*(F.sum(F.col("n")[i]).alias(f"t{i}") for i in range(2 * FOLDS)), *(F.count_if(F.col("n")[i] > 0).alias(f"k{i}") for i in range(2 * FOLDS)))
+    return followed, keep(sums.select("context", *(F.array(*(f"{x}{i}" for i in range(2 * FOLDS))).alias(name) for x, name in (("t", "total"), ("k", "kinds")))), "url-contexts")
+
+
+def log_ratios(wanted: DataFrame, followed: DataFrame, contexts: DataFrame) -> DataFrame:
+    """wanted (gram, all different) with `ratio`: by fold left out, the log of the character's accepted over its rejected probability."""
+    orders = wanted.select(F.col("gram").alias("whole"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substr("gram", F.lit(ORDER + 2) - k))).alias("k", "gram"))
+    orders = orders.withColumn("context", F.substr("gram", F.lit(1), F.length("gram") - 1))
+    held = keep(orders.join(followed, "gram", "left").select("whole", "k", "context", "n"), "url-orders").join(contexts, "context", "left")
+    lists = held.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("k", "n", "total", "kinds"))).alias("orders"))
+
+    def p(i: int) -> Column:
+        def step(before: Column, x: Column) -> Column:
+            total, kinds, n = x["total"][i], x["kinds"][i], F.coalesce(x["n"][i], F.lit(0))
+            return F.when(total > 0, (n + kinds * before) / (total + kinds)).otherwise(before)
+
+        return F.aggregate("orders", F.lit(1 / 256), step)
+
+    return lists.select(F.col("whole").alias("gram"), F.array(*(F.log(p(FOLDS + f)) - F.log(p(f)) for f in range(FOLDS))).alias("ratio"))
+
+
+def differences(urls: DataFrame, seeds: DataFrame) -> DataFrame:
+    """url, fold, difference for different rows of urls (url, fold): accepted minus rejected log-likelihood, a character, by the seeds of other folds."""
+    each = keep(urls.select("url", "fold", F.explode(grams(F.col("url"))).alias("gram")), "url-characters")
+    # Written, so that the join's sides are plain exchanges, whose skewed partitions Spark splits: all URLs share some characters.
+    ratios = keep(log_ratios(each.select("gram").distinct(), *counts(seeds)), "url-ratios")
+    return each.join(ratios, "gram").groupBy("url", "fold").agg(F.avg(F.get("ratio", F.col("fold"))).alias("difference"))
+
+
+def cut_of(scored: DataFrame) -> float:
+    """Where the two error rates meet, in the middle of the best places, for scored seeds (difference, accepted); 0, with a warning, if a class has none."""
+    bin_ = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("difference") + BOUND) * BINS / (2 * BOUND))))
+    hist = np.zeros((2, BINS))
+    for y, b, n in scored.filter("accepted is not null").groupBy("accepted", bin_.alias("b")).count().collect():  # 2 * BINS rows at most
+        hist[y, b] = n
+    if not hist.sum(1).all():
+        warnings.warn("URL filter: one class has no seeds, so the cut isn't calibrated and stays 0", stacklevel=2)
+        return 0.0
+    below = np.concatenate([[0], np.cumsum(hist[1] / hist[1].sum())])  # accepted seeds under a cut
+    above = 1 - np.concatenate([[0], np.cumsum(hist[0] / hist[0].sum())])  # rejected ones over it
+    best = np.flatnonzero(np.isclose(worst := np.maximum(below, above), worst.min()))
+    return float((best[0] + best[-1]) / 2 * 2 * BOUND / BINS - BOUND)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """id, host, path, rule, verdict, difference for every page; nothing else is read.
 
-    The longest rule that fits decides; else the models do, a difference under the cut being `block`. Seeds come from the
-    rules: what they block is rejected, every other page accepted. With `labelled` (columns url and accepted, 1 or 0; rows
-    with a null in either are left out), its rows are seeds too, and of the pages only those that a rule decides. If there are
-    no seeds of one class, its model is empty and nothing can be calibrated: the cut is then 0. Null urls have empty host and
-    path; ids may be null or repeated.
+    The longest rule that fits decides; else the models do, a difference under the cut being `block`. Rejected seeds are what
+    the rules block, accepted ones all other pages, each URL by the folds that its host isn't in; the cut comes from the pages that a
+    rule decides. With `labelled` (columns url
+    and accepted, 1 or 0; rows with a null in either are left out), its rows are seeds too, and of the pages only those that a rule
+    decides. If there are no seeds of one class, its probabilities are uniform and nothing can be calibrated: the cut is then 0,
+    with a warning. Null urls have empty host and path and are the empty URL; ids may be null or repeated; repeated URLs count
+    as often as they come.
     """
-    df = parts(pages.select(F.col(id_col), F.col(url_col).cast("string").alias("__url")), "__url")
+    own = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    df = parts(pages.select(F.col(id_col).alias("__id"), own.alias("url")), "url")
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
     name, verdict = _rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumn("rule", name).withColumn("__verdict", verdict)
-    blocked = F.col("__verdict") == "block"
-    seeds = df.select("__url", F.when(blocked, 0).otherwise(1).alias("__seed"))
+    df = df.select("__id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), fold.alias("fold"))
+    accepted = F.when(F.col("ruled") == "block", 0).otherwise(1).alias("accepted")
+    seeds, certain = df.select("url", "fold", accepted), df.filter("ruled IS NOT NULL").select("url", "fold", accepted)
     if labelled is not None:
-        seeds = df.filter("__verdict IS NOT NULL").select("__url", F.when(blocked, 0).otherwise(1).alias("__seed"))
-        seeds = seeds.unionAll(labelled.select(F.col("url").cast("string"), F.col("accepted").cast("int")).dropna())
-    model = fit(seeds, "__url", "__seed")
-    out = difference(df, model, "__url")
-    method = F.when(F.col("difference") < model.cut, "block").otherwise("allow")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("__verdict", method).alias("verdict"), "difference")
+        more = parts(labelled.select(F.col("url").cast("string").alias("url"), F.col("accepted").cast("int").alias("accepted")).dropna(), "url")
+        seeds = certain = certain.unionAll(more.select("url", fold.alias("fold"), "accepted"))
+    urls = df.select("url", "fold") if labelled is None else df.select("url", "fold").unionAll(certain.select("url", "fold"))
+    scored = keep(differences(urls.distinct(), seeds), "url-differences").drop("fold")
+    # The pages that no rule decides are to be judged; that they are accepted seeds of other hosts' models says nothing of the cut.
+    cut = cut_of(certain.join(scored, "url"))
+    method = F.when(F.col("difference") < cut, "block").otherwise("allow")
+    out = df.join(scored, "url")
+    return out.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "difference")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loadlens.functions import metrics, quantiles, resample
 from loadlens.operators.features import FEATURES
 from loadlens.operators.splits import fold_rows, usable
-from loadlens.plans import base, gates, serving, temporal, variants
+from loadlens.plans import base, gates, serving, temporal, trees, variants
 from loadlens.plans.base import featured, folds, meter, predictions, register, repaired, theta_of
 from loadlens.sources.io import materialize
 
@@ -82,6 +82,25 @@ def variant_study(spark: S, sf: D) -> DataFrame:
     return variants.judged(variants.summarized(rows, th, _NORMAL), variants.limits(rows, resample.day_draws(spark, n, 500, 42)))
 
 
+@register()
+def feature_attributions(spark: S, sf: D) -> DataFrame:
+    """Shapley values of a forest of the mean power, trained before the test period and explained on all usable hours of it, as importance and direction.
+
+    max_gap is the largest difference of a row's values from its prediction.
+    """
+    feat = featured(spark, sf).filter(usable())
+    test = F.col("day") >= base.TEST_START
+    edges = trees.edges_of(feat.filter(~test), list(FEATURES))
+    rows = feat.select(F.lit(0).alias("spec"), F.struct("site_id", "ts").alias("id"), F.when(~test, F.col("y_avg")).alias("y"), trees.binned(list(FEATURES), edges).alias("bins"))
+    rows = materialize(rows, "explained-rows")
+    every = spark.createDataFrame([(0, "all", list(range(len(FEATURES))))], "spec int, variant string, features array<int>")
+    values, nodes = trees.grown(rows, every, trees=4, depth=4, share=0.5)
+    rest = rows.filter("y is null")
+    phi = materialize(trees.attributions(rest, nodes, 4), "attributions")
+    gap = phi.groupBy("spec", "variant", "id").agg(F.sum("phi").alias("p")).join(values, ["spec", "variant", "id"]).agg(F.max(F.abs(F.col("p") - F.col("value"))).alias("max_gap"))
+    return trees.importance(phi, rest, list(FEATURES)).drop("spec", "variant").crossJoin(F.broadcast(gap))  # one row
+
+
 _NULLS = 5
 _VARIANT_SQL = """WITH nr AS (SELECT * FROM @pred), e AS (
 SELECT CASE model WHEN 'mean' THEN 'all' ELSE model END AS variant, fold, y_avg, y_cls, pred_avg, pred_peak, is_shutdown + is_sat + is_sun = 0 AS normal, theta FROM nr, th

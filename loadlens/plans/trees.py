@@ -63,8 +63,15 @@ def _best_splits(histogram: DataFrame, alive: DataFrame, least: int) -> DataFram
     return top.select("node", "variant", (-F.col("top.f")).alias("feature"), (-F.col("top.b")).alias("bin"))
 
 
-def forests(rows: DataFrame, variants: DataFrame, *, trees: int = 5, depth: int = 4, least: int = 5, share: float = 1.0, bootstrap: bool = True, seed: int = 42) -> DataFrame:
-    """spec, variant, id, value: predictions for the rows whose y is null, a mean over the trees' leaves.
+def forests(rows: DataFrame, variants: DataFrame, **forest) -> DataFrame:
+    """spec, variant, id, value: predictions of grown()'s trees for the rows whose y is null, a mean over the trees' leaves."""
+    return grown(rows, variants, **forest)[0]
+
+
+def grown(rows: DataFrame, variants: DataFrame, *, trees: int = 5, depth: int = 4, least: int = 5, share: float = 1.0, bootstrap: bool = True, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The predictions of forests(), and the trees: spec, tree, variant, node, value, n, feature and bin of each node (null: a leaf).
+
+    A node's name is its spec, tree, and the splits that lead to it.
 
     rows: spec int, id (any type), y double (null: to be predicted), bins array. variants: spec, variant, features (array of places in
     bins). A spec without training rows predicts nothing. With `share`, each tree looks at that share of the features.
@@ -75,10 +82,10 @@ def forests(rows: DataFrame, variants: DataFrame, *, trees: int = 5, depth: int
     root = F.concat_ws("/", F.col("spec").cast("string"), F.col("tree").cast("string"))
     members = materialize(each.select("spec", "tree", "id", "y", "bins", "w", root.alias("node")), "tree-members")
     alive = variants.select("spec", "variant", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("variant", "features", root.alias("node"))
-    found = None
+    found = nodes = None
     for level in range(depth + 1):
         learnt = members.filter("w > 0")
-        totals = learnt.groupBy("node").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w") / UNIT).alias("value"))
+        totals = learnt.groupBy("node", "spec", "tree").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w") / UNIT).alias("value"), F.sum("w").alias("n"))
         decided = alive.join(totals, "node")
         if level < depth:
             spread = learnt.select("spec", "node", "tree", "w", (F.col("w") * F.col("y")).alias("wy"), F.posexplode("bins").alias("feature", "bin"))
@@ -91,6 +98,8 @@ def forests(rows: DataFrame, variants: DataFrame, *, trees: int = 5, depth: int
         decided = materialize(decided, "tree-nodes")
         stopped = members.filter("y is null").join(decided.filter("feature is null").select("node", "variant", "value"), "node").select("spec", "variant", "id", "value")
         found = stopped if found is None else found.unionAll(stopped)
+        own = decided.select("spec", "tree", "variant", "node", "value", "n", "feature", "bin")
+        nodes = own if nodes is None else nodes.unionAll(own)
         if level == depth:
             break
         # A row goes on once for each different split of its node, whatever the number of variants that made it.
@@ -100,4 +109,68 @@ def forests(rows: DataFrame, variants: DataFrame, *, trees: int = 5, depth: int
         members = materialize(members.join(split, "node").select("spec", "tree", "id", "y", "bins", "w", side(goes_left).alias("node")), "tree-members")
         both = decided.filter("feature is not null").select("variant", "features", F.explode(F.array(side(F.lit("L")), side(F.lit("R")))).alias("node"))
         alive = both
-    return found.groupBy("spec", "variant", "id").agg(F.avg("value").alias("value"))
+    return found.groupBy("spec", "variant", "id").agg(F.avg("value").alias("value")), nodes
+
+
+def leaf_paths(nodes: DataFrame) -> DataFrame:
+    """spec, tree, variant, value and path of each leaf: for each feature on its way, the bins over low and up to high that lead there, and `share`.
+
+    share is what part of the training rows that meet the feature's splits on the way go the leaf's way: the product of their shares.
+    """
+    part = F.split("node", "/")
+    # Each step of a leaf's way, with the rows of the node before and after it; a way has as many steps as the trees are deep.
+    leaves = nodes.filter("feature is null").select("spec", "tree", "variant", "node", "value", F.posexplode_outer(F.slice(part, F.lit(3), F.size(part))).alias("k", "step"))
+    steps = leaves.withColumns({
+        "after": F.array_join(F.slice(part, F.lit(1), F.coalesce(F.col("k"), F.lit(0)) + 3), "/"), "before": F.array_join(F.slice(part, F.lit(1), F.coalesce(F.col("k"), F.lit(0)) + 2), "/"),
+        "feature": F.split("step", ":")[0].cast("int"), "bin": F.split("step", ":")[1].cast("int"), "side": F.split("step", ":")[2],
+    })
+    size = materialize(nodes.select("variant", "node", "n"), "tree-sizes")
+    met = steps.join(size.withColumnsRenamed({"node": "before", "n": "n0"}), ["variant", "before"]).join(size.withColumnsRenamed({"node": "after", "n": "n1"}), ["variant", "after"], "left")
+    key = ["spec", "tree", "variant", "node", "value"]
+    each = met.groupBy(*key, "feature").agg(
+        F.coalesce(F.max(F.when(F.col("side") == "R", F.col("bin"))), F.lit(-1)).alias("low"), F.coalesce(F.min(F.when(F.col("side") == "L", F.col("bin"))), F.lit(127)).alias("high"),
+        F.coalesce(F.product(F.col("n1") / F.col("n0")), F.lit(1.0)).alias("share"),
+    )
+    listed = F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "low", "high", "share")))
+    return each.groupBy(*key).agg(listed.alias("path")).drop("node")
+
+
+def _permutations(others: Column, m: Column) -> Column:
+    """The sum over subsets S of the other m - 1 features of |S|! (m - 1 - |S|)! / m! times what S lets through and the rest's shares.
+
+    A polynomial's coefficients are collected by the size of S, a feature at a time.
+    """
+    def with_one(c: Column, f: Column) -> Column:
+        shifted, same = F.concat(F.array(F.lit(0.0)), c), F.concat(c, F.array(F.lit(0.0)))
+        return F.zip_with(same, shifted, lambda a, b: a * f["share"] + b * f["fits"])
+
+    by_size = F.aggregate(others, F.array(F.lit(1.0)), with_one)
+    return F.aggregate(F.transform(by_size, lambda c, k: c * F.factorial(k) * F.factorial(m - 1 - k) / F.factorial(m)), F.lit(0.0), lambda a, b: a + b)
+
+
+def attributions(rows: DataFrame, nodes: DataFrame, trees: int) -> DataFrame:
+    """spec, variant, id, feature, phi: Shapley values of a prediction by path shares; with feature null, the base value.
+
+    rows: spec, id, bins. The values of a row sum up to its prediction. Rows meet the leaves of their spec's trees, of which there
+    are at most trees * 2 ** depth a variant; features that a leaf's way doesn't ask for have no part in it.
+    """
+    leaves = materialize(leaf_paths(nodes), "tree-leaves")
+    met = rows.select("spec", "id", "bins").join(leaves, "spec")
+    fits = F.transform("path", lambda p: F.struct(p["feature"].alias("feature"), p["share"].alias("share"), ((F.get("bins", p["feature"]) > p["low"]) & (F.get("bins", p["feature"]) <= p["high"])).cast("double").alias("fits")))
+    met = met.select("spec", "variant", "id", "value", fits.alias("path")).withColumn("m", F.size("path"))
+    own = F.transform("path", lambda p: F.struct(p["feature"].alias("feature"), (F.col("value") * (p["fits"] - p["share"]) * _permutations(F.filter("path", lambda o: o["feature"] != p["feature"]), F.col("m"))).alias("phi")))
+    base = F.struct(F.lit(None).cast("int").alias("feature"), F.aggregate("path", F.col("value"), lambda a, p: a * p["share"]).alias("phi"))
+    parts = met.select("spec", "variant", "id", F.explode(F.concat(F.array(base), own)).alias("x"))
+    return parts.groupBy("spec", "variant", "id", "x.feature").agg((F.sum("x.phi") / trees).alias("phi"))
+
+
+def importance(phi: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
+    """spec, variant, feature, mean_abs, direction: 1, -1 or 0 by the sign of the correlation of a feature's bins with its values; rows as above.
+
+    Features without a part in a row count 0 there.
+    """
+    n = rows.groupBy("spec").agg(F.count("*").alias("rows"))
+    pairs = phi.filter("feature is not null").join(rows.select("spec", "id", "bins"), ["spec", "id"]).select("spec", "variant", "feature", "phi", F.get("bins", F.col("feature")).cast("double").alias("x"))
+    g = pairs.groupBy("spec", "variant", "feature").agg(F.sum(F.abs("phi")).alias("s"), F.corr("x", "phi").alias("r"))
+    sign = F.when(F.isnan("r") | F.col("r").isNull(), 0).otherwise(F.signum(F.round("r", 9)).cast("int"))
+    return g.join(n, "spec").select("spec", "variant", F.get(F.array(*map(F.lit, features)), F.col("feature")).alias("feature"), (F.col("s") / F.col("rows")).alias("mean_abs"), sign.alias("direction"))

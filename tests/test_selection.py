@@ -1,5 +1,7 @@
 """Keyed forests, nested selection and feature studies, against plain versions."""
 
+import itertools
+import math
 import random
 
 import pytest
@@ -186,3 +188,45 @@ def test_judged_variants(spark):
     assert got["good"].noise_mae == pytest.approx(0.3) and got["good"].noise_peak_mae == pytest.approx(0.5)
     assert {v for v, r in got.items() if r.accepted} == {"good", "null:1"}
     assert not got["one_fold"].folds_hold and got["one_fold"].improved_folds == 1 and not got["peaks"].peaks_hold and not got["small"].clear and not got["small"].beyond_noise
+
+
+def expected(tree, node, bins, known):
+    """A tree's value where only the known features are asked for, the others by the shares of training rows."""
+    value, n, f, b = tree[node]
+    if f is None:
+        return value
+    left, right = f"{node}/{f}:{b}:L", f"{node}/{f}:{b}:R"
+    if f in known:
+        return expected(tree, left if bins[f] <= b else right, bins, known)
+    return (tree[left][1] * expected(tree, left, bins, known) + tree[right][1] * expected(tree, right, bins, known)) / n
+
+
+def test_attributions_against_all_subsets(spark):
+    """Six features, all subsets enumerated; the values of a row sum up to its prediction."""
+    r, rows = random.Random(7), []
+    for i in range(150):
+        x = [r.randint(0, 5) for _ in range(6)]
+        rows.append((0, i, None if i % 15 == 0 else float(x[0] * 3 + x[1] * x[2] + (x[3] > 2) * 5 - x[4]), x))
+    df = spark.createDataFrame(rows, "spec int, id int, y double, bins array<int>")
+    df = df.withColumn("bins", F.col("bins").cast("array<tinyint>"))
+    listed = spark.createDataFrame([(0, "all", list(range(6))), (0, "some", [0, 3, 5])], "spec int, variant string, features array<int>")
+    values, nodes = trees.grown(df, listed, trees=2, depth=4, least=3)
+    rest = df.filter("y is null")
+    phi = trees.attributions(rest, nodes, 2)
+    got = {(p.variant, p.id, p.feature): p.phi for p in phi.collect()}
+    said = {(v.variant, v.id): v.value for v in values.collect()}
+    for key, value in said.items():
+        assert sum(p for (v, i, _), p in got.items() if (v, i) == key) == pytest.approx(value, abs=1e-9)
+    forest = {}
+    for x in nodes.collect():
+        forest.setdefault((x.variant, x.tree), {})[x.node] = (x.value, x.n, x.feature, x.bin)
+    for variant in ("all", "some"):
+        for row in rest.limit(4).collect():
+            f = lambda known: sum(expected(forest[variant, t], f"0/{t}", row.bins, known) for t in range(2)) / 2  # noqa: B023, E731
+            assert got[variant, row.id, None] == pytest.approx(f(()), abs=1e-9)
+            for i in range(6):
+                others = [j for j in range(6) if j != i]
+                want = sum(math.factorial(k) * math.factorial(5 - k) / 720 * (f((*s, i)) - f(s)) for k in range(6) for s in itertools.combinations(others, k))
+                assert got.get((variant, row.id, i), 0.0) == pytest.approx(want, abs=1e-9)
+    by = {x.feature: x for x in trees.importance(phi.filter("variant = 'all'"), rest, list("abcdef")).collect()}
+    assert by["a"].direction == 1 and by["e"].direction <= 0 and by["a"].mean_abs > by["e"].mean_abs

@@ -36,6 +36,18 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_of_texts(table(spark, sf_dir, "documents"))
 
 
+def media_carving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a column of mixed payloads, some bytes before it: sound, a picture, a film or, for one in four and the empty ones, as it is.
+
+    What carving finds there: place, length, type, and the type that the whole payload turns out to be of.
+    """
+    data, k = F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.pmod("doc_id", F.lit(4))
+    medium = F.when((k == 3) | (F.octet_length(data) == 0), data).when(k == 0, media.wrapped("wav", data)).when(k == 1, media.wrapped("bmp", data)).otherwise(media.wrapped("mp4", data))
+    before = F.repeat(F.lit("x"), F.pmod("doc_id", F.lit(7)).cast("int")).cast("binary")
+    payloads = table(spark, sf_dir, "documents").select("doc_id", F.concat(before, medium).alias("payload"), F.lit("text/plain").alias("declared"))
+    return media.carve(payloads, "doc_id", "payload", "declared").select("doc_id", "offset", "length", "type", "corrected")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -101,7 +113,7 @@ def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligning.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_media_columns, op4_chat_format, op5_secret_scan, op6_byte_bpe, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix, op11_periodic_runs, op12_warc, op13_cross_tokenizer)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_media_columns, op4_chat_format, op5_secret_scan, op6_byte_bpe, op7_url_filter, op8_quality_rules, op9_simhash_dedup, op10_source_mix, op11_periodic_runs, op12_warc, op13_cross_tokenizer, media_carving)}
 
 _CHAT = r"""
 WITH c AS (SELECT conv_id, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id),
@@ -147,15 +159,22 @@ SELECT doc_id, lang, source, domain, tokens, epoch FROM p WHERE before < parent_
 """
 
 
+_CARVING = """
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, CASE WHEN doc_id % 4 = 3 OR coalesce(text, '') = '' THEN 3 ELSE doc_id % 4 END AS k, doc_id % 7 AS x FROM documents),
+m AS (SELECT *, CASE k WHEN 0 THEN 'audio/wav' WHEN 1 THEN 'image/bmp' WHEN 2 THEN 'video/mp4' END AS type FROM d)
+SELECT doc_id, CASE WHEN k < 3 THEN x END::BIGINT AS "offset", CASE k WHEN 0 THEN 44 + n + n % 2 WHEN 1 THEN 54 + (n + 3) // 4 * 4 WHEN 2 THEN 28 + n END::BIGINT AS length, type,
+       CASE WHEN x = 0 AND k < 3 THEN type ELSE 'text/plain' END AS corrected FROM m
+"""
+
 _WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h)
 SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
        CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> owner THEN owner END AS refers_to
 FROM p JOIN o ON p.h = o.h
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT, "op10_source_mix": _mix_sql(), "op12_warc": _WARC}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT, "op10_source_mix": _mix_sql(), "op12_warc": _WARC, "media_carving": _CARVING}

@@ -358,9 +358,66 @@ def test_redacted_many_secrets_and_clashing_names(spark, empty):
     assert secrets.redacted(df).schema == df.schema and secrets.redacted(empty).count() == 0
 
 
+def chunk(kind, data=b""):
+    return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+
+#: False beginnings whose walks all lead far: GIF sub-blocks, FLAC blocks, RIFF chunks, PNG with a chunk up to the end, gzip with stored blocks.
+HOSTILE = (
+    b"GIF89a" + b"\0" * 7 + b"\x21\xf9\x01\x01", b"GIF87a!" * 9, b"fLaC\0\0\0\x22" + b"\0" * 34 + b"\x01\0\0\0", b"fLaC\0\0\0\x22" + b"a" * 12,
+    b"RIFF\0\x10\0\0WAVE", b"RIFF\x0c\0\0\0WAVEdata\0\0\0\0", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + b"\0\x40\0\0aaaa",
+    b"\x1f\x8b\x08\0\0\0\0\0\0\x03", b"\x1f\x8b\x08\0\0\0\0\0\0\x03\0\xf6\xff\x09\0" + b"\0" * 5,
+)
+
+
+def test_crc_of_parts():
+    data = random.Random(4).randbytes(70_000)
+    m, r = media.Marks(data), random.Random(5)
+    for _ in range(300):
+        a, b = sorted((r.randrange(70_001), r.randrange(70_001)))
+        assert m.crc(a, b) == zlib.crc32(data[a:b])
+
+
+def test_chains_end_where_chunks_do():
+    r = random.Random(6)
+    for _ in range(300):
+        data = b"".join(b"tag " + r.choice([0, 1, 2, 3, 8, 9]).to_bytes(4, "little") + b"x" * r.choice([0, 1, 2, 3, 4, 8, 9, 10]) for _ in range(r.randint(1, 40)))
+        m = media.Marks(data)
+        for _ in range(30):
+            p, end = r.randrange(len(data)), r.randrange(len(data) + 1)
+            at = p
+            while at < end and at + 8 <= len(data):
+                n = int.from_bytes(data[at + 4 : at + 8], "little")
+                at += 8 + n + (n & 1)
+            assert m.chained(p, end) == (at == end), (p, end)
+
+
+def test_gzip_after_a_false_one():
+    import gzip
+
+    whole = gzip.compress(b"payload " * 50_000)
+    data = b"\x1f\x8b\x08\0\0\0\0\0\0\x03 nothing " + whole + b" after"
+    assert media.sniff(data) == [(19, len(whole), "application/gzip")]
+
+
+def test_wrapped_media_are_found(spark):
+    """Native wrapping, carved again: whole, after other bytes, and one in another."""
+    data = [b"abc", b"a", b"BM fLaC RIFF" * 9, b"x" * 1000, "漢字".encode()]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "doc_id long, payload binary")
+    for kind, name in (("wav", "audio/wav"), ("bmp", "image/bmp"), ("mp4", "video/mp4")):
+        made = df.select("doc_id", F.concat(F.lit(b"zz"), media.wrapped(kind, F.col("payload"))).alias("payload"), F.lit(None).cast("string").alias("declared"))
+        sizes = {r.doc_id: len(r.payload) - 2 for r in made.collect()}
+        rows = media.carve(made, "doc_id", "payload", "declared").collect()
+        assert {(r.doc_id, r.offset, r.length, r.type, r.corrected) for r in rows} == {(i, 2, n, name, "application/octet-stream") for i, n in sizes.items()}
+        assert all(bytes(r.media)[:2] != b"zz" and data[r.doc_id] in bytes(r.media) for r in rows)
+    both = df.select("doc_id", media.wrapped("mp4", media.wrapped("wav", F.col("payload"))).alias("payload"), F.lit("audio/wav").alias("declared"))
+    assert {(r.type, r.corrected, r.offset) for r in media.carve(both, "doc_id", "payload", "declared").collect()} == {("video/mp4", "video/mp4", 0)}
+    assert media.wav(b"abc") == bytes(df.filter("doc_id = 0").select(media.wrapped("wav", F.col("payload"))).first()[0])
+
+
 def test_sniff_hostile_bytes_take_linear_time():
     n = 10_000_000
-    for part in (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\x02", b"OggS", b"\0\0\0\x0cftypmp42", b"%PDF-startxref", b"PK\x05\x06" + b"\0" * 18):
+    for part in (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\x02", b"OggS", b"\0\0\0\x0cftypmp42", b"%PDF-startxref", b"PK\x05\x06" + b"\0" * 18, *HOSTILE):
         began = time.time()
         media.sniff(part * (n // len(part)))
         assert time.time() - began < 30, part

@@ -14,6 +14,7 @@ exact and linear.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -300,11 +301,17 @@ def _across(texts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     early = keep(ranked.filter(F.col("m") - F.col("i") >= similarity * F.col("m") - slack).withColumn("first", F.col("m") - F.col("i") >= part * F.col("m") - slack), "early")
     by_root = early.groupBy("g", "root").agg(F.count("*").alias("n"), F.max("first").alias("first"))
     cells = by_root.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.max("first").alias("first"))
-    cells = cells.filter((F.col("n") > F.col("most.n")) & F.col("first")).select("g", F.col("most.root").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"))
-    rows = early.join(cells, "g")
-    other = rows.filter("root <> most").select("g", F.pmod(F.xxhash64("id", "g"), F.col("blocks")).cast("int").alias("block"), F.struct("id", "m", "root", "i", "first").alias("o"))
-    all_ = rows.select("g", "id", "m", "root", "i", "first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    met = all_.join(other, ["g", "block"]).filter((F.col("root") != F.col("o.root")) & _sizes_allow(F.col("m"), F.col("o.m"), similarity))
+    cells = keep(cells.filter((F.col("n") > F.col("most.n")) & F.col("first")).select("g", F.col("most.root").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks")), "cells")
+    # Sizes of a pair that can be alike lie in one class or in neighbouring ones.
+    size = F.floor(F.log(F.col("m").cast("double")) / (math.log(1 / similarity) * (1 + 1e-9))).cast("int")
+    rows = early.join(cells, "g").select("g", "id", "m", "root", "i", "first", "most", "blocks", size.alias("size"))
+    # Of a pair, one text at least holds the shingle as early as `first` says: texts that do meet all, the others only those that do.
+    # The latter are met here if they are of the most frequent root; else they have met the text as its `other`.
+    meets_all = F.col("first").cast("int")
+    other = rows.filter("root <> most").select("g", F.pmod(F.xxhash64("id", "g"), F.col("blocks")).cast("int").alias("block"), meets_all.alias("kind"), F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias("size"), F.struct("id", "m", "root", "i").alias("o"))
+    kinds = F.when(F.col("first") & (F.col("root") == F.col("most")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    all_ = rows.select("g", "size", "id", "m", "root", "i", F.explode(kinds).alias("kind"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("b")).select("*", F.explode("b").alias("block")).drop("b")
+    met = all_.join(other, ["g", "size", "kind", "block"]).filter((F.col("root") != F.col("o.root")) & _sizes_allow(F.col("m"), F.col("o.m"), similarity))
     left = F.least(F.col("m") - F.col("i"), F.col("o.m") - F.col("o.i"))
     return met.filter(left >= part / 2 * (F.col("m") + F.col("o.m")) - slack).select(F.col("id").alias("a"), F.col("o.id").alias("b"))
 

@@ -48,11 +48,14 @@ STAGES = [("quality classifier", quality_classifier), ("SimHash near-dedup", sim
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`. Each is written and read again; what a stage wrote besides is deleted when its result is there."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over `documents`. Each is written and read again; its input, and what it wrote besides, is deleted when its result is there."""
+    docs, used_up = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        with intermediates(spark):
-            docs = keep(stage(spark, docs, sf_dir), f"stage-{i}", lasting=True)
+        with intermediates(spark) as written:
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{i}")
+            result = written.pop()
+            written += used_up
+            used_up = [result]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

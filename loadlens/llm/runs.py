@@ -195,8 +195,9 @@ def collapsed(words: list[bytes], found: list[tuple[int, int, int]]) -> list[byt
 def _each(df: DataFrame, id_col: str, text_col: str, least: int, make, schema: str) -> DataFrame:
     def rows(texts):
         out = [make(words, runs(words, least)) for words in map(bytes.split, texts)]
-        names = [c.split()[0] for c in schema.split(", ")]
-        return {n: [r[i] for r in out] for i, n in enumerate(names)}
+        columns = [c.split() for c in schema.split(", ")]
+        # Typed, since a batch may have nothing but nulls.
+        return {n: pa.array([r[i] for r in out], pa.int64() if kind == "long" else pa.string()) for i, (n, kind) in enumerate(columns)}
 
     return map_texts(df, id_col, text_col, rows, schema)
 

@@ -100,6 +100,11 @@ def test_runs(docs, empty, texts):
     assert runs.collapse(one).select("text").distinct().first()[0] == " ".join(texts[7].split())
 
 
+def test_runs_of_batches_without_any(spark):
+    df = spark.createDataFrame([(i, f"a{i} b") for i in range(50)] + [(99, "a b c " * 9)], "doc_id long, text string").repartition(51)
+    assert runs.digests(df).filter("n_runs > 0").count() == 1 and runs.find(df).count() == 1 and runs.collapse(df).filter("text = 'a b c'").count() == 1
+
+
 def test_runs_query(spark):
     """The planted tails and their runs, over the whole table, by the rule in plain Python."""
     got = {r["doc_id"]: tuple(r[c] for c in RUN_COLUMNS) for r in queries.op11_periodic_runs(spark, SF).collect()}

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Pre-tokens, and words between single spaces, that a Python worker remembers; two generations of each are held at most.
-CACHE_ENTRIES = 250_000
+#: Pre-tokens, and words between single spaces, that a task remembers; two generations of each are held at most, until it ends.
+CACHE_ENTRIES = 120_000
 #: Longer ones are encoded anew each time, so that the caches' bytes are bounded too.
 CACHE_CHARS = 48
 #: White space other than single spaces and line feeds between words. A text without any falls into words, each with the
-#: space before it, whose matches are the text's own: no match of the pattern reaches over such a space or line feed.
+#: space before it, whose matches are the text's own, where no match of the pattern reaches over such a space or line feed.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z").search
+#: Characters of all kinds, between which a pattern is tried for that.
+_PROBES = "".join(map(chr, range(0x21, 0x7F))) + "éß漢٣①€—\u0301😀"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,6 +116,10 @@ class _Memo(dict):
             self[text] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def age(self) -> None:
         if len(self) > CACHE_ENTRIES:
             self.old = dict(self)
@@ -128,6 +134,18 @@ class Codec:
         self.pieces = _Memo(lambda piece: pack("<%dI" % len(ids := merge(piece.encode(), self.ranks)), *ids))
         self.words = _Memo(lambda word: self._pieces(f" {word}"))
         self.feed = self._pieces("\n")
+        self.even = self._falls_into_words()
+
+    def _falls_into_words(self) -> bool:
+        """Whether the pattern's matches end before a single space and on either side of a line feed, tried between all pairs of probes."""
+        own = {c: self.split(c) for c in _PROBES}
+        spaced = {c: self.split(f" {c}") for c in _PROBES}
+        feed = self.split("\n")
+        return all(self.split(f"{a} {b}") == own[a] + spaced[b] and self.split(f"{a}\n{b}") == own[a] + feed + own[b] for a in _PROBES for b in _PROBES)
+
+    def forget(self) -> None:
+        self.pieces.forget()
+        self.words.forget()
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -137,7 +155,7 @@ class Codec:
         return self._pieces(first) + b"".join(map(self.words.__getitem__, rest))
 
     def encode(self, text: str) -> np.ndarray:
-        ids = self._pieces(text) if _UNEVEN(text) else self.feed.join(map(self._line, text.split("\n"))) if text else b""
+        ids = self._pieces(text) if not self.even or _UNEVEN(text) else self.feed.join(map(self._line, text.split("\n"))) if text else b""
         self.pieces.age()
         self.words.age()
         return np.frombuffer(ids, "<u4")
@@ -160,11 +178,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         ids = [c.encode(t.decode("utf-8", "replace")) for t in texts]
         return {"ids": [x.astype("i4") for x in ids], "n_tokens": [len(x) for x in ids]}
 
-    return map_texts(df, id_col, text_col, rows, "ids array<int>, n_tokens long")
+    return map_texts(df, id_col, text_col, rows, "ids array<int>, n_tokens long", lambda: codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id, text of a table of ids; null ids give the empty text."""
+    """id, text of a table of ids, a row for each row; null and no ids give the empty text; other columns are ignored."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
@@ -180,7 +198,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, then decode the ids: id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode, then decode the ids: id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no ids; repeated rows give equal rows; other columns are ignored."""
 
     def rows(texts: list[bytes]) -> dict[str, list]:
         c = codec(path, pattern)
@@ -192,4 +210,4 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
             of_text.append(hashlib.sha256(c.decode(ids.tolist())).hexdigest())
         return {"n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text}
 
-    return map_texts(df, id_col, text_col, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(df, id_col, text_col, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path, pattern).forget())

@@ -35,10 +35,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterable[bytes]], dict[str, list]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterable[bytes]], dict[str, list]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """One output row per input row: the id, then the columns that `rows` gives for a batch of texts.
 
-    Only the two columns named leave the scan. `schema` lists the columns after the id.
+    Only the two columns named leave the scan. `schema` lists the columns after the id. `done` is called when a task ends, in its worker.
     """
     kind = df.select(id_col).schema[0].dataType.simpleString()
     out = f"`{id_col}` {kind}, {schema}"
@@ -46,9 +46,13 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterabl
     names: list[str] = [x.strip().split()[0].strip("`") for x in _columns(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = rows(as_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names)], names=[id_col, *names])
+        try:
+            for batch in slices(batches):
+                made = rows(as_bytes(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names)], names=[id_col, *names])
+        finally:
+            if done:
+                done()
 
     return source.mapInArrow(run, out)
 

@@ -55,6 +55,19 @@ def test_bpe_cache_turnover(monkeypatch):
     assert [codec.encode(t).tolist() for t in texts] == [encoding.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_of_another_pattern():
+    """Punctuation that takes the line feed after it: words are no texts of their own then."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"!\n": 256}
+    pattern = r"[^\s\w]+\n*|\w+| ?[^\s]+|\s+"
+    codec = bpe.Codec(PATH, PATTERN)
+    assert codec.even
+    codec.ranks, codec.split = ranks, __import__("regex").compile(pattern).findall
+    codec.forget()
+    codec.even = codec._falls_into_words()
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert not codec.even and codec.encode("a!\nb").tolist() == encoding.encode_ordinary("a!\nb") == [97, 256, 98]
+
+
 def plain_rules(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     triples = Counter(zip(words, words[1:], words[2:]))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.operators.windows import running_sums, same_keys
+
 
 def _mean(x: Column, keep: Column | None = None) -> Column:
     return F.avg(x if keep is None else F.when(keep, x))
@@ -38,19 +40,21 @@ def rates(df: DataFrame, zero_division: float | None = 0.0) -> DataFrame:
 def pr_curve(df: DataFrame, y: str, score: str, keys: list[str]) -> DataFrame:
     """keys, score, tp, fp, precision, recall at each distinct score, high scores first.
 
-    Rows are reduced to a row for each score before the running sums, so a window holds distinct scores and not rows.
+    Rows are reduced to a row for each score before the running sums, which go by ranges of scores.
     """
     at = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.select(*keys, "score", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("pos").over(Window.partitionBy(*keys)).alias("all_pos"))
+    run = running_sums(at, "score", {"tp": "pos", "seen": "n"}, *keys, down=True)
+    whole = df.groupBy(*keys).agg(F.sum((F.col(y) == 1).cast("long")).alias("all_pos")).select(*(F.col(k).alias(f"__k_{k}") for k in keys), "all_pos")
+    run = run.join(whole, same_keys(keys)) if keys else run.crossJoin(F.broadcast(whole))
     return run.select(*keys, "score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), F.try_divide(F.col("tp"), F.col("all_pos")).alias("recall"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, keys: list[str]) -> DataFrame:
     """keys, average_precision: recall steps times precision over distinct scores; null where a class is missing."""
-    curve = pr_curve(df, y, score, keys)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy(*keys).orderBy(F.desc("score"))), F.lit(0.0))
-    parts = curve.withColumn("__s", step * F.col("precision"))
+    # A score's step of recall is its own positives over all of them, so no row needs the one before it.
+    own = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos")).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("score").alias("__k_score"), "pos")
+    curve = pr_curve(df, y, score, keys).join(own, same_keys([*keys, "score"]))
+    parts = curve.withColumn("__s", F.try_divide(F.col("pos") * F.col("recall"), F.col("tp")) * F.col("precision"))
     return parts.groupBy(*keys).agg(F.when((F.max("tp") > 0) & (F.max("fp") > 0), F.sum("__s")).alias("average_precision"))
 
 
@@ -91,11 +95,12 @@ def calibration_error(df: DataFrame, y: str, p: str, keys: list[str], bins: int
 def conformal(df: DataFrame, residual: str, keys: list[str], alpha: float) -> DataFrame:
     """keys, n, halfwidth: the ceil((n + 1)(1 - alpha))-th smallest absolute residual, null if there are fewer rows than that.
 
-    Whole ranks come from counts of distinct residuals, so a hot key is summed before it is sorted.
+    Whole ranks come from counts of distinct residuals, summed up by ranges of them.
     """
     at = df.groupBy(*keys, F.abs(F.col(residual)).alias("r")).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    run = at.withColumns({"upto": F.sum("c").over(up), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    whole = df.groupBy(*keys).agg(F.count("*").alias("n")).select(*(F.col(k).alias(f"__k_{k}") for k in keys), "n")
+    run = running_sums(at, "r", {"upto": "c"}, *keys)
+    run = run.join(whole, same_keys(keys)) if keys else run.crossJoin(F.broadcast(whole))
     k = F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 9))
     return run.groupBy(*keys).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= k, F.col("r"))).alias("halfwidth"))
 

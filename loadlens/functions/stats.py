@@ -34,10 +34,74 @@ def quality_report(df: DataFrame, keys: list[str], readings: list[str]) -> DataF
 
 
 def boundary_jump(df: DataFrame, value: str, order: str) -> DataFrame:
-    """site_id, median_jump, p90_jump of |first of a day - last of the day before| in physical order."""
+    """site_id, median_jump, p90_jump of |first of a day - last of the day before| in physical order, and the days of its least and greatest value.
+
+    Of equal jumps the earliest day counts.
+    """
     ends = df.groupBy("site_id", "day").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
     jump = F.abs(F.col("first") - F.lag("last").over(Window.partitionBy("site_id").orderBy("day")))
-    return ends.withColumn("jump", jump).groupBy("site_id").agg(F.percentile("jump", F.lit(0.5)).alias("median_jump"), F.percentile("jump", F.lit(0.9)).alias("p90_jump"))
+    known = ends.withColumn("jump", F.round(jump, 9)).filter("jump is not null")
+    at = F.struct("jump", "day")
+    most = F.struct("jump", (-F.unix_date("day")).alias("d"))
+    return known.groupBy("site_id").agg(F.percentile("jump", F.lit(0.5)).alias("median_jump"), F.percentile("jump", F.lit(0.9)).alias("p90_jump"), F.min(at)["day"].alias("least_day"), F.date_from_unix_date(-F.max(most)["d"]).alias("greatest_day"))
+
+
+def time_order(df: DataFrame, time: str, order: str, keys: list[str]) -> DataFrame:
+    """keys, n, n_null, n_repeated, n_falling, strict: whether a time column is there, unique and rising in the order of another column, for each key.
+
+    n_repeated counts values beyond the first of each; n_falling rows whose value isn't over that of the row before. Keys without rows
+    give none, so an empty table isn't strict by being absent.
+    """
+    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(order))
+    steps = df.select(*keys, time, (F.col(time) <= before).alias("falls"))
+    g = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(time).isNull()).alias("n_null"), (F.count(time) - F.count_distinct(time)).alias("n_repeated"), F.count_if(F.coalesce("falls", F.lit(False))).alias("n_falling"))
+    return g.withColumn("strict", (F.col("n_null") == 0) & (F.col("n_repeated") == 0) & (F.col("n_falling") == 0))
+
+
+def slug(c: Column, most: int = 40) -> Column:
+    """A text as a name: runs of anything but letters and digits become one underscore, none at either end, at most so many characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(c, r"[^0-9a-zA-Z]+", "_"), r"^_+|_+$", ""), 1, most)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: int) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method, folded over its steps."""
+    tiny = 1e-300
+    kept = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    first = 1 / kept(1 - (a + b) * x / (a + 1))
+    state = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+    def step(s: Column, k: Column) -> Column:
+        def once(s: Column, v: Column) -> Column:
+            d, c = 1 / kept(1 + v * s["d"]), kept(1 + v / s["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+        m = k.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return once(once(s, even), odd)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step)["h"]
+
+
+def log_gamma(x: Column) -> Column:
+    """By Stirling's series after eight steps of the recurrence; for x > 0 to about 1e-13."""
+    # The series' coefficients.
+    series = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+    z = x + 8
+    tail = sum(c / F.pow(z, F.lit(2 * i + 1)) for i, c in enumerate(series))
+    stirling = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + tail
+    return stirling - sum(F.log(x + k) for k in range(8))
+
+
+def correlation_p(r: Column, n: Column, steps: int = 60) -> Column:
+    """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees of freedom; null under three pairs, 0 at |r| = 1."""
+    free = (n - 2).cast("double")
+    # The tail of t is the regularised incomplete beta function of df / (df + t * t), which is 1 - r * r.
+    x, a, b = 1 - r * r, free / 2, F.lit(0.5)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    direct, mirrored = front * _beta_fraction(a, b, x, steps) / a, 1 - front * _beta_fraction(b, a, 1 - x, steps) / b
+    inside = F.when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
+    return F.when(n < 3, None).when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
 
 
 def theta(df: DataFrame, q: float = 0.95, before: str | None = None) -> DataFrame:

@@ -62,14 +62,45 @@ def earlier_only(df: DataFrame, value: str, order: str, *keys: str) -> Column:
     return F.percentile(value, F.lit(0.5)).over(series(order, *keys).rowsBetween(Window.unboundedPreceding, -1))
 
 
+#: Ranges of values that a key's rows are split into for running sums.
+RANGES = 64
+
+
+def running_sums(df: DataFrame, value: str, sums: dict[str, str], *keys: str, down: bool = False) -> DataFrame:
+    """df, which has a row for each key and value, with sums of columns (by new name) over the rows up to each one in the order of the value, itself included.
+
+    A key's rows are split into ranges of about one size, and a range's sum is what the next ones start from; so no task orders all
+    rows of a key, and the result is exact wherever the ranges end. down: the greatest value first. Nulls come first going up, last going down.
+    """
+    at = [F.lit(i / RANGES) for i in range(1, RANGES)]
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*at), F.lit(1000)).alias("__e"))
+    rows = df.join(edges.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__e"), same_keys(keys)) if keys else df.crossJoin(F.broadcast(edges))
+    above = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("__e", lambda e: e < F.col(value))))
+    rows = rows.withColumn("__range", -above if down else above).drop("__e", *(f"__k_{k}" for k in keys))
+    whole = rows.groupBy(*keys, "__range").agg(*(F.sum(c).alias(f"__s_{n}") for n, c in sums.items()))
+    # A window of RANGES rows a key at most.
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__range").alias("__of"), *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums))
+    met = rows.join(starts, same_keys(keys) & (F.col("__range") == F.col("__of")))
+    own = Window.partitionBy(*keys, "__range").orderBy(F.desc_nulls_last(value) if down else F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return met.select(*df.columns, *((F.sum(c).over(own) + F.col(f"__s_{n}")).alias(n) for n, c in sums.items()))
+
+
+def same_keys(keys: tuple[str, ...] | list[str]) -> Column:
+    """Equality of key columns with those of the same names behind `__k_`; nulls are equal."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return on
+
+
 def with_average_rank(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
     """Adds ranks from 1 within keys, ties sharing their mean; nulls come first and tie.
 
-    Rows are counted by value before anything is ordered, so the running sums are over distinct values and not rows.
+    Rows are counted by value before anything is ordered, and distinct values are ordered by ranges.
     """
-    at = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("__c").over(below), F.lit(0)) + (F.col("__c") + 1) / 2
+    at = running_sums(df.groupBy(*keys, value).agg(F.count("*").alias("__c")), value, {"__upto": "__c"}, *keys)
+    rank = F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2
     at = at.select(*(F.col(k).alias(f"__r_{k}") for k in (*keys, value)), rank.alias(name))
     on = F.lit(True)
     for k in (*keys, value):

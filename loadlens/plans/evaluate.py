@@ -61,6 +61,23 @@ def contrasts(df: DataFrame, a: Column, b: Column, value: str = "y_avg") -> Data
     return g.withColumn("interaction", F.col("both") - F.col("only_a") - F.col("only_b") + F.col("neither"))
 
 
+def interactions(df: DataFrame, value: str = "y_peak") -> DataFrame:
+    """name, n, inside, outside, difference of four contrasts: means of a value where a condition holds and where it doesn't.
+
+    In hours of production over its 75 % quantile: hours of starting up, daytime, a past week's peak over its median; in all hours:
+    temperature over its 75 % quantile. n counts the rows in which both hold; for daytime and temperature those of the condition they start from.
+    """
+    q = df.agg(F.percentile("prod", F.lit(0.75)).alias("prod75"), F.percentile("temp", F.lit(0.75)).alias("temp75"), F.percentile("roll168_peak_max", F.lit(0.5)).alias("peak50"))  # one row
+    rows = df.crossJoin(F.broadcast(q))
+    high, hot = F.col("prod") > F.col("prod75"), F.col("temp") > F.col("temp75")
+    start = (F.col("is_startup_08") == 1) | (F.col("is_restart_13") == 1)
+    day, past = F.col("is_daytime") == 1, F.col("roll168_peak_max") > F.col("peak50")
+    named = {"production_startup": (high, start, high & start), "production_daytime": (high, day, high), "production_past_peak": (high, past, high & past), "temperature": (F.lit(True), hot, hot)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (within & c).alias("a"), (within & ~c).alias("b"), counted.alias("c")) for k, (within, c, counted) in named.items()))).alias("x")
+    g = rows.select(F.col(value).alias("v"), each).groupBy("x.name").agg(F.count_if("x.c").alias("n"), F.avg(F.when(F.col("x.a"), F.col("v"))).alias("inside"), F.avg(F.when(F.col("x.b"), F.col("v"))).alias("outside"))
+    return g.withColumn("difference", F.col("inside") - F.col("outside"))
+
+
 def worst_days(df: DataFrame, k: int = 3) -> DataFrame:
     """The hour of the largest error of each day, for the k worst days."""
     e = df.withColumn("abs_err", F.abs(F.col("y_avg") - F.col("pred_avg")))

@@ -82,7 +82,7 @@ def duplicate_texts(spark: S, sf: D) -> DataFrame:
     return g.agg(F.count("*").alias("n_groups"), F.sum("count").alias("n_rows"), F.max("count").alias("largest"))
 
 
-@register("WITH e AS (SELECT site_id, day, arg_min(temp, ts) AS f, arg_max(temp, ts) AS l FROM @meter GROUP BY site_id, day), j AS (SELECT site_id, abs(f - lag(l) OVER (PARTITION BY site_id ORDER BY day)) AS jump FROM e) SELECT site_id, R(median(jump)) AS median_jump, R(quantile_cont(jump, 0.9)) AS p90_jump FROM j GROUP BY site_id")
+@register("WITH e AS (SELECT site_id, day, arg_min(temp, ts) AS f, arg_max(temp, ts) AS l FROM @meter GROUP BY site_id, day), j AS (SELECT site_id, day, round(abs(f - lag(l) OVER (PARTITION BY site_id ORDER BY day)), 9) AS jump FROM e) SELECT site_id, R(median(jump)) AS median_jump, R(quantile_cont(jump, 0.9)) AS p90_jump, arg_min(day, (jump, day)) AS least_day, arg_min(day, (-jump, day)) AS greatest_day FROM j WHERE jump IS NOT NULL GROUP BY site_id")
 def boundary_jump(spark: S, sf: D) -> DataFrame:
     return stats.boundary_jump(meter(spark, sf), "temp", "ts")
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.functions import metrics, quantiles, resample
+from loadlens.functions import metrics, quantiles, resample, stats
+from loadlens.operators import splits, windows
 from loadlens.operators.features import FEATURES
 from loadlens.operators.splits import fold_rows, usable
-from loadlens.plans import base, gates, serving, temporal, trees, variants
-from loadlens.plans.base import featured, folds, meter, predictions, register, repaired, theta_of
+from loadlens.plans import base, evaluate, gates, policy, serving, temporal, trees, variants
+from loadlens.plans.base import featured, folds, meter, predictions, register, repaired, table, theta_of
+from loadlens.plans.queries import _ACT, _outcome
 from loadlens.sources.io import materialize
 
 S, D = SparkSession, str
@@ -227,3 +229,55 @@ def gate_results(spark: S, sf: D) -> DataFrame:
     base_ = rows.filter("model = 'lag168'").select(F.col("mae").alias("base_mae"))  # one row
     made = rows.crossJoin(F.broadcast(base_)).withColumn("ci_low", F.col("base_mae") - F.col("mae"))
     return gates.through(made, "results", gates.result_checks("lag168", "mean", 82))[1]
+
+
+# --- order, names, contrasts, conditions, costs -----------------------------------------------------------------------
+
+
+@register("WITH s AS (SELECT user_id % 4 AS site_id, ts, ts <= lag(ts) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS falls FROM events), g AS (SELECT site_id, count(*) AS n, count(*) FILTER (ts IS NULL) AS n_null, count(ts) - count(DISTINCT ts) AS n_repeated, count(*) FILTER (falls) AS n_falling FROM s GROUP BY 1) SELECT *, n_null = 0 AND n_repeated = 0 AND n_falling = 0 AS strict FROM g")
+def event_time_order(spark: S, sf: D) -> DataFrame:
+    """By site, whether event times are unique and rising in the order of the events' ids."""
+    return stats.time_order(table(spark, sf, "events").withColumn("site_id", F.col("user_id") % 4), "ts", "event_id", ["site_id"])
+
+
+@register("SELECT p_partkey, substr(regexp_replace(regexp_replace(p_brand || ' / ' || p_name, '[^0-9a-zA-Z]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS slug, printf('%05d-%s', p_size, lower(p_type)) AS code, starts_with(p_name, 'red') AS is_red, contains(p_name, 'ring') AS has_ring, replace(p_name, ' ', '') AS joined FROM part")
+def part_names(spark: S, sf: D) -> DataFrame:
+    """Names made of texts: slugs, formatted codes, beginnings, parts and replacements."""
+    name = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", stats.slug(F.concat("p_brand", F.lit(" / "), name)).alias("slug"), F.format_string("%05d-%s", "p_size", F.lower("p_type")).alias("code"), F.startswith(name, F.lit("red")).alias("is_red"), F.contains(name, F.lit("ring")).alias("has_ring"), F.replace(name, F.lit(" "), F.lit("")).alias("joined"))
+
+
+@register("WITH f AS (SELECT * FROM @feat WHERE NOT is_warmup), q AS (SELECT quantile_cont(prod, 0.75) AS p, quantile_cont(temp, 0.75) AS t, quantile_cont(roll168_peak_max, 0.5) AS k FROM f), m AS (SELECT y_peak AS v, prod > p AS h, is_startup_08 = 1 OR is_restart_13 = 1 AS s, is_daytime = 1 AS d, roll168_peak_max > k AS z, temp > t AS hot FROM f, q), "
+          "u AS (SELECT 'production_startup' AS name, v, h AND s AS a, h AND NOT s AS b, h AND s AS c FROM m UNION ALL SELECT 'production_daytime', v, h AND d, h AND NOT d, h FROM m UNION ALL SELECT 'production_past_peak', v, h AND z, h AND NOT z, h AND z FROM m UNION ALL SELECT 'temperature', v, hot, NOT hot, hot FROM m) "
+          "SELECT name, count(*) FILTER (c) AS n, R(avg(v) FILTER (a)) AS inside, R(avg(v) FILTER (b)) AS outside, R(avg(v) FILTER (a) - avg(v) FILTER (b)) AS difference FROM u GROUP BY 1")
+def interaction_contrasts(spark: S, sf: D) -> DataFrame:
+    return evaluate.interactions(materialize(featured(spark, sf).filter("not is_warmup"), "features"))
+
+
+@register("WITH pp AS (SELECT site_id, day, day = min(day) OVER (PARTITION BY site_id, ph) AS first_ FROM @prof), e AS (SELECT model, fold, abs(y_avg - pred_avg) AS e, first_ FROM @pred p JOIN pp USING (site_id, day)), m AS (SELECT model, fold, avg(e) AS d1, avg(e) FILTER (first_) AS d2 FROM e GROUP BY 1, 2), r AS (SELECT *, rank() OVER (ORDER BY round(d1, 9)) + (count(*) OVER (PARTITION BY round(d1, 9)) - 1) / 2.0 AS r1, rank() OVER (ORDER BY round(d2, 9)) + (count(*) OVER (PARTITION BY round(d2, 9)) - 1) / 2.0 AS r2 FROM m WHERE d2 IS NOT NULL) SELECT count(*) AS n, R(corr(r1, r2)) AS rho, corr(r1, r2) > 0.7 AS preserved FROM r")
+def rank_preservation(spark: S, sf: D) -> DataFrame:
+    """Whether the order of models' errors by fold stays the same on days without repeated profiles; the condition is a key, so both come from one pass."""
+    first = splits.dedup_days(splits.profile_hash(meter(spark, sf), "ts")).withColumn("first", F.lit(True))
+    rows = predictions(spark, sf).select("model", "fold", "site_id", "day", F.abs(F.col("y_avg") - F.col("pred_avg")).alias("e")).join(first, ["site_id", "day"], "left")
+    m = rows.groupBy("model", "fold").agg(F.round(F.avg("e"), 9).alias("d1"), F.round(F.avg(F.when(F.col("first"), F.col("e"))), 9).alias("d2")).filter("d2 is not null")
+    ranked = windows.with_average_rank(windows.with_average_rank(materialize(m, "conditions"), "d1", "r1"), "d2", "r2")
+    return ranked.agg(F.count("*").alias("n"), F.corr("r1", "r2").alias("rho")).withColumn("preserved", F.col("rho") > 0.7)
+
+
+@register(f"WITH {_ACT}, o AS (SELECT a.*, eligible AND a.hour IN (8, 13) AND alert AS l1, NOT r.is_outage AND a.y_peak >= 0 AS valid, theta FROM a JOIN @rep r USING (site_id, ts), th), m AS (SELECT site_id, max(CASE WHEN valid THEN y_peak END) AS op, max(CASE WHEN valid THEN y_peak * (1 - 0.2::DOUBLE * 2 / 3 * l1::INT) END) AS ap, sum(l1::INT) AS acts, sum((l1 AND valid AND y_peak < theta)::INT) AS wrong, sum(CASE WHEN valid THEN 1 / (24.0::DOUBLE * day(last_day(day))) ELSE 0 END) AS months FROM o GROUP BY 1), "
+          "g AS (SELECT a AS alpha, f, 0.0 AS c, 0.0 AS u FROM (VALUES (0.1), (0.2), (0.3)) x(a), (VALUES (0.7), (1.0), (1.3)) y(f) UNION SELECT 0.2, 1.0, c, u FROM (VALUES (0.0), (1000.0), (5000.0)) x(c), (VALUES (0.0), (0.01), (0.1)) y(u)) "
+          "SELECT site_id, 'alert_L1' AS policy, R(alpha) AS alpha, R(f) AS rate_factor, R(c) AS action_cost, R(u) AS unit_cost, R((op - ap) * 8320.0::DOUBLE * f * months) AS gross, R(acts * c) AS execution_cost, R(wrong * c) AS false_action_cost, R((op - ap) * 8320.0::DOUBLE * f * months - acts * c) AS net FROM m, g")
+def policy_costs(spark: S, sf: D) -> DataFrame:
+    """What a policy saves and costs for each site at each point of the grid of rates and costs."""
+    m = policy.policy_metrics(_outcome(spark, sf), theta_of(repaired(spark, sf)))
+    out = policy.costs(materialize(m, "policy-metrics"), policy.cost_grid(spark))
+    return out.select("site_id", "policy", "alpha", "rate_factor", "action_cost", "unit_cost", "gross", "execution_cost", "false_action_cost", "net")
+
+
+@register()
+def spearman_test(spark: S, sf: D) -> DataFrame:
+    """By site, the rank correlation of production and mean power with its two-sided p."""
+    df = repaired(spark, sf).select("site_id", "prod", "y_avg")
+    ranked = windows.with_average_rank(windows.with_average_rank(df, "prod", "a", "site_id"), "y_avg", "b", "site_id")
+    g = ranked.groupBy("site_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
+    return g.withColumn("p", stats.correlation_p(F.col("rho"), F.col("n")))

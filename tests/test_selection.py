@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loadlens.functions import metrics, stats
+from loadlens.operators import windows
 from loadlens.operators.features import FEATURES, GROUPS
 from loadlens.plans import temporal, trees, variants
 
@@ -230,3 +232,60 @@ def test_attributions_against_all_subsets(spark):
                 assert got.get((variant, row.id, i), 0.0) == pytest.approx(want, abs=1e-9)
     by = {x.feature: x for x in trees.importance(phi.filter("variant = 'all'"), rest, list("abcdef")).collect()}
     assert by["a"].direction == 1 and by["e"].direction <= 0 and by["a"].mean_abs > by["e"].mean_abs
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_running_sums_by_ranges(spark, down, monkeypatch):
+    """Keys of any size, null keys and values, ranges that hold nothing or one value; exact in either direction."""
+    monkeypatch.setattr(windows, "RANGES", 5)
+    r = random.Random(3)
+    rows = {(k, v): (r.randint(1, 9), r.randint(0, 3)) for k in ("a", "b", None) for v in [None, *(round(r.gauss(0, 1), 3) for _ in range(60 if k == "a" else 2))]}
+    df = spark.createDataFrame([(*kv, *x) for kv, x in rows.items()], "k string, v double, n long, p long").repartition(4)
+    got = {(x.k, x.v): (x.upto, x.pos) for x in windows.running_sums(df, "v", {"upto": "n", "pos": "p"}, "k", down=down).collect()}
+    rank = lambda v: (v is not None, v or 0.0) if not down else (v is None, -(v or 0.0))
+    for (k, v), x in got.items():
+        below = [y for (k2, v2), y in rows.items() if k2 == k and rank(v2) <= rank(v)]
+        assert x == (sum(n for n, _ in below), sum(p for _, p in below))
+    alone = windows.running_sums(df.filter("k = 'a' and v is not null"), "v", {"upto": "n"}, down=down).agg(F.max("upto")).first()[0]
+    assert alone == sum(n for (k, v), (n, _) in rows.items() if k == "a" and v is not None)
+
+
+def test_ordered_metrics_against_plain(spark):
+    r = random.Random(8)
+    rows = [(m, int(r.random() < 0.3), round(r.random(), 2 if m == "x" else 6)) for m in ("x", "y") for _ in range(400)]
+    df = spark.createDataFrame(rows, "m string, y int, s double").repartition(4)
+    for x in metrics.average_precision(df, "y", "s", ["m"]).collect():
+        own = [(s, y) for m, y, s in rows if m == x.m]
+        pos, ap, before = sum(y for _, y in own), 0.0, 0.0
+        for t in sorted({s for s, _ in own}, reverse=True):
+            said = [y for s, y in own if s >= t]
+            ap, before = ap + (sum(said) / pos - before) * sum(said) / len(said), sum(said) / pos
+        assert x.average_precision == pytest.approx(ap, abs=1e-12)
+    for x in metrics.conformal(df, "s", ["m"], 0.1).collect():
+        own = sorted(s for m, _, s in rows if m == x.m)
+        assert (x.n, x.halfwidth) == (400, own[math.ceil(401 * 0.9) - 1])
+
+
+def test_correlation_p_against_integrals(spark):
+    def by_integral(rho, n):
+        """Two tails of Student's t by Simpson's rule over the angle of its substitution."""
+        free, t = n - 2, abs(rho) * math.sqrt((n - 2) / (1 - rho * rho))
+        a, b, k = math.atan(t / math.sqrt(free)), math.pi / 2, 4000
+        f = lambda u: math.cos(u) ** (free - 1)
+        h = (b - a) / k
+        s = f(a) + f(b) + sum((4 if i % 2 else 2) * f(a + i * h) for i in range(1, k))
+        return 2 * s * h / 3 * math.exp(math.lgamma((free + 1) / 2) - math.lgamma(free / 2)) / math.sqrt(math.pi)
+
+    cases = [(0.6319, 10), (0.05, 500), (-0.4, 27), (0.9, 4), (0.01, 1000), (0.97, 30), (0.5, 3), (0.3, 2000)]
+    df = spark.createDataFrame(cases, "r double, n long").select("r", "n", stats.correlation_p(F.col("r"), F.col("n")).alias("p"))
+    for x in df.collect():
+        assert x.p == pytest.approx(by_integral(x.r, x.n), rel=1e-9, abs=1e-12)
+    assert [x.p for x in spark.createDataFrame([(1.0, 9), (0.0, 9), (0.5, 2)], "r double, n long").select(stats.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()] == [0.0, 1.0, None]
+
+
+def test_time_order_and_slugs(spark):
+    rows = [("a", 1, 10), ("a", 2, 20), ("a", 3, 30), ("b", 1, 10), ("b", 2, 10), ("b", 3, 5), ("c", 1, None), ("c", 2, 3)]
+    got = {x.k: tuple(x)[1:] for x in stats.time_order(spark.createDataFrame(rows, "k string, i int, t int"), "t", "i", ["k"]).collect()}
+    assert got == {"a": (3, 0, 0, 0, True), "b": (3, 0, 1, 2, False), "c": (2, 1, 0, 0, False)}
+    texts = spark.createDataFrame([("  Peak / load: 5 kW!",), ("__x__",), ("a" * 50,), ("",)], "t string").select(stats.slug(F.col("t")).alias("s")).collect()
+    assert [x.s for x in texts] == ["Peak_load_5_kW", "x", "a" * 40, ""]

@@ -23,8 +23,15 @@ Fit = Callable[[DataFrame, list[str], str], Predictor]
 SEED = 42
 
 
-def _vector(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}))
+#: What trees take a null or NaN feature for: a value below all others, which a split can part from them.
+MISSING = -1.0e9
+
+
+def _vector(df: DataFrame, features: list[str], missing: float | None = MISSING) -> DataFrame:
+    """Adds the features as a vector; without a value for missing ones, a null or NaN fails the job."""
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in features}
+    filled = df.withColumns(known if missing is None else {c: F.coalesce(x, F.lit(missing)) for c, x in known.items()})
+    return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(filled)
 
 
 def _spark_fit(estimator) -> Fit:
@@ -179,7 +186,7 @@ def peak_rules(df: DataFrame, features: list[str], label: str = "y_cls", depth:
             leaves.append(" and ".join(path) or "true")
         else:
             inner = text[text.index("(") + 1 : -1].split()
-            path = [*path, f"coalesce({features[int(inner[1])]}, 0) {inner[2]} {inner[3]}"]
+            path = [*path, f"coalesce(nanvl({features[int(inner[1])]}, null), {MISSING!r}D) {inner[2]} {inner[3]}"]
     which = F.lit(None).cast("int")
     for i, rule in enumerate(leaves):
         which = F.when(F.expr(rule), i).otherwise(which)
@@ -189,6 +196,6 @@ def peak_rules(df: DataFrame, features: list[str], label: str = "y_cls", depth:
 
 
 def standardize(train: DataFrame, df: DataFrame, features: list[str]) -> DataFrame:
-    """`z` array: features by the mean and sample deviation of the training rows only."""
-    model = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(_vector(train, features))
-    return model.transform(_vector(df.withColumn("__keep", F.struct(*df.columns)), features)).select("__keep.*", vector_to_array("__z").alias("z"))
+    """`z` array: features by the mean and sample deviation of the training rows only; a missing feature fails."""
+    model = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(_vector(train, features, None))
+    return model.transform(_vector(df.withColumn("__keep", F.struct(*df.columns)), features, None)).select("__keep.*", vector_to_array("__z").alias("z"))

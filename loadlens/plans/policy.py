@@ -160,7 +160,8 @@ def lever_chains(df: DataFrame, theta: float, beta: float, chains: dict[str, tup
                 made, cost = _lever(at, lever, theta, beta, alpha)
                 steps[key] = (materialize(base.select("site_id", "ts", "day").join(made.select("site_id", "ts", F.col("prod_new").alias("prod"), F.col("peak_new").alias("y_peak")), ["site_id", "ts"]), "lever"), cost)
             at, cost = steps[key]
-        named = F.concat_ws("|", F.lit(name), F.col("site_id").cast("string")).alias("site_id")
+        # A chain's hours of a site are a series of their own, named by both.
+        named = F.struct(F.lit(name).alias("name"), "site_id").alias("site_id")
         part = base.join(at.select("site_id", "ts", F.col("prod").alias("prod_new"), F.col("y_peak").alias("peak_new")), ["site_id", "ts"]).select(named, "ts", "day", "prod", "y_peak", "prod_new", "peak_new")
         rows = part if rows is None else rows.unionByName(part)
         if cost is not None:
@@ -168,8 +169,7 @@ def lever_chains(df: DataFrame, theta: float, beta: float, chains: dict[str, tup
             labor = cost if labor is None else labor.unionByName(cost)
     out = evaluate_lever(materialize(rows, "chains"))
     out = out.join(labor, "site_id", "left") if labor is not None else out.withColumn("extra_labor", F.lit(0.0))
-    key = F.split("site_id", r"\|")
-    return out.select(key[0].alias("name"), key[1].cast(dict(df.dtypes)["site_id"]).alias("site_id"), "delta_peak", "saving", F.coalesce("extra_labor", F.lit(0.0)).alias("extra_labor"), "day_conserved")
+    return out.select("site_id.name", "site_id.site_id", "delta_peak", "saving", F.coalesce("extra_labor", F.lit(0.0)).alias("extra_labor"), "day_conserved")
 
 
 # The scenarios, and the combinations whose order the sensitivity table looks at.

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -75,8 +76,16 @@ def read_json(spark: SparkSession, path: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/loadlens-intermediate"
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs in one process, one in the warehouse.
+
+    On a cluster the warehouse may lie in a folder of the driver's machine, which no other sees, so there the setting must be given.
+    """
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; master is {master!r}")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/loadlens-intermediate"
 
 
 #: Paths written by materialize() in the blocks of intermediates() that are open, the innermost last.

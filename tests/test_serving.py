@@ -165,3 +165,33 @@ def test_feature_gate_finds_leaks(spark, plant):
     assert not state(gates.feature_checks((*features.FEATURES, "y_avg")))["no_power_of_the_hour"]
     assert not state(gates.feature_checks((*features.FEATURES, "prod")))["no_repeated_columns"]
     assert not gates.through(feat.withColumn("is_warmup", F.lit(False)), "features", gates.feature_checks())[1].filter("check = 'usable_rows_are_whole'").first().passed
+
+
+def test_missing_features_are_told_from_zero(spark):
+    rows = [(i, None if i % 3 == 0 else float("nan") if i % 3 == 1 else float(i % 5), 100.0 if i % 3 != 2 else 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "i int, x double, y double")
+    said = models.forest(5, 3)(df, ["x"], "y")(df, "p").collect()
+    assert all(r.p > 90 for r in said if r.i % 3 != 2) and all(r.p < 20 for r in said if r.i % 3 == 2)
+    with pytest.raises(Exception):  # noqa: B017
+        models.standardize(df, df, ["x"]).collect()
+
+
+def test_cluster_without_a_shared_folder_fails(spark):
+    class Session:
+        def __init__(self, **conf):
+            self.conf = type("C", (), {"get": staticmethod(lambda k, d=None: conf.get(k, d))})
+
+    made = lambda master, **more: io.shared_dir(Session(**{"spark.master": master, "spark.sql.warehouse.dir": "file:/w", **more}))
+    assert made("local[8]") == made("local") == "file:/w/loadlens-intermediate"
+    assert made("yarn", **{"spark.checkpoint.dir": "hdfs://x"}) == "hdfs://x"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,512]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            made(master)
+
+
+def test_sites_named_with_a_bar_keep_their_names(spark, plant):
+    from loadlens.plans import policy
+
+    df = repair.targets(repair.repair(plant))
+    out = policy.scenario_table(df, 100.0, 0.05).select("scenario", "site_id").distinct().collect()
+    assert {tuple(r) for r in out} == {(s, site) for s in policy.SCENARIOS for site in ("a|b", "c")}

@@ -9,7 +9,7 @@ from loadlens.functions import metrics, quantiles, resample, stats
 from loadlens.operators import splits, windows
 from loadlens.operators.features import FEATURES
 from loadlens.operators.splits import fold_rows, usable
-from loadlens.plans import base, evaluate, gates, policy, serving, temporal, trees, variants
+from loadlens.plans import base, evaluate, gates, policy, sensitivity, serving, temporal, trees, variants
 from loadlens.plans.base import featured, folds, meter, predictions, register, repaired, table, theta_of
 from loadlens.plans.queries import _ACT, _outcome
 from loadlens.sources.io import materialize
@@ -281,3 +281,37 @@ def spearman_test(spark: S, sf: D) -> DataFrame:
     ranked = windows.with_average_rank(windows.with_average_rank(df, "prod", "a", "site_id"), "y_avg", "b", "site_id")
     g = ranked.groupBy("site_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
     return g.withColumn("p", stats.correlation_p(F.col("rho"), F.col("n")))
+
+
+# --- a bundle under scenarios -----------------------------------------------------------------------------------------
+
+_SCENARIOS = ", ".join(f"('{n}', {p}::DOUBLE, {h}::DOUBLE, {t}::DOUBLE, {k})" for n, p, h, t, k in [
+    ("C0", 1, 1, 0, 0), *((f"P{round(f * 100)}", f, 1, 0, 0) for f in (0.8, 0.9, 1.1, 1.2)), *((f"H{round(f * 100)}", 1, f, 0, 0) for f in (0.9, 1.1)), *((f"T{d:+d}", 1, 1, d, 0) for d in (-2, -1, 1, 2)),
+    *((f"P{round(f * 100)}T{d:+d}", f, 1, d, 0) for f in (0.8, 1.2) for d in (-2, 2)), *((f"S{d:+d}", 1, 1, 0, d) for d in (-1, 1)),
+])
+_LAST_DAYS = f"day BETWEEN DATE '2024-01-22' AND DATE '{COVER.end}'"
+
+
+def _predict_plan(theta: float):
+    """Means of two lags, with what production and heat of the plan add."""
+
+    def add(df: DataFrame) -> DataFrame:
+        more = 0.02 * F.col("prod") + 0.5 * F.col("cdd")
+        avg, peak = (F.col("y_avg_lag24") + F.col("y_avg_lag168")) / 2 + more, (F.col("y_peak_lag24") + F.col("y_peak_lag168")) / 2 + more
+        return _with_quantiles(df.withColumns({"y_avg_pred": avg, "y_peak_pred": peak, "prob": F.least(F.lit(1.0), peak / (2 * theta)), "regime": F.lit(1)}))
+
+    return add
+
+
+@register(f"WITH sc(scenario, p, h, t, k) AS (VALUES {_SCENARIOS}), f AS (SELECT * FROM @feat WHERE {_LAST_DAYS}), r AS (SELECT sc.*, f.* FROM sc, f), mv AS (SELECT scenario, site_id, day, greatest(0, least(23, hour + k)) AS hour, sum(prod * p) AS prod FROM r GROUP BY ALL), "
+          "v AS (SELECT r.scenario, r.site_id, r.ts, 0.02 * coalesce(mv.prod, 0) + 0.5 * greatest(temp + t - 24, 0) AS more, y_avg_lag24, y_avg_lag168, y_peak_lag24, y_peak_lag168 FROM r LEFT JOIN mv ON mv.scenario = r.scenario AND mv.site_id = r.site_id AND mv.day = r.day AND mv.hour = r.hour), "
+          "w AS (SELECT scenario, site_id, ts, (y_avg_lag24 + y_avg_lag168) / 2 + more AS a, ((y_peak_lag24 + y_peak_lag168) / 2 + more >= 0.9::DOUBLE * theta)::INT AS l FROM v, th) "
+          "SELECT w.scenario, w.site_id, count(*) AS n, R(avg(w.a - b.a)) AS mean_change, R(max(w.a - b.a)) AS largest_rise, count(*) FILTER (abs(w.a - b.a) > 1e-9) AS hours_changed, count(*) FILTER (w.l = 1 AND b.l = 0) AS alarms_gained, count(*) FILTER (w.l = 0 AND b.l = 1) AS alarms_lost FROM w JOIN w b ON b.scenario = 'C0' AND b.site_id = w.site_id AND b.ts = w.ts GROUP BY 1, 2")
+def scenario_effects(spark: S, sf: D) -> DataFrame:
+    """What 17 perturbed plans change in the predictions of the last covered days, after the base one is found to be what serving itself gives."""
+    hours = materialize(meter(spark, sf), "meter")
+    days = hours.filter(_LAST_DAYS).groupBy("day").count().select("day")
+    th = theta_of(repaired(spark, sf))
+    stored = serving.predict_days(hours, days, _bundle(th), _predict_plan(th), 27)
+    made = sensitivity.scenario_predictions(hours, days, policy.scenarios(spark), _bundle(th), _predict_plan(th), 27)
+    return sensitivity.effects(sensitivity.audited(made, stored))

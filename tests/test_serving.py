@@ -195,3 +195,33 @@ def test_sites_named_with_a_bar_keep_their_names(spark, plant):
     df = repair.targets(repair.repair(plant))
     out = policy.scenario_table(df, 100.0, 0.05).select("scenario", "site_id").distinct().collect()
     assert {tuple(r) for r in out} == {(s, site) for s in policy.SCENARIOS for site in ("a|b", "c")}
+
+
+def test_scenarios_change_their_own_day_only(spark, plant):
+    """The base scenario is what serving gives; a changed stored row stops the audit; a scenario's plan is no other day's past."""
+    from loadlens.errors import PredictionError
+    from loadlens.plans import policy, sensitivity
+
+    def by_plan(df):
+        return predict(df).withColumn("y_avg_pred", F.col("y_avg_lag24") + 0.1 * F.col("prod") + F.col("cdd"))
+
+    days = spark.createDataFrame([("2024-03-14",), ("2024-03-15",), ("2024-03-22",)], "d string").select(F.to_date("d").alias("day"))
+    stored = io.materialize(serving.predict_days(plant, days, SERVED, by_plan, 12), "stored")
+    grid = policy.scenarios(spark).filter("scenario in ('C0', 'P80', 'T+2', 'S+1')")
+    made = sensitivity.audited(sensitivity.scenario_predictions(plant, days, grid, SERVED, by_plan, 12), stored)
+    assert made.groupBy("scenario").count().collect() and {r["count"] for r in made.groupBy("scenario").count().collect()} == {2 * 2 * 24}
+    rows = {(r.scenario, r.site_id, r.ts): r.y_avg_pred for r in made.collect()}
+    prod = {(r.site_id, r.ts): r["prod"] for r in plant.collect()}
+    for (scenario, site, ts), v in rows.items():
+        if scenario == "P80":
+            assert v == pytest.approx(rows["C0", site, ts] - 0.02 * prod[site, ts])
+        if scenario == "T+2":  # 15 degrees and two more cool nothing
+            assert v == pytest.approx(rows["C0", site, ts])
+    total = lambda s: sum(v for (name, *_), v in rows.items() if name == s)
+    assert total("S+1") == pytest.approx(total("C0"))  # production moves within its day
+    one = stored.withColumn("q50", F.when((F.hour("ts") == 7) & (F.col("site_id") == "c"), F.col("q50") + 1e-6).otherwise(F.col("q50")))
+    with pytest.raises(PredictionError, match="NOT_INVARIANT.*q50"):
+        sensitivity.audited(made, one)
+    assert sensitivity.audit(made.filter("hour(ts) <> 3"), stored).count() == 2 * 2
+    e = {(r.scenario, r.site_id): r for r in sensitivity.effects(made).collect()}
+    assert e["C0", "c"].hours_changed == 0 and e["P80", "c"].mean_change < 0 and e["P80", "c"].n == 48

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.functions import metrics, quantiles, resample, stats
@@ -72,7 +72,9 @@ def nested_selection_trees(spark: S, sf: D) -> DataFrame:
     return temporal.nested_selection(made, ORDER).withColumnRenamed("outer", "outer_window")
 
 
-_NORMAL = (F.col("is_shutdown") == 0) & (F.col("is_sat") == 0) & (F.col("is_sun") == 0)
+def _normal() -> Column:
+    """Working weekdays."""
+    return (F.col("is_shutdown") == 0) & (F.col("is_sat") == 0) & (F.col("is_sun") == 0)
 
 
 @register()
@@ -81,7 +83,7 @@ def variant_study(spark: S, sf: D) -> DataFrame:
     feat, th = materialize(featured(spark, sf), "features"), theta_of(repaired(spark, sf))
     rows = materialize(variants.out_of_fold(feat, folds(spark), trees=4, depth=4, share=0.5), "variant-predictions")
     n = rows.select("day").distinct().count()
-    return variants.judged(variants.summarized(rows, th, _NORMAL), variants.limits(rows, resample.day_draws(spark, n, 500, 42)))
+    return variants.judged(variants.summarized(rows, th, _normal()), variants.limits(rows, resample.day_draws(spark, n, 500, 42)))
 
 
 @register()
@@ -125,7 +127,7 @@ def variant_flags(spark: S, sf: D) -> DataFrame:
     noisy = rows.filter("model = 'mean'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_NULLS - 1))))
     moved = noisy.withColumn("pred_avg", F.col("pred_avg") + (F.pmod(F.col("hour") * 7 + F.col("site_id") * 13 + F.col("k") * 29, F.lit(11)) - 5) / 10.0)
     both = named.unionByName(moved.withColumn("variant", F.concat(F.lit("null:"), F.col("k").cast("string"))).drop("k"))
-    return variants.judged(variants.summarized(materialize(both, "variant-predictions"), theta_of(repaired(spark, sf)), _NORMAL))
+    return variants.judged(variants.summarized(materialize(both, "variant-predictions"), theta_of(repaired(spark, sf)), _normal()))
 
 
 # --- quantiles and serving --------------------------------------------------------------------------------------------

@@ -1,5 +1,9 @@
 """Every registered query with SQL gives the SQL's rows, here at the smallest size."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -29,3 +33,9 @@ def test_rows(spark, con, name):
     assert cols == sorted(sql.columns)
     want = sorted(tuple(shown(dict(zip(sql.columns, r))[c]) for c in cols) for r in sql.fetchall())
     assert sorted(tuple(shown(r[c]) for c in cols) for r in df.collect()) == want
+
+
+def test_entry_is_imported_without_a_session():
+    """Nothing at import needs Spark to run."""
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == ["True", "True"], said.stderr

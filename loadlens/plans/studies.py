@@ -92,7 +92,8 @@ def feature_attributions(spark: S, sf: D) -> DataFrame:
 
     max_gap is the largest difference of a row's values from its prediction.
     """
-    feat = featured(spark, sf).filter(usable())
+    # Written first: what the bins are made of is then read and not worked out in each of their expressions.
+    feat = materialize(featured(spark, sf), "features").filter(usable())
     test = F.col("day") >= base.TEST_START
     edges = trees.edges_of(feat.filter(~test), list(FEATURES))
     rows = feat.select(F.lit(0).alias("spec"), F.struct("site_id", "ts").alias("id"), F.when(~test, F.col("y_avg")).alias("y"), trees.binned(list(FEATURES), edges).alias("bins"))
@@ -108,7 +109,7 @@ def feature_attributions(spark: S, sf: D) -> DataFrame:
 _NULLS = 5
 _VARIANT_SQL = """WITH nr AS (SELECT * FROM @pred), e AS (
 SELECT CASE model WHEN 'mean' THEN 'all' ELSE model END AS variant, fold, y_avg, y_cls, pred_avg, pred_peak, is_shutdown + is_sat + is_sun = 0 AS normal, theta FROM nr, th
-UNION ALL SELECT 'null:' || k, fold, y_avg, y_cls, pred_avg + ((hour * 7 + site_id * 13 + k * 29) % 11 - 5) / 10.0::DOUBLE, pred_peak, is_shutdown + is_sat + is_sun = 0, theta FROM nr, th, range(5) g(k) WHERE model = 'mean'),
+UNION ALL SELECT 'null:' || k, fold, y_avg, y_cls, pred_avg + ((hour * 7 + site_id * 13 + k * 29) % 11 - 5) / 7.0::DOUBLE, pred_peak, is_shutdown + is_sat + is_sun = 0, theta FROM nr, th, range(5) g(k) WHERE model = 'mean'),
 f AS (SELECT variant, fold, count(*) AS n, sum(abs(y_avg - pred_avg)) AS s, sum(CASE WHEN y_cls = 1 THEN abs(y_avg - pred_avg) END) AS ps, sum(y_cls) AS p, count(*) FILTER (y_cls = 1 AND pred_peak >= theta) AS tp, sum(CASE WHEN normal THEN abs(y_avg - pred_avg) END) AS ns, count(*) FILTER (normal) AS nn FROM e GROUP BY 1, 2),
 v AS (SELECT variant, sum(n) AS n, sum(s) / sum(n) AS mae, sum(ps) / nullif(sum(p), 0) AS peak_mae, sum(tp) / nullif(sum(p), 0) AS recall, coalesce(stddev_samp(s / n), 0) AS fold_std, sum(ns) / nullif(sum(nn), 0) AS mae_normal_days FROM f GROUP BY 1),
 d AS (SELECT v.*, v.mae - b.mae AS d_mae, v.peak_mae - b.peak_mae AS d_peak_mae, v.recall - b.recall AS d_recall, v.fold_std - b.fold_std AS d_fold_std, v.mae_normal_days - b.mae_normal_days AS d_mae_normal_days FROM v, v b WHERE b.variant = 'all'),
@@ -125,7 +126,7 @@ def variant_flags(spark: S, sf: D) -> DataFrame:
     rows = predictions(spark, sf).select("model", "fold", "site_id", "ts", "y_avg", "y_cls", "pred_avg", "pred_peak", "hour", "is_shutdown", "is_sat", "is_sun")
     named = rows.withColumn("variant", F.when(F.col("model") == "mean", variants.BASE).otherwise(F.col("model")))
     noisy = rows.filter("model = 'mean'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_NULLS - 1))))
-    moved = noisy.withColumn("pred_avg", F.col("pred_avg") + (F.pmod(F.col("hour") * 7 + F.col("site_id") * 13 + F.col("k") * 29, F.lit(11)) - 5) / 10.0)
+    moved = noisy.withColumn("pred_avg", F.col("pred_avg") + (F.pmod(F.col("hour") * 7 + F.col("site_id") * 13 + F.col("k") * 29, F.lit(11)) - 5) / 7.0)
     both = named.unionByName(moved.withColumn("variant", F.concat(F.lit("null:"), F.col("k").cast("string"))).drop("k"))
     return variants.judged(variants.summarized(materialize(both, "variant-predictions"), theta_of(repaired(spark, sf)), _normal()))
 

@@ -94,14 +94,14 @@ def log_gamma(x: Column) -> Column:
 
 
 def correlation_p(r: Column, n: Column, steps: int = 60) -> Column:
-    """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees of freedom; null under three pairs, 0 at |r| = 1."""
+    """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees of freedom; null under three pairs, 0 at |r| = 1, NaN without a correlation."""
     free = (n - 2).cast("double")
     # The tail of t is the regularised incomplete beta function of df / (df + t * t), which is 1 - r * r.
     x, a, b = 1 - r * r, free / 2, F.lit(0.5)
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
     direct, mirrored = front * _beta_fraction(a, b, x, steps) / a, 1 - front * _beta_fraction(b, a, 1 - x, steps) / b
     inside = F.when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
-    return F.when(n < 3, None).when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+    return F.when(n < 3, None).when(F.isnan(r), r).when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
 
 
 def theta(df: DataFrame, q: float = 0.95, before: str | None = None) -> DataFrame:
@@ -110,9 +110,19 @@ def theta(df: DataFrame, q: float = 0.95, before: str | None = None) -> DataFram
     return rows.agg(F.percentile("y_peak", F.lit(q)).alias("theta"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """An aggregate: the correlation of the rows that have both; NaN where either doesn't vary, as in SQL, and null without such rows.
+
+    Spark's own corr() divides by zero there, which is an error unless ANSI mode is off.
+    """
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(F.count(x) > 0, F.coalesce(r, F.lit(float("nan"))))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for all pairs, in one aggregate."""
-    one = df.agg(*(F.corr(a, b).alias(f"{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]))
+    """a, b, r for all pairs, in one aggregate; r as correlation() gives it."""
+    one = df.agg(*(correlation(a, b).alias(f"{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]))
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{columns[min(i, j)]}__{columns[max(i, j)]}").alias("r")) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return one.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
 
@@ -121,7 +131,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """rho of a table of models or days, by average ranks."""
     from loadlens.operators.windows import with_average_rank
 
-    return with_average_rank(with_average_rank(df.select(a, b), a, "__ra"), b, "__rb").agg(F.corr("__ra", "__rb").alias("rho"))
+    return with_average_rank(with_average_rank(df.select(a, b), a, "__ra"), b, "__rb").agg(correlation("__ra", "__rb").alias("rho"))
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:

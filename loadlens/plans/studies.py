@@ -264,7 +264,7 @@ def rank_preservation(spark: S, sf: D) -> DataFrame:
     rows = predictions(spark, sf).select("model", "fold", "site_id", "day", F.abs(F.col("y_avg") - F.col("pred_avg")).alias("e")).join(first, ["site_id", "day"], "left")
     m = rows.groupBy("model", "fold").agg(F.round(F.avg("e"), 9).alias("d1"), F.round(F.avg(F.when(F.col("first"), F.col("e"))), 9).alias("d2")).filter("d2 is not null")
     ranked = windows.with_average_rank(windows.with_average_rank(materialize(m, "conditions"), "d1", "r1"), "d2", "r2")
-    return ranked.agg(F.count("*").alias("n"), F.corr("r1", "r2").alias("rho")).withColumn("preserved", F.col("rho") > 0.7)
+    return ranked.agg(F.count("*").alias("n"), stats.correlation("r1", "r2").alias("rho")).withColumn("preserved", F.col("rho") > 0.7)
 
 
 @register(f"WITH {_ACT}, o AS (SELECT a.*, eligible AND a.hour IN (8, 13) AND alert AS l1, NOT r.is_outage AND a.y_peak >= 0 AS valid, theta FROM a JOIN @rep r USING (site_id, ts), th), m AS (SELECT site_id, max(CASE WHEN valid THEN y_peak END) AS op, max(CASE WHEN valid THEN y_peak * (1 - 0.2::DOUBLE * 2 / 3 * l1::INT) END) AS ap, sum(l1::INT) AS acts, sum((l1 AND valid AND y_peak < theta)::INT) AS wrong, sum(CASE WHEN valid THEN 1 / (24.0::DOUBLE * day(last_day(day))) ELSE 0 END) AS months FROM o GROUP BY 1), "
@@ -282,7 +282,7 @@ def spearman_test(spark: S, sf: D) -> DataFrame:
     """By site, the rank correlation of production and mean power with its two-sided p."""
     df = repaired(spark, sf).select("site_id", "prod", "y_avg")
     ranked = windows.with_average_rank(windows.with_average_rank(df, "prod", "a", "site_id"), "y_avg", "b", "site_id")
-    g = ranked.groupBy("site_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
+    g = ranked.groupBy("site_id").agg(F.count("*").alias("n"), stats.correlation("a", "b").alias("rho"))
     return g.withColumn("p", stats.correlation_p(F.col("rho"), F.col("n")))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadlens.functions.stats import correlation
 from loadlens.sources.io import materialize
 
 #: Targets are summed as whole millionths, so that sums, and with them ties of splits, don't depend on the order of rows.
@@ -171,6 +172,6 @@ def importance(phi: DataFrame, rows: DataFrame, features: list[str]) -> DataFram
     """
     n = rows.groupBy("spec").agg(F.count("*").alias("rows"))
     pairs = phi.filter("feature is not null").join(rows.select("spec", "id", "bins"), ["spec", "id"]).select("spec", "variant", "feature", "phi", F.get("bins", F.col("feature")).cast("double").alias("x"))
-    g = pairs.groupBy("spec", "variant", "feature").agg(F.sum(F.abs("phi")).alias("s"), F.corr("x", "phi").alias("r"))
+    g = pairs.groupBy("spec", "variant", "feature").agg(F.sum(F.abs("phi")).alias("s"), correlation("x", "phi").alias("r"))
     sign = F.when(F.isnan("r") | F.col("r").isNull(), 0).otherwise(F.signum(F.round("r", 9)).cast("int"))
     return g.join(n, "spec").select("spec", "variant", F.get(F.array(*map(F.lit, features)), F.col("feature")).alias("feature"), (F.col("s") / F.col("rows")).alias("mean_abs"), sign.alias("direction"))

@@ -388,6 +388,17 @@ def test_within_slope_without_variation(spark):
     assert got[1] == (0.0, 1.0, False) and got[2] == (2.0, 1.0, True) and got[3] == (0.0, None, False)
 
 
+def test_correlation_without_variation(spark):
+    """A constant column has no correlation: NaN, as the SQL gives, and no division by zero."""
+    df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, None), (4.0, 5.0, None)], "x double, c double, nil double")
+    got = {(r["a"], r["b"]): r["r"] for r in stats.correlation_matrix(df, ["x", "c", "nil"]).collect()}
+    assert got["x", "x"] == pytest.approx(1.0) and np.isnan(got["x", "c"]) and np.isnan(got["c", "c"])
+    assert all(v is None for k, v in got.items() if "nil" in k)
+    assert np.isnan(stats.spearman(df, "x", "c").first()["rho"])
+    paired = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (4.0, 4.0), (None, 90.0), (70.0, None)], "a double, b double")
+    assert paired.agg(stats.correlation("a", "b")).first()[0] == pytest.approx(np.corrcoef([1, 2, 4], [3, 5, 4])[0, 1])
+
+
 def test_inner_partitions_stay_in_the_core():
     got = splits.inner_partitions("2021-01-01", "2021-07-01 00:00:00", 3, 14, 15, 1, 60)
     assert [b["eval_start"][:10] for b in got] == ["2021-05-20", "2021-06-03", "2021-06-17"] and got[-1]["eval_end"] == "2021-07-01 00:00:00"

@@ -41,7 +41,7 @@ def test_entry_is_imported_without_a_session():
     assert said.stdout.split() == ["True", "True"], said.stderr
 
 
-@pytest.mark.parametrize("name", ["repaired_cells", "hourly_meter"])
+@pytest.mark.parametrize("name", ["repaired_cells", "table_comparison", "hourly_meter"])
 def test_sums_are_taken_in_the_order_of_rows(spark, tmp_path, name):
     """Every hour's mean lies at a tie of its rounding, so the order in which doubles are added decides; users come more than once in an hour."""
     c = duckdb.connect()

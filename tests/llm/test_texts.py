@@ -413,6 +413,28 @@ def test_gzip_after_a_false_one():
     assert media.sniff(data) == [(19, len(whole), "application/gzip")]
 
 
+def test_gzip_within_what_a_false_one_reads():
+    """Stored blocks, or compressed ones, that run far and then fail; what begins within them is found, and so is what lies in a cut-off file."""
+    import gzip
+
+    r = random.Random(8)
+    whole = gzip.compress(bytes(r.choices(b"abcdefgh", k=30_000)), mtime=0)
+    block = b"\0" + (60_000).to_bytes(2, "little") + (60_000 ^ 0xFFFF).to_bytes(2, "little")
+    stored = b"\x1f\x8b\x08\0\0\0\0\0\0\x03" + block + b"x" * 30_000 + whole
+    assert media.sniff(stored + b"\xff" * 60_000) == [(30_015, len(whole), "application/gzip")]
+    inner = gzip.compress(whole * 3 + r.randbytes(50_000), 0, mtime=0)
+    assert media.sniff(inner) == [(0, len(inner), "application/gzip")]
+    assert media.sniff(inner[:-1]) == [(k * len(whole) + 15, len(whole), "application/gzip") for k in range(3)]
+    bad = inner[:-8] + bytes([inner[-8] ^ 1]) + inner[-7:]
+    assert len(media.sniff(bad)) == 3
+    named = gzip.compress(b"abc" * 9, mtime=0)
+    named = named[:3] + b"\x08" + named[4:10] + b"name\0" + named[10:]
+    assert media.sniff(b"-" + named) == [(1, len(named), "application/gzip")]
+    # Compressed bytes without an end, and a whole file after their middle.
+    false = gzip.compress(bytes(r.choices(b"abcdefgh", k=200_000)), mtime=0)[:40_000]
+    assert (len(false), len(whole), "application/gzip") in media.sniff(false + whole)
+
+
 def test_wrapped_media_are_found(spark):
     """Native wrapping, carved again: whole, after other bytes, and one in another."""
     data = [b"abc", b"a", b"BM fLaC RIFF" * 9, b"x" * 1000, "漢字".encode()]

@@ -1,8 +1,8 @@
 """Byte-level BPE with a segment tree of pair ranks.
 
 The vocabulary is a file of `base64 rank` lines whose place is a parameter. Each pre-token's bytes are the leaves of a
-segment tree that holds the smallest (rank, position) of each span, so the root is the leftmost pair of least rank; a
-merge touches the pair at its own place, the one before and the one after, each by a walk to the root. A pre-token of n
+segment tree, FAN children to a node, that holds the smallest (rank, position) of each span, so the root is the leftmost pair of least
+rank; a merge touches the pair at its own place, the one before and the one after, each by a walk to the root. A pre-token of n
 bytes takes O(n log n), also when it is a hundred thousand bytes without a space.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable
 from functools import lru_cache
 from struct import pack
@@ -21,13 +20,12 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Pre-tokens, and words between single spaces, that a task remembers; two generations of each are held at most, until it ends.
-CACHE_ENTRIES = 120_000
+#: Words between single spaces, and pre-tokens of those that have several, that a task remembers; two generations are held at most, until it ends.
+CACHE_ENTRIES = 240_000
+#: Children of a node of the segment tree: few levels, and the least of so many is found by one call.
+FAN = 16
 #: Longer ones are encoded anew each time, so that the caches' bytes are bounded too.
 CACHE_CHARS = 48
-#: White space other than single spaces and line feeds between words. A text without any falls into words, each with the
-#: space before it, whose matches are the text's own, where no match of the pattern reaches over such a space or line feed.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z").search
 #: Characters of all kinds, between which a pattern is tried for that.
 _PROBES = "".join(map(chr, range(0x21, 0x7F))) + "éß漢٣①€—\u0301😀"
 
@@ -42,59 +40,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
     #: Keys order by rank, then by place; a leaf without a pair has `none`. Small shifts keep most keys in one machine word.
-    shift, find = size.bit_length(), ranks.get
+    shift, find = n.bit_length(), ranks.get
     none = len(ranks) << shift
-    tree = [none] * (2 * size)
+    leaves = [none if (r := find(piece[i : i + 2])) is None else r << shift | i for i in range(n - 1)]
+    #: Levels above the leaves, up to one of FAN nodes at most, whose least is the root.
+    above, top = [], leaves
+    while len(top) > FAN:
+        top = [min(top[k : k + FAN]) for k in range(0, len(top), FAN)]
+        above.append(top)
     #: Token i spans piece[i:end[i]]; before[i] is the token before it.
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    for i in range(n - 1):
-        if (r := find(piece[i : i + 2])) is not None:
-            tree[size + i] = r << shift | i
-    for i in range(size - 1, 0, -1):
-        x, y = tree[2 * i], tree[2 * i + 1]
-        tree[i] = x if x < y else y
     mask = (1 << shift) - 1
-    while (top := tree[1]) < none:
-        i = top & mask
+    while (least := min(top, default=none)) < none:
+        i = left = least & mask
         gone = end[i]
         stop = end[i] = end[gone]
-        b = a = size + i
-        c = size + gone
         r = None
         if stop < n:
             before[stop] = i
             r = find(piece[i : end[stop]])
-        tree[b] = none if r is None else r << shift | i
-        if c < 2 * size:
-            tree[c] = none
-        else:  # the last token has no leaf, as it begins no pair
-            c = b
+        leaves[i] = none if r is None else r << shift | i
+        if gone < n - 1:  # the last token has no leaf, as it begins no pair
+            leaves[gone] = none
+        else:
+            gone = i
         if i:
             left = before[i]
-            a = size + left
             r = find(piece[left:stop])
-            tree[a] = none if r is None else r << shift | left
-        # The three changed leaves go up together; where their paths meet, one is left.
-        while a != c:
-            a, b, c = a >> 1, b >> 1, c >> 1
-            x, y = tree[2 * b], tree[2 * b + 1]
-            tree[b] = x if x < y else y
-            if a != b:
-                x, y = tree[2 * a], tree[2 * a + 1]
-                tree[a] = x if x < y else y
-            if c != b:
-                x, y = tree[2 * c], tree[2 * c + 1]
-                tree[c] = x if x < y else y
-        while a > 1:
-            a >>= 1
-            x, y = tree[2 * a], tree[2 * a + 1]
-            if y < x:
-                x = y
-            if tree[a] == x:
-                break
-            tree[a] = x
+            leaves[left] = none if r is None else r << shift | left
+        if above:
+            # The three changed leaves go up together; where their paths meet, one is left.
+            below, a, b, c = leaves, left, i, gone
+            for level in above:
+                a, b, c = a // FAN, b // FAN, c // FAN
+                for k in {a, b, c}:
+                    level[k] = min(below[k * FAN : (k + 1) * FAN])
+                below = level
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -102,6 +84,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _is_even(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between words.
+
+    Such a text falls into words, each with the space before it, whose matches are the text's own, where no match of the pattern reaches
+    over such a space or line feed.
+    """
+    words = text.split()
+    gaps = len(words) - 1
+    return text.count(" ") + text.count("\n") == gaps and len(text) - sum(map(len, words)) == gaps
+
+
 class _Memo(dict):
     """Text to its ids as little-endian 32-bit integers; the older generation goes when the younger is full."""
 
@@ -121,9 +114,8 @@ class _Memo(dict):
         self.old = {}
 
     def age(self) -> None:
-        if len(self) > CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
+        self.old = dict(self)
+        self.clear()
 
 
 class Codec:
@@ -131,8 +123,8 @@ class Codec:
         self.ranks = read_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pieces = _Memo(lambda piece: pack("<%dI" % len(ids := merge(piece.encode(), self.ranks)), *ids))
-        self.words = _Memo(lambda word: self._pieces(f" {word}"))
+        self.pieces = _Memo(self._merged)
+        self.words = _Memo(self._word)
         self.feed = self._pieces("\n")
         self.even = self._falls_into_words()
 
@@ -147,17 +139,28 @@ class Codec:
         self.pieces.forget()
         self.words.forget()
 
+    def _merged(self, piece: str) -> bytes:
+        ids = merge(piece.encode(), self.ranks)
+        return pack("<%dI" % len(ids), *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Of a word with the space before it, or, marked by a line feed, of one that a line begins with. A single pre-token is remembered as a word alone."""
+        found = self.split(word[1:] if word[:1] == "\n" else f" {word}")
+        return self._merged(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return self._pieces(first) + b"".join(map(self.words.__getitem__, rest))
+        words = line.split(" ")
+        words[0] = "\n" + words[0]
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:
-        ids = self._pieces(text) if not self.even or _UNEVEN(text) else self.feed.join(map(self._line, text.split("\n"))) if text else b""
-        self.pieces.age()
-        self.words.age()
+        ids = self.feed.join(map(self._line, text.split("\n"))) if self.even and _is_even(text) else self._pieces(text)
+        if len(self.pieces) + len(self.words) > CACHE_ENTRIES:
+            self.pieces.age()
+            self.words.age()
         return np.frombuffer(ids, "<u4")
 
     def decode(self, ids: Iterable[int]) -> bytes:

@@ -55,6 +55,38 @@ def test_bpe_cache_turnover(monkeypatch):
     assert [codec.encode(t).tolist() for t in texts] == [encoding.encode_ordinary(t) for t in texts]
 
 
+def test_merges_of_pieces_of_all_lengths():
+    """Against merging the least pair found by a scan, over one level of the tree, two and three."""
+    ranks, r = bpe.read_ranks(PATH), random.Random(3)
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            least, i = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if least == 1 << 40:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    for n in (*range(1, 40), 255, 256, 257, 258, 300, 700):
+        for letters in (b"ab", b"etaoin shrdlu", bytes(range(256))):
+            piece = bytes(r.choices(letters, k=n))
+            assert bpe.merge(piece, ranks) == ([ranks[piece]] if piece in ranks else plain(piece)), piece
+
+
+def test_bpe_takes_words_once(monkeypatch):
+    """A word is split once, whether a space or a line feed stands before it, and a single pre-token is kept as a word alone."""
+    codec, split = bpe.Codec(PATH, PATTERN), []
+    plain = codec.split
+    codec.split = lambda t: split.append(t) or plain(t)
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    text = "\n".join(["gloriously zxqvy it's 7x"] * 50)
+    assert codec.encode(text).tolist() == encoding.encode_ordinary(text)
+    assert sorted(split) == sorted(["gloriously", " zxqvy", " it's", " 7x"]) and not any("zxqvy" in p for p in codec.pieces)
+    for odd in ("", " ", "\n", "a  b", "a\tb  c", " a", "a ", "a\n", "a\n\nb", "a \nb", "a\u3000b", "a\x1cb c", "a\u2028b", "a\xa0 b"):
+        assert codec.encode(odd).tolist() == encoding.encode_ordinary(odd), odd
+
+
 def test_bpe_of_another_pattern():
     """Punctuation that takes the line feed after it: words are no texts of their own then."""
     ranks = {bytes([i]): i for i in range(256)} | {b"!\n": 256}

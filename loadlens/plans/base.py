@@ -76,7 +76,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @once
 def meter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly_meter(table(spark, sf_dir, "events"))
+    """Sums are taken in the order of the file's rows, as the SQL takes them."""
+    events = table(spark, sf_dir, "events").withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    return hourly_meter(events, order=("__file", "__row"))
 
 
 @once
